@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import audio, bpe, topk
+from tracewell.llm import audio, bpe, packing, topk, warc
 from tracewell.llm.common import table
 
 
@@ -42,6 +42,36 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.restore(*warc.archive(table(spark, sf_dir, "pages"), min_bytes=1000))
+    header = F.col("header")
+    return records.select(
+        F.col("id").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
+        warc.field(header, "WARC-Type").alias("record_type"),
+        F.nullif(F.regexp_extract(warc.field(header, "WARC-Refers-To"), r"(-?\d+)", 1), F.lit("")).cast("long").alias("refers_to"),
+    )
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), g AS (
+  SELECT page_id, strlen(html) AS n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS holder FROM p
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> holder THEN holder END AS refers_to
+FROM g
+"""
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -51,8 +81,8 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_counts, op6_exact_topk, op9_bpe_codec, op10_audio_features)}
+    return {f.__name__: f for f in (op5_token_counts, op6_exact_topk, op7_cost_packing, op8_warc_archive, op9_bpe_codec, op10_audio_features)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": OP6_SQL}
+    return {"op6_exact_topk": OP6_SQL, "op8_warc_archive": OP8_SQL}
