@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import audio, bpe, packing, topk, warc
-from tracewell.llm.common import table
+from tracewell.llm import audio, bpe, packing, quality, topk, toxicity, warc
+from tracewell.llm.common import split_remainder, table
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +17,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = split_remainder(F.col("id"), 5) == 0
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.3)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = split_remainder(F.col("id"), 4) == 2
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.3)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
@@ -81,7 +91,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_counts, op6_exact_topk, op7_cost_packing, op8_warc_archive, op9_bpe_codec, op10_audio_features)}
+    return {f.__name__: f for f in (op2_quality_classifier, op4_toxicity, op5_token_counts, op6_exact_topk, op7_cost_packing, op8_warc_archive, op9_bpe_codec, op10_audio_features)}
 
 
 def oracle_sql() -> dict[str, str]:
