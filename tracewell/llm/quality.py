@@ -14,11 +14,13 @@ ignored; without any labels every score is 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import bound_batches, map_batches, materialize
@@ -188,19 +190,37 @@ def fit(train: DataFrame) -> Model:
     return model
 
 
+def labelled(stats: DataFrame, labels: DataFrame, held_out: Column, label_col: str = "quality", label_id: str = "doc_id") -> DataFrame:
+    """``stats`` and ``label`` of the rows that may teach."""
+    known = labels.where(labels[label_col].isNotNull()).groupBy(labels[label_id].alias("id")).agg(F.avg(labels[label_col].cast("double")).alias("label"))
+    return stats.where(~held_out).join(known, "id").select("stats", "label")
+
+
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function from a text column to its quality; the model is part of the function, its size is fixed."""
+    bound_batches(spark)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        parts = [model.score(statistics(part).astype(float)) for _, part in chunks([(t or "").encode() for t in texts])]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return score
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """Per row: id, ``held_out``, ``score`` and ``predicted``.
 
     ``held_out`` is a condition on ``id``; such rows teach nothing. The statistics are written once
     and read for fitting and for scoring.
     """
-    stats = materialize(document_statistics(docs, id_col, text_col).withColumn("held_out", held_out), "quality-stats")
-    known = labels.where(labels[label_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.avg(labels[label_col].cast("double")).alias("label"))
-    model = fit(stats.where(~F.col("held_out")).join(known, "id").select("stats", "label"))
+    stats = materialize(document_statistics(docs, id_col, text_col), "quality-stats")
+    model = fit(materialize(labelled(stats, labels, held_out, label_col, id_col), "quality-train"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = model.score(_stack(batch.column(2)))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
+        score = model.score(_stack(batch.column(1)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
     kind = stats.schema["id"].dataType.simpleString()
-    return map_batches(stats.select("id", "held_out", "stats"), run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    scored = map_batches(stats, run, f"id {kind}, score double, predicted int")
+    return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", "predicted")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import audio, bpe, packing, quality, topk, toxicity, warc
+from tracewell.llm import audio, bpe, minhash, packing, quality, topk, toxicity, warc
 from tracewell.llm.common import split_remainder, table
 
 
@@ -17,6 +17,37 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
+  FROM w
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 85 * (min(x.n) + min(y.n) - count(*))
+), l AS (
+  SELECT a, b FROM p UNION SELECT b, a FROM p
+), r(id, seen) AS (
+  SELECT a, a FROM l UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.id
+), c AS (
+  SELECT id, min(seen) AS component FROM r GROUP BY id
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(c.component, s.doc_id) AS component_id,
+  coalesce(c.component, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON c.id = s.doc_id
+"""
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = split_remainder(F.col("id"), 5) == 0
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.3)
@@ -91,8 +122,8 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op4_toxicity, op5_token_counts, op6_exact_topk, op7_cost_packing, op8_warc_archive, op9_bpe_codec, op10_audio_features)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_quality_classifier, op4_toxicity, op5_token_counts, op6_exact_topk, op7_cost_packing, op8_warc_archive, op9_bpe_codec, op10_audio_features)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": OP6_SQL, "op8_warc_archive": OP8_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op6_exact_topk": OP6_SQL, "op8_warc_archive": OP8_SQL}

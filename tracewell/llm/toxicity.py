@@ -19,16 +19,17 @@ ignored; without both classes every score is 0.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.bpe import _groups, _Parts
-from tracewell.llm.common import bound_batches, map_batches, without_gc
+from tracewell.llm.common import bound_batches, without_gc
 from tracewell.llm.textkernel import mix
 
 BUCKETS_BITS = 17
@@ -42,8 +43,8 @@ RATES = (0.01, 0.1, 0.4)
 #: Damps the steps of n-grams whose gradients are small beside the largest.
 FLOOR = 0.1
 #: Standard errors by which an n-gram's share of texts must differ to start with a weight.
-SURE = 3.5
-#: Weight of a clean text against a toxic one when scores become probabilities.
+SURE = 3.0
+#: Weight of all clean texts against all toxic ones when scores become probabilities.
 CLEAN_WEIGHT = 3.0
 _WORD = re.compile(r"\w+")
 
@@ -165,7 +166,7 @@ def _calibration(model: Model, params: list[np.ndarray], texts: list[str], toxic
     weights = (model.embeddings @ (params[1][:, 1] - params[1][:, 0])).astype(np.float32)
     x = np.clip(Scorer(weights, 0.0).logits(texts), -50, 50)
     a, b = 0.1, -1.0
-    w = np.where(toxic, 1.0, CLEAN_WEIGHT)
+    w = np.where(toxic, 1.0, CLEAN_WEIGHT * toxic.sum() / (~toxic).sum())
     design = np.stack([x, np.ones_like(x)], 1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -226,20 +227,27 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, te
     return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], bool)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3) -> DataFrame:
-    """Per row: id, ``held_out``, ``score`` and ``predicted``; ``held_out`` is a condition on ``id``."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    return train(*sample(docs, labels, held_out, id_col, text_col, label_col))
+
+
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function from a text column to its toxicity; the model is broadcast, its size is fixed."""
     bound_batches(spark)
-    model = train(*sample(docs, labels, held_out, id_col, text_col, label_col))
     shared = spark.sparkContext.broadcast((model.word_weights().astype(np.float32).tobytes(), float(model.bias[1] - model.bias[0])))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scorer = _scorer(*shared.value)
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        tool = _scorer(*shared.value)
         with without_gc():
-            parts = [scorer(run) for run in _groups([t or "" for t in batch.column(2).to_pylist()])]
-        score = np.concatenate(parts) if parts else np.zeros(0)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
+            parts = [tool(run) for run in _groups([t or "" for t in texts])]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("held_out", held_out).select("id", "held_out", "text")
-    return map_batches(rows, run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return score
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3) -> DataFrame:
+    """Per row: id, ``held_out``, ``score`` and ``predicted``; ``held_out`` is a condition on ``id``."""
+    score = scorer(docs.sparkSession, fit(docs, labels, held_out, id_col, text_col, label_col))
+    scored = docs.select(docs[id_col].alias("id"), score(docs[text_col]).alias("score"))
+    return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
