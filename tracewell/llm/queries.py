@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import audio, bpe, minhash, packing, quality, topk, toxicity, warc
+from tracewell.llm import audio, bpe, lm, minhash, packing, quality, topk, toxicity, warc
 from tracewell.llm.common import split_remainder, table
 
 
@@ -53,6 +53,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.3)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), split_remainder(F.col("id"), 5) == 1)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = split_remainder(F.col("id"), 4) == 2
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.3)
@@ -122,7 +126,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_quality_classifier, op4_toxicity, op5_token_counts, op6_exact_topk, op7_cost_packing, op8_warc_archive, op9_bpe_codec, op10_audio_features)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_quality_classifier, op3_lm_scoring, op4_toxicity, op5_token_counts, op6_exact_topk, op7_cost_packing, op8_warc_archive, op9_bpe_codec, op10_audio_features)}
 
 
 def oracle_sql() -> dict[str, str]:
