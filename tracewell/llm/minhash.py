@@ -8,9 +8,10 @@
    as leave ``threshold - 1`` out: its prefix.
 3. In each posting list every member is compared with the list's smallest id. Comparing counts the
    colliding coordinates, keeps pairs at the threshold or above, and confirms them on the full sets.
-4. Confirmed links give components. Members of one list that are in one component need no further
-   comparison; only members of different components are compared with each other, so a list of n
-   copies costs n comparisons and no link between components is lost.
+4. Confirmed links give components. Members of the lists of one hub that are in its component need
+   no further comparison. The others are compared with all members of these lists, block by block,
+   by exact intersection counts; only links that join components leave a task. So n copies of one
+   text cost n comparisons, and no link between components is lost.
 
 Links, components and sets stay distributed; each phase is written to the shared folder.
 
@@ -22,7 +23,6 @@ component and is kept.
 
 from __future__ import annotations
 
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -36,6 +36,8 @@ from tracewell.llm.textkernel import chunks, mix, words_of
 COORDINATES = 64
 #: Most probable share of wanted pairs that the collision count may miss.
 MISS = 1e-7
+#: Members of one side of a comparison, and columns of a block of its matrix.
+MEMBERS, COLUMNS = 1000, 4096
 _rng = np.random.default_rng(77)
 _SCALE = _rng.integers(1, 1 << 63, COORDINATES, np.uint64) | np.uint64(1)
 _SHIFT = _rng.integers(0, 1 << 63, COORDINATES, np.uint64)
@@ -148,6 +150,71 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(100 * F.col("common") >= percent * F.col("joint")).select("a", "b").distinct()
 
 
+def spanning_links(rep: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Confirmed pairs that join the parts of some sets, no more than join them.
+
+    Intersections are counted exactly: shingles that two sets share become columns of a 0/1 matrix
+    whose product with itself is summed over blocks of columns.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[row[a:b], column[a:b] - lo] = 1
+        common += block @ block.T
+    x, y = np.nonzero(np.triu((100 * common >= percent * (size[:, None] + size - common)) & (part[:, None] != part), 1))
+    parent: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    links = []
+    for i, j in zip(x.tolist(), y.tolist()):
+        u, v = top(int(part[i])), top(int(part[j]))
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            links.append((int(rep[i]), int(rep[j])))
+    return links
+
+
+def _across(bundle: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each bundle.
+
+    Members of the hub's component are settled among themselves. The others are dealt into blocks
+    of about MEMBERS rows; every pair of their blocks, and each of their blocks with each block of
+    settled members, is one task's work, whose links are the only rows that come out.
+    """
+    apart = F.col("apart")
+    count = bundle.groupBy("hub").agg(F.ceil(F.count_if(apart) / MEMBERS).alias("outer"), F.ceil(F.count_if(~apart) / MEMBERS).alias("inner")).where(F.col("outer") > 0)
+    held = bundle.join(count, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(apart, F.col("outer")).otherwise(F.col("inner"))))
+    outer = F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)
+    inner = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("inner"), F.lit(1)) - 1)
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))  # noqa: E731  j < 0: a block of settled members
+    mine = F.concat(F.transform(outer, lambda j: pair(F.least(F.col("block"), j), F.greatest(F.col("block"), j))), F.transform(inner, lambda k: pair(F.col("block"), -1 - k)))
+    work = held.select("hub", "rep", "component", F.explode(F.when(apart, mine).otherwise(F.transform(outer, lambda i: pair(i, -1 - F.col("block"))))).alias("pair"))
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        found = [np.asarray(x.as_py(), np.int64) for x in table["shingles"]]
+        links = spanning_links(table["rep"].to_numpy(), table["component"].to_numpy(), found, percent)
+        return pa.table({"a": pa.array([min(p) for p in links], pa.int64()), "b": pa.array([max(p) for p in links], pa.int64())})
+
+    full = work.select("hub", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "component").join(sets.withColumnRenamed("id", "rep"), "rep")
+    return full.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").where(F.col("a") < F.col("b")).distinct()
+
+
 def _collisions(x, y):
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
@@ -173,7 +240,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     posts = materialize(prefix, "posts")
     signed = classes.select("rep", "n", "sig")
     hubs = posts.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where(F.col("a") < F.col("last")).select("token", "a")
-    starred = posts.join(hubs, "token").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
+    starred = materialize(posts.join(hubs, "token").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct(), "stars")
     near = starred.join(signed.select(F.col("rep").alias("a"), F.col("sig").alias("a_sig")), "a").join(signed.select(F.col("rep").alias("b"), F.col("sig").alias("b_sig")), "b")
     pairs = near.where(_collisions("a_sig", "b_sig") >= threshold).select("a", "b")
 
@@ -182,21 +249,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sets = materialize(full_sets(source.join(listed, "id", "left_semi").select("id", "text"), width), "sets")
     first = components(_confirmed(pairs, sets, percent))
 
-    # what the stars left apart: members of one list in different components
-    member = posts.join(first, posts["rep"] == first["id"], "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    member = materialize(member, "members")
-    mixed = member.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("token")
-    left = member.join(mixed, "token", "left_semi").join(signed, "rep")
-    x = left.select("token", F.col("rep").alias("a"), F.col("component").alias("a_part"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))
-    y = left.select("token", F.col("rep").alias("b"), F.col("component").alias("b_part"), F.col("n").alias("b_n"), F.col("sig").alias("b_sig"))
-    alike = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    apart = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & alike & (_collisions("a_sig", "b_sig") >= threshold))
-    more = materialize(_confirmed(apart.select("a", "b").distinct(), sets, percent), "more-links")
+    # what the stars left apart: members of one hub's lists in different components
+    part = first.select(F.col("id").alias("rep"), "component")
+    bundle = starred.select(F.col("a").alias("hub"), F.col("b").alias("rep")).union(starred.select(F.col("a").alias("hub"), F.col("a").alias("rep")).distinct())
+    bundle = bundle.join(part, "rep", "left").join(part.select(F.col("rep").alias("hub"), F.col("component").alias("hub_part")), "hub", "left")
+    bundle = materialize(bundle.select("hub", "rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("component", "rep") != F.coalesce("hub_part", "hub")).alias("apart")), "bundles")
+    more = materialize(_across(bundle, sets, percent), "more-links")
     if more.isEmpty():
         final = first
     else:
-        part = lambda c: more.join(first.select(F.col("id").alias(c), F.col("component").alias(c + "_part")), c, "left")
-        merged = part("a").join(first.select(F.col("id").alias("b"), F.col("component").alias("b_part")), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")).distinct()
+        side = lambda c: more.join(first.select(F.col("id").alias(c), F.col("component").alias(c + "_part")), c, "left")
+        merged = side("a").join(first.select(F.col("id").alias("b"), F.col("component").alias("b_part")), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")).distinct()
         second = components(merged)
         base = first.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(first, "id", "left_anti").select("id", F.col("id").alias("component")))
         top = second.select(F.col("id").alias("component"), F.col("component").alias("top"))
