@@ -96,8 +96,9 @@ def action_chains(calls: DataFrame, top: int = 5) -> DataFrame:
 
 def avoidable(calls: DataFrame) -> DataFrame:
     """Every avoidable call once, under the first class that claims it."""
-    seen = F.row_number().over(W.partitionBy("target_path", "sha").orderBy("session_id", "call_index"))
-    again = calls.withColumn("reexposed", seen > 1)
+    # a content may be delivered anywhere often, so its first delivery is an aggregate, not a window
+    first = calls.groupBy("target_path", "sha").agg(F.min(F.struct("session_id", "call_index")).alias("first"))
+    again = calls.join(first, ["target_path", "sha"]).withColumn("reexposed", F.struct("session_id", "call_index") != F.col("first"))
     repeats = episode_duplicates(calls).where(F.col("nth") > 1).select("event_id", F.lit(True).alias("duplicate"))
     flags = again.join(repeats, "event_id", "left")
     claimed = F.when(F.col("reexposed"), "EXACT_REEXPOSURE").when(F.col("duplicate"), "DISCOVERY_DUPLICATE")
