@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import sessions
+from tracewell.plans import documents, sessions
 
-_PLANS = (sessions,)
+_PLANS = (sessions, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
