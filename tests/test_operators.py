@@ -1,0 +1,90 @@
+"""Window rules against a sequential model, toy graphs, and text rules."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from tracewell.functions import text
+from tracewell.operators import discovery, receipts, redelivery
+
+
+def log(seed, n=79):
+    rng = random.Random(seed)
+    return [("s", k, rng.choice(["FILE_READ", "SEARCH", "TEST"]), rng.choice(["a", "b", None]), rng.choice("xyz"), rng.choice([10, 500]), rng.random() < 0.1, int(rng.random() < 0.1), k // 9) for k in range(1, n)]
+
+
+SCHEMA = "session_id string, call_index long, tool_family string, target_path string, sha string, n_bytes long, truncated boolean, exit_code long, episode_id long"
+
+
+def sequential(rows):
+    first, source, out = {}, {}, []
+    for session, k, family, path, sha, n, cut, code, episode in rows:
+        key = (family, path)
+        if sha not in first:
+            first[sha] = (k, len(first) + 1)
+            source[key] = sha
+            out.append("FIRST_DELIVERY")
+            continue
+        ref = len(redelivery.REFERENCE % (sha, n, session[:8], first[sha][1]))
+        evidence = "CONTENT_EVIDENCE" if family in redelivery.CONTENT_FAMILIES and path else "UNKNOWN"
+        same = source.get(key) == sha and path not in (None, "", "UNKNOWN")
+        out.append("AMBIGUOUS_IDENTITY" if cut else "UNSAFE_EVIDENCE" if code else "CROSS_SOURCE" if not same else "UNKNOWN_EVIDENCE" if evidence == "UNKNOWN" else "NOT_ECONOMIC" if ref >= n else "REFERENCE")
+    return out
+
+
+def test_redelivery_equals_sequential_model(spark):
+    for seed in range(4):
+        rows = log(seed)
+        got = redelivery.redelivery_decisions(spark.createDataFrame(rows, SCHEMA), F.lit("UNKNOWN")).orderBy("call_index").select("disposition").collect()
+        assert [r[0] for r in got] == sequential(rows)
+
+
+def test_receipts_equal_sequential_model(spark):
+    rows = log(9)
+    got = receipts.receipt_decisions(spark.createDataFrame(rows, SCHEMA), F.col("target_path"), F.lit("FULL")).orderBy("call_index").collect()
+    held, number, seen_at = {}, {}, {}
+    for r, (_, k, _, path, sha, n, *_) in zip(got, rows):
+        if path is None:
+            assert r["decision"] == "SOURCE_UNKNOWN"
+            continue
+        if path not in held:
+            number[path] = len(number) + 1
+            want = "FIRST_READ"
+        elif held[path] != sha:
+            want = "SOURCE_CHANGED"
+        else:
+            want = "NOT_ECONOMIC" if len(receipts.REFERENCE % (number[path], sha, n)) >= n else "HISTORICAL_IDENTICAL"
+        assert (r["decision"], r["receipt_no"]) == (want, number[path])
+        assert r["distance"] == (None if want == "FIRST_READ" else k - seen_at[path])
+        held[path] = sha
+        if want != "NOT_ECONOMIC":
+            seen_at[path] = k
+
+
+def test_hash_chain_covers_order_and_content(spark):
+    df = lambda rows: receipts.hash_chain(spark.createDataFrame(rows, "s string, i int, p string"), "s", "i", F.col("p")).first()["head"]
+    a = df([("s", 1, "x"), ("s", 2, "y")])
+    assert a == df([("s", 2, "y"), ("s", 1, "x")]) != df([("s", 1, "y"), ("s", 2, "x")])
+
+
+def test_graph_on_toys(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",)], "node string")
+    assert {r["node"]: r["distance"] for r in discovery.distances(edges, seeds).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    nodes = spark.createDataFrame([(x,) for x in "abcdxy"], "node string")
+    rank = {r["node"]: r["rank"] for r in discovery.pagerank(nodes, edges, seeds.withColumn("weight", F.lit(1.0)), iterations=60).collect()}
+    assert abs(sum(rank.values()) - 1) < 1e-4 and min(rank[x] for x in "abcd") > rank["y"] > rank["x"]
+
+
+def test_evidence_classes(spark):
+    cases = {
+        "": "UNKNOWN", "all good\n0 failures": "UNKNOWN", "Error: x": "FAILURE", "password = x": "SECURITY", "CVE-2024-1234": "SECURITY", "audit log": "AUTHORITY", "warning: x": "DIAGNOSTIC",
+        "commit 0123456789": "CANONICAL_STATE", "benchmark": "BENCHMARK", '{"a": 1}': "MACHINE_DATA", "{broken": "UNKNOWN", "3 passed": "SUCCESS_SUMMARY", "total 3": "DISCOVERY", "...\n....": "NOISE", "Downloading 5%\n...": "PROGRESS", "x": "UNKNOWN",
+    }
+    df = spark.createDataFrame(list(cases), "string").select("value", text.evidence_class(F.col("value"), F.lit(0)).alias("c"))
+    assert {r["value"]: r["c"] for r in df.collect()} == cases
+
+
+def test_identifier_tokens(spark):
+    df = spark.createDataFrame(["getHTTPResponse snake_case the A/b.Xy"], "string").select(text.identifier_tokens(F.col("value")).alias("t"))
+    assert df.first()["t"] == ["http", "response", "snake", "case", "xy"]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import documents, sessions
+from tracewell.plans import documents, sessions, streams
 
-_PLANS = (sessions, documents)
+_PLANS = (sessions, documents, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
