@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import documents, sessions, streams
+from tracewell.plans import documents, missions, sessions, streams
 
-_PLANS = (sessions, documents, streams)
+_PLANS = (sessions, documents, streams, missions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
