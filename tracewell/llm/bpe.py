@@ -251,14 +251,14 @@ class _Parts:
     ``compute`` gets a list of parts that are not known yet.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list]):
-        self.compute = compute
+    def __init__(self, compute: Callable[[list[str]], list], entries: int = CACHE_ENTRIES):
+        self.compute, self.entries = compute, entries
         self.young: dict = {}
         self.old: dict = {}
 
     def learn(self, parts) -> dict:
         """A mapping that has every one of ``parts``."""
-        if len(self.young) + len(parts) > CACHE_ENTRIES:
+        if len(self.young) + len(parts) > self.entries:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         missing = [p for p in parts if p not in young]

@@ -16,6 +16,7 @@ number and are unique; the assignment depends on how rows lie in partitions, its
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,13 +29,18 @@ from tracewell.llm.common import bound_batches, without_gc
 
 #: Tokens that are packed together, at least one document.
 BLOCK_TOKENS = 1 << 20
+MARKS = ".,!?;:"
+#: Bases of words kept in each generation of a worker's cache.
+BASES = 500_000
 
 
 class WordEncoder:
     """Ids of whole texts from a library tokenizer whose words are independent.
 
     The tokenizer drops white space, so a text is cut at spaces and line feeds and every word's
-    ids are kept in a bounded cache; unknown words go to the library together.
+    ids are kept in a bounded cache. Of unknown words, those of Latin letters with one mark at the
+    end are taken apart, and their lower-case bases looked up; unknown bases go to the library
+    together. The tokenizer lowers letters and splits marks off by itself, so the ids are the same.
     """
 
     def __init__(self, source: str):
@@ -46,9 +52,23 @@ class WordEncoder:
         library.no_truncation()
 
         def encode(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(words, add_special_tokens=False)]
-
-        self._known = _Parts(encode)
+            return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
+
+        marks = dict(zip(MARKS, encode(list(MARKS))))
+        bases = _Parts(encode, entries=BASES)
+
+        def assemble(words: list[str]) -> list[bytes]:
+            cut = []
+            for w in words:
+                mark = w[-1:]
+                if mark in marks and len(w) > 1 and w[:-1].isalpha() and max(w) < "\u0250":
+                    cut.append((w[:-1].lower(), marks[mark]))
+                else:
+                    cut.append((w.lower() if w.isascii() and w.isalpha() else w, b""))
+            known = bases.learn({w for w, _ in cut}).__getitem__
+            return [known(w) + mark for w, mark in cut]
+
+        self._known = _Parts(assemble)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
