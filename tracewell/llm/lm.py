@@ -22,7 +22,7 @@ successors, each with a quantised smoothed probability. A query finds its contex
 pointers and searches the successor within them.
 
 Shards and blocks have a fixed size and their number grows with the corpus; nothing is pruned or
-sampled. Words are known by 64-bit hashes, contexts in a shard by 40 bits, successors by 32 bits.
+sampled. Words are known by 64-bit hashes, contexts in a shard by 40 bits, successors of a context by 24 bits.
 
 Defined results: a null text counts as empty, that is, one end token; ids may be null or repeated,
 each row is scored by itself; without learned texts every token is unknown and has P1 = 1.
@@ -30,24 +30,28 @@ each row is scored by itself; without learned texts every token is unknown and h
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bound_batches, materialize
+from tracewell.llm.common import bound_batches, materialize, release_shuffles
 from tracewell.llm.eliasfano import EliasFano, mapped
 from tracewell.llm.textkernel import chunks, mix, words_of
 
 #: Texts' bytes and rows of a block; keys of a unigram shard and tokens of a trie shard.
-BLOCK_BYTES, BLOCK_ROWS = 6 << 20, 50_000
-SHARD_KEYS, SHARD_TOKENS = 2_000_000, 3_000_000
-#: A context with a larger share of all tokens is split by successor.
-HOT_SHARE = 1 / 512
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 50_000
+SHARD_KEYS, SHARD_TOKENS = 2_000_000, 2_000_000
+#: Learned tokens in one part of a context; a more frequent context is split by successor.
+PART_TOKENS = SHARD_TOKENS // 8
 KAPPA, POWER = 4.0, 0.8
 #: Codes of quantised probabilities for each power of ten.
 STEPS = 25
+#: Bits by which a context's successors are told apart.
+NEXT = np.uint64(24)
 END = np.uint64(0x6E0E5D0FF00D)
 
 
@@ -65,6 +69,11 @@ def from_small(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def squeezed(data: bytes) -> bytes:
+    """Places and codes are small numbers most of the time; fast compression saves a third of them."""
+    return zlib.compress(data, 1)
+
+
 def forty(keys: np.ndarray) -> bytes:
     """The upper 40 bits of each key."""
     return np.ascontiguousarray((keys >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -76,6 +85,17 @@ def from_forty(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def three(values: np.ndarray) -> bytes:
+    """The lower 24 bits of each value."""
+    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def from_three(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view(np.uint32).ravel()
+
+
 def code(p: np.ndarray) -> np.ndarray:
     """Quantised probabilities: steps of a power of ten, 255 at most."""
     return np.minimum(np.round(-np.log10(np.maximum(p, 1e-30)) * STEPS), 255).astype(np.uint8)
@@ -94,7 +114,7 @@ def slices(shard: np.ndarray, shards: int):
     return [(s, int(edges[s]), int(edges[s + 1])) for s in range(shards) if edges[s] < edges[s + 1]]
 
 
-BLOCK = "block long, ids array<long>, held array<boolean>, lengths binary, tokens binary, vocab binary, n_train int, counts binary"
+BLOCK = "block long, ids array<long>, held array<boolean>, n_tokens array<long>, tokens binary, vocab binary, n_train int, counts binary"
 
 
 def _block(number: int, rows: list[tuple]) -> dict:
@@ -109,17 +129,17 @@ def _block(number: int, rows: list[tuple]) -> dict:
         hashes.append(own)
         lengths.append(w.count + 1)
     tokens, lengths = np.concatenate(hashes), np.concatenate(lengths)
-    unique, inverse, times = np.unique(tokens, return_inverse=True, return_counts=True)
-    order = np.argsort(-times, kind="stable")
+    unique, first, inverse, times = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+    order = np.lexsort((first, -times))  # words seen once are numbered as they come, so their places differ by one
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     place = rank[inverse]
     n_train = sum(not r[1] for r in rows)
     learned = np.bincount(place[: int(lengths[:n_train].sum())], minlength=len(order))
     over = place >= 65535
-    data = np.where(over, 65535, place).astype(np.uint16).tobytes() + place[over].astype(np.uint32).tobytes()
+    data = squeezed(np.where(over, 65535, place).astype(np.uint16).tobytes() + np.diff(place[over], prepend=0).astype(np.int32).tobytes())
     return {
-        "block": number, "ids": [r[0] for r in rows], "held": [r[1] for r in rows], "lengths": lengths.astype(np.uint32).tobytes(),
+        "block": number, "ids": [r[0] for r in rows], "held": [r[1] for r in rows], "n_tokens": lengths,
         "tokens": data, "vocab": unique[order].tobytes(), "n_train": n_train, "counts": small(learned),
     }
 
@@ -129,7 +149,7 @@ def _record(row: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 _BLOCK_SCHEMA = pa.schema(
-    [("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("vocab", pa.binary()), ("n_train", pa.int32()), ("counts", pa.binary())]
+    [("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("tokens", pa.binary()), ("vocab", pa.binary()), ("n_train", pa.int32()), ("counts", pa.binary())]
 )
 
 
@@ -189,7 +209,6 @@ _ASK_SCHEMA = pa.schema(
 def _ask_bigrams(shards: int, total: int, types: int, ones: int, twos: int):
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
     unknown = discount * types / total if total else 1.0
-    hot = max(1.0, total * HOT_SHARE)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -200,11 +219,12 @@ def _ask_bigrams(shards: int, total: int, types: int, ones: int, twos: int):
             sizes = np.bincount(shard_of(vocab, b["shards"]), minlength=b["shards"])
             counts = np.empty(len(vocab), np.int64)
             counts[order] = np.concatenate([from_small(a, int(n)) for a, n in zip(answers, sizes[sizes > 0])])
-            lengths = np.frombuffer(b["lengths"], np.uint32).astype(np.int64)
+            lengths = np.array(b["n_tokens"], np.int64)
             n_tokens = int(lengths.sum())
-            place = np.frombuffer(b["tokens"], np.uint16, n_tokens).astype(np.int64)
+            data = zlib.decompress(b["tokens"])
+            place = np.frombuffer(data, np.uint16, n_tokens).astype(np.int64)
             over = place == 65535
-            place[over] = np.frombuffer(b["tokens"], np.uint32, int(over.sum()), 2 * n_tokens)
+            place[over] = np.cumsum(np.frombuffer(data, np.int32, int(over.sum()), 2 * n_tokens))
             first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             base = np.add.reduceat(np.log10(counts + 0.5)[place], first) - lengths * np.log10(total + 0.5 * (types + 1))
             known = np.add.reduceat((counts > 0)[place].astype(np.int64), first)
@@ -216,13 +236,15 @@ def _ask_bigrams(shards: int, total: int, types: int, ones: int, twos: int):
             context[1:] = place[:-1]
             context[first] = int(np.flatnonzero(vocab == END)[0])
             pair = context * len(vocab) + place
+            del context, place, over
             by_pair = np.argsort(pair, kind="stable")
             unique, at, times = np.unique(pair[by_pair], return_index=True, return_counts=True)
             c, w = unique // len(vocab), unique % len(vocab)
-            parts = np.ceil(counts[c] / hot).astype(np.uint64)
+            del pair, unique
+            parts = np.ceil(counts[c] / PART_TOKENS).astype(np.uint64)
             part = np.where(parts > 1, (vocab[w] >> np.uint64(40)) % np.maximum(parts, np.uint64(1)), np.uint64(0))
             key = mix(vocab[c] + part * np.uint64(0x9E3779B97F4A7C15))
-            follow = (vocab[w] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            follow = (vocab[w] & np.uint64(0xFFFFFF)).astype(np.uint32)
             order = np.lexsort((follow, key))
             key, follow, times, at, c, w = key[order], follow[order], times[order], at[order], c[order], w[order]
             stop = np.cumsum(times)
@@ -235,7 +257,7 @@ def _ask_bigrams(shards: int, total: int, types: int, ones: int, twos: int):
                 rows.append(
                     {
                         "shard": s, "block": b["block"], "n_train": b["n_train"], "ctx": forty(key[new[a:z]]), "ctx_count": small(counts[c[new[a:z]]]), "ctx_pairs": small(pairs[a:z]),
-                        "next": follow[lo:hi].tobytes(), "next_code": p1[w[lo:hi]].tobytes(), "texts_of": small(times[lo:hi]), "texts": texts[start[lo] : stop[hi - 1]].tobytes(),
+                        "next": three(follow[lo:hi]), "next_code": squeezed(p1[w[lo:hi]].tobytes()), "texts_of": small(times[lo:hi]), "texts": squeezed(texts[start[lo] : stop[hi - 1]].tobytes()),
                     }
                 )
         return pa.Table.from_batches([_record(r, _ASK_SCHEMA) for r in rows], _ASK_SCHEMA)
@@ -251,7 +273,7 @@ class Trie:
         mu = KAPPA * counts.astype(float) ** POWER
         self.contexts = EliasFano(contexts, 1 << 40)
         self.pointers = EliasFano(np.searchsorted(pair_context, np.arange(len(contexts) + 1)), len(pair_next) + 1)
-        self.successors = EliasFano(pair_context.astype(np.uint64) << np.uint64(32) | pair_next.astype(np.uint64), max(len(contexts), 1) << 32)
+        self.successors = EliasFano(pair_context.astype(np.uint64) << NEXT | pair_next.astype(np.uint64), max(len(contexts), 1) << int(NEXT))
         self.backoff = mapped(code(np.where(counts > 0, mu / np.maximum(counts + mu, 1), 1.0)))
         self.share = mapped(code(pair_count / np.maximum((counts + mu)[pair_context], 1)))
 
@@ -259,7 +281,7 @@ class Trie:
         at = self.contexts.find(context)
         own = np.maximum(at, 0)
         begin, end = (self.pointers.get(own + k).astype(np.int64) for k in (0, 1))
-        place = self.successors.find(own.astype(np.uint64) << np.uint64(32) | following.astype(np.uint64), begin, end)
+        place = self.successors.find(own.astype(np.uint64) << NEXT | following.astype(np.uint64), begin, end)
         seen = (at >= 0) & (place >= 0)
         share = np.where(seen, _VALUE[self.share[np.maximum(place, 0)]], 0.0) if self.successors.n else 0.0
         return share + np.where(at >= 0, _VALUE[self.backoff[own]], 1.0) * p1
@@ -280,11 +302,11 @@ def _answer_bigrams(table: pa.Table) -> pa.Table:
             continue
         ctx = from_forty(r["ctx"])
         pairs = from_small(r["ctx_pairs"], len(ctx))
-        follow = np.frombuffer(r["next"], np.uint32)
+        follow = from_three(r["next"])
         times = from_small(r["texts_of"], len(follow))
-        texts = np.frombuffer(r["texts"], np.uint16)
+        texts = np.frombuffer(zlib.decompress(r["texts"]), np.uint16)
         learned = np.add.reduceat((texts < r["n_train"]).astype(np.int64), np.cumsum(times) - times)
-        asked.append((r["block"], ctx, from_small(r["ctx_count"], len(ctx)), pairs, follow, np.frombuffer(r["next_code"], np.uint8), times, texts, learned))
+        asked.append((r["block"], ctx, from_small(r["ctx_count"], len(ctx)), pairs, follow, np.frombuffer(zlib.decompress(r["next_code"]), np.uint8), times, texts, learned))
     if asked:
         contexts, place = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
         counts = np.zeros(len(contexts), np.int64)
@@ -292,16 +314,16 @@ def _answer_bigrams(table: pa.Table) -> pa.Table:
         of_pair = np.repeat(place, np.concatenate([a[3] for a in asked]))
         follow = np.concatenate([a[4] for a in asked])
         learned = np.concatenate([a[8] for a in asked])
-        key = of_pair.astype(np.uint64) << np.uint64(32) | follow.astype(np.uint64)
+        key = of_pair.astype(np.uint64) << NEXT | follow.astype(np.uint64)
         known, inverse = np.unique(key, return_inverse=True)
         times = np.bincount(inverse, learned).astype(np.int64)
         known, times = known[times > 0], times[times > 0]
-        trie = Trie(contexts, counts, (known >> np.uint64(32)).astype(np.int64), known & np.uint64(0xFFFFFFFF), times)
+        trie = Trie(contexts, counts, (known >> NEXT).astype(np.int64), known & np.uint64(0xFFFFFF), times)
         for block, ctx, _, pairs, follow, codes, times, texts, _ in asked:
             log = np.log10(np.maximum(trie.probability(np.repeat(ctx, pairs), follow, _VALUE[codes]), 1e-30))
             sums = np.bincount(texts, np.repeat(log, times))
             places = np.flatnonzero(sums).astype(np.uint16)
-            out.append(_record({"block": block, "places": places.tobytes(), "sums": sums[places].tobytes()}, _ANSWER_SCHEMA))
+            out.append(_record({"block": block, "places": places.tobytes(), "sums": sums[places].astype(np.float32).tobytes()}, _ANSWER_SCHEMA))
     return pa.Table.from_batches(out, _ANSWER_SCHEMA)
 
 
@@ -311,7 +333,7 @@ def _collect(total: int):
         head = next(r for r in parts if r["ids"] is not None)
         score = np.zeros(len(head["ids"]))
         for r in sorted((r for r in parts if r["places"] is not None), key=lambda r: (r["places"], r["sums"])):
-            score[np.frombuffer(r["places"], np.uint16)] += np.frombuffer(r["sums"], np.float64)
+            score[np.frombuffer(r["places"], np.uint16)] += np.frombuffer(r["sums"], np.float32)
         return pa.table(
             {
                 "id": pa.array(head["ids"], pa.int64()), "held_out": pa.array(head["held"], pa.bool_()), "n_tokens": pa.array(head["n_tokens"], pa.int64()), "n_known": pa.array(head["n_known"], pa.int64()),
@@ -330,15 +352,20 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     bound_batches(docs.sparkSession)
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     held = materialize(blocks(source.select("id", held_out.alias("held"), "text")), "lm-blocks")
-    size = held.agg(F.sum(F.octet_length("vocab") / 8), F.sum(F.octet_length("tokens") / 2)).first()
+    size = held.agg(F.sum(F.octet_length("vocab") / 8), F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n))).first()
     keys, tokens = int(size[0] or 0), int(size[1] or 0)
     shards, tries = max(1, -(-keys // SHARD_KEYS)), max(1, -(-tokens // SHARD_TOKENS))
-    asked = held.select("block", "vocab", "counts").mapInArrow(_ask_unigrams(shards), "shard int, block long, vocab binary, counts binary")
-    answer = asked.groupBy("shard").applyInArrow(_answer_unigrams, "shard int, block long, totals binary, n long, v long, n1 long, n2 long")
-    answer = materialize(answer, "lm-unigrams")
+    answer = materialize(
+        held.select("block", "vocab", "counts")
+        .mapInArrow(_ask_unigrams(shards), "shard int, block long, vocab binary, counts binary")
+        .groupBy("shard")
+        .applyInArrow(_answer_unigrams, "shard int, block long, totals binary, n long, v long, n1 long, n2 long"),
+        "lm-unigrams",
+    )
+    release_shuffles(docs.sparkSession)
     total, types, ones, twos = (int(x or 0) for x in answer.agg(F.sum("n"), F.sum("v"), F.sum("n1"), F.sum("n2")).first())
     bigrams = (
-        held.withColumn("shards", F.lit(shards))
+        held.drop("counts").withColumn("shards", F.lit(shards))
         .groupBy("block")
         .cogroup(answer.select("shard", "block", "totals").groupBy("block"))
         .applyInArrow(_ask_bigrams(tries, total, types, ones, twos), ASK)
