@@ -22,6 +22,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,17 +34,19 @@ from tracewell.llm.common import bound_batches, without_gc
 from tracewell.llm.textkernel import mix
 
 BUCKETS_BITS = 17
-DIMENSIONS = 6
+DIMENSIONS = 4
 SHORTEST, LONGEST = 3, 6
 WINDOW = 8
 SAMPLE, SAMPLE_BYTES = 1200, 8000
 EPOCHS, DECAY = 12, 1e-7
 #: Steps of the embeddings, the softmax and the bias.
-RATES = (0.01, 0.1, 0.4)
+RATES = (0.003, 0.1, 0.4)
 #: Damps the steps of n-grams whose gradients are small beside the largest.
 FLOOR = 0.1
 #: Standard errors by which an n-gram's share of texts must differ to start with a weight.
 SURE = 3.0
+#: N-grams of fewer sampled texts keep no embedding.
+LEAST_TEXTS = 3
 #: Weight of all clean texts against all toxic ones when scores become probabilities.
 CLEAN_WEIGHT = 3.0
 _WORD = re.compile(r"\w+")
@@ -92,33 +95,38 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     for k, t in enumerate(texts):
         found = [index.setdefault(w, len(index)) for w in _WORD.findall(t.lower())]
         for lo in range(0, len(found), WINDOW):
-            words.append(np.array(found[lo : lo + WINDOW]))
+            words.append(found[lo : lo + WINDOW])
             window_text.append(k)
     size = np.fromiter(map(len, words), np.int64)
-    word = np.concatenate(words)
-    window = np.repeat(np.arange(len(size)), size)
-    owner = np.array(window_text)
-    gram_word, gram = subwords(list(index))
-    used, gram = np.unique(gram, return_inverse=True)
-    n_words, n_windows, n_used = len(index), len(size), len(used)
+    word = np.fromiter(chain.from_iterable(words), np.int32)
+    del words
+    window = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    owner, each = np.array(window_text), size.astype(np.float32)[:, None]
+    n_words, n_windows = len(index), len(size)
+    listed, parts = list(index), []
+    for lo in range(0, n_words, 20_000):  # a few words at a time: 64-bit work arrays are large
+        w, g = subwords(listed[lo : lo + 20_000])
+        parts.append(((w + lo).astype(np.int32), g.astype(np.int32)))
+    gram_word, gram = (np.concatenate(x) for x in zip(*parts))
+    del listed, parts
     grams_of = np.bincount(gram_word, minlength=n_words).astype(np.float32)
-    gram_first = np.concatenate([[0], np.cumsum(grams_of)[:-1]]).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(grams_of)]).astype(np.int64)
+    bad, good = (np.zeros(1 << BUCKETS_BITS, np.int64) for _ in range(2))
+    for k, t in enumerate(texts):
+        own = {index[w] for w in _WORD.findall(t.lower())}
+        if own:
+            (bad if toxic[k] else good)[np.unique(np.concatenate([gram[first[w] : first[w + 1]] for w in own]))] += 1
+    kept = (bad + good)[gram] >= LEAST_TEXTS
+    gram_word, gram = gram_word[kept], gram[kept]
+    used, gram = np.unique(gram, return_inverse=True)
+    bad, good, n_used, gram = bad[used], good[used], len(used), gram.astype(np.int32)
+    some, gram_first = np.unique(gram_word, return_index=True)
     window_first = np.concatenate([[0], np.cumsum(size)[:-1]])
     by_word, by_gram = np.argsort(word, kind="stable"), np.argsort(gram, kind="stable")
     word_first = np.searchsorted(word[by_word], np.arange(n_words))
     used_first = np.searchsorted(gram[by_gram], np.arange(n_used))
     label = toxic[owner].astype(np.int64)
     # start where whole texts already tell the classes apart, so that the first windows chosen are telling ones
-    pair = np.unique(owner[window].astype(np.int64)[by_word] * n_words + word[by_word])
-    seen_word, seen_text = pair % n_words, pair // n_words
-    order = np.argsort(seen_word, kind="stable")
-    times = np.bincount(seen_word, minlength=n_words)
-    spread = np.repeat(np.arange(len(gram)), times[gram_word])
-    place = np.arange(len(spread)) - np.repeat(np.cumsum(times[gram_word]) - times[gram_word], times[gram_word])
-    text_of = seen_text[order][(np.cumsum(times) - times)[gram_word][spread] + place]
-    both = np.unique(gram[spread].astype(np.int64) * len(texts) + text_of)
-    bad = np.bincount(both // len(texts), toxic[both % len(texts)], n_used)
-    good = np.bincount(both // len(texts), ~toxic[both % len(texts)], n_used)
     n_bad, n_good = toxic.sum(), (~toxic).sum()
     share = (bad + good + 1) / (n_bad + n_good + 2)
     sure = np.abs(bad / n_bad - good / n_good) >= SURE * np.sqrt(share * (1 - share) * (1 / n_bad + 1 / n_good))
@@ -129,8 +137,9 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for epoch in range(EPOCHS):
         e, s, b = params
-        vec = np.add.reduceat(e[gram], gram_first) / grams_of[:, None]
-        mean = np.add.reduceat(vec[word], window_first) / size[:, None]
+        vec = np.zeros((n_words, DIMENSIONS), np.float32)
+        vec[some] = np.add.reduceat(e[gram], gram_first) / grams_of[some, None]
+        mean = np.add.reduceat(vec[word], window_first) / each
         logit = mean @ s + b
         p = np.exp(logit - logit.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -144,7 +153,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         d = p.copy()
         d[np.arange(n_windows), label] -= 1
         d *= weight[:, None]
-        d_mean = (d @ s.T) / size[:, None]
+        d_mean = ((d @ s.T) / each).astype(np.float32)
         d_vec = np.add.reduceat(d_mean[window[by_word]], word_first) / grams_of[:, None]
         d_e = np.add.reduceat(d_vec[gram_word[by_gram]], used_first) + DECAY * e
         slower = 1 - epoch / EPOCHS
@@ -220,7 +229,7 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, te
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
     chosen = None
     for kind in (True, False):
-        # ids first: twice the bound, as some have no text of that size
+        # ids are chosen before any text moves
         ids = known.where(F.col("toxic") == kind).join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
         chosen = ids if chosen is None else chosen.unionByName(ids)
     rows = texts.join(F.broadcast(chosen), "id").groupBy("text", "toxic").agg(F.min("id").alias("id")).orderBy("id", "toxic").collect()
