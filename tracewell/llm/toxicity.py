@@ -38,9 +38,9 @@ DIMENSIONS = 4
 SHORTEST, LONGEST = 3, 6
 WINDOW = 8
 SAMPLE, SAMPLE_BYTES = 1200, 8000
-EPOCHS, DECAY = 12, 1e-7
-#: Steps of the embeddings, the softmax and the bias.
-RATES = (0.003, 0.1, 0.4)
+EPOCHS, DECAY = 40, 1e-7
+#: Steps of the embeddings, the softmax and the bias; embeddings that start at zero need long ones.
+RATES = (0.1, 0.1, 0.4)
 #: Damps the steps of n-grams whose gradients are small beside the largest.
 FLOOR = 0.1
 #: Standard errors by which an n-gram's share of texts must differ to start with a weight.
