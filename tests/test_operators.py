@@ -88,3 +88,27 @@ def test_evidence_classes(spark):
 def test_identifier_tokens(spark):
     df = spark.createDataFrame(["getHTTPResponse snake_case the A/b.Xy"], "string").select(text.identifier_tokens(F.col("value")).alias("t"))
     assert df.first()["t"] == ["http", "response", "snake", "case", "xy"]
+
+
+def test_converged_pagerank_equals_power_iteration(spark):
+    from tracewell.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda t: spark.read.parquet(f"{sf}/{t}.parquet").collect()
+    supplier, nation, region = rows("supplier"), rows("nation"), rows("region")
+    edges = {(f"s{r['s_suppkey']}", f"n{r['s_nationkey']}") for r in supplier} | {(f"n{r['n_nationkey']}", f"r{r['n_regionkey']}") for r in nation}
+    nodes = [f"s{r['s_suppkey']}" for r in supplier] + [f"n{r['n_nationkey']}" for r in nation] + [f"r{r['r_regionkey']}" for r in region]
+    out = {x: [b for a, b in edges if a == x] for x in nodes}
+    seed = {x: (x[0] == "s") / len(supplier) for x in nodes}
+    rank = dict(seed)
+    for _ in range(400):
+        idle = sum(rank[x] for x in nodes if not out[x])
+        new = {x: 0.15 * seed[x] + 0.85 * idle / len(nodes) for x in nodes}
+        for x in nodes:
+            for y in out[x]:
+                new[y] += 0.85 * rank[x] / len(out[x])
+        rank = new
+    mass = sum(rank.values())
+    got = {r["node"]: r["rank"] for r in registry.queries()["pagerank_converged"](spark, sf).collect()}
+    assert got.keys() == rank.keys() and max(abs(got[x] - rank[x] / mass) for x in nodes) < 2e-6
+    assert max(abs(r["rank"] - got[r["node"]]) for r in registry.queries()["pagerank"](spark, sf).collect()) > 1e-4
