@@ -20,3 +20,14 @@ def test_rare_words_that_start_at_zero_are_learned():
     model = toxicity.train(texts, np.arange(240) < 120)
     fresh = scored(model, [with_word(w) for w in bad] + [sentence(rng, 6) for _ in range(60)])
     assert (fresh[:30, None] > fresh[None, 30:]).mean() > 0.95
+
+
+def test_scores_do_not_depend_on_the_words_before_a_passage():
+    rng = random.Random(6)
+    weights = np.random.default_rng(1).normal(0, 1, 1 << toxicity.BUCKETS_BITS).astype(np.float32)
+    tool, one = toxicity.Scorer(weights, 0.0), lambda w: float(toxicity.Scorer(weights, 0.0).logits([w])[0]) * toxicity.WINDOW
+    for n in (1, 3, 8, 9, 40):
+        words = sentence(rng, n).rstrip(".").split()
+        each = [one(w) for w in words] + [0.0] * (toxicity.WINDOW - n)
+        want = max(sum(each[k : k + toxicity.WINDOW]) for k in range(len(each) - toxicity.WINDOW + 1)) / toxicity.WINDOW
+        assert abs(tool.logits([" ".join(words)])[0] - want) < 1e-5

@@ -1,8 +1,8 @@
 """Toxicity classifier: subword bags under a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (over UTF-8 bytes, with edge marks) hashed into
-``BUCKETS`` embeddings; a window of ``WINDOW`` words is the average of its words. Embeddings and
-softmax are trained together, so a misspelling that was never seen shares the vectors of the
+``BUCKETS`` embeddings; any ``WINDOW`` words in a row are a window, the average of its words. A text
+of fewer words is one window whose missing words count as zero. Embeddings and softmax are trained together, so a misspelling that was never seen shares the vectors of the
 n-grams it keeps. A text scores as its most toxic window.
 
 A label covers a whole text, so only the highest window of a toxic text counts as toxic, while all
@@ -22,7 +22,6 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -91,18 +90,18 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     if not len(toxic) or toxic.all() or not toxic.any():
         return Model(model.embeddings * 0, model.softmax * 0, np.array([800.0, 0.0], np.float32))
     index: dict[str, int] = {}
-    words, window_text = [], []
-    for k, t in enumerate(texts):
-        found = [index.setdefault(w, len(index)) for w in _WORD.findall(t.lower())]
-        for lo in range(0, len(found), WINDOW):
-            words.append(found[lo : lo + WINDOW])
-            window_text.append(k)
-    size = np.fromiter(map(len, words), np.int64)
-    word = np.fromiter(chain.from_iterable(words), np.int32)
-    del words
-    window = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    owner, each = np.array(window_text), size.astype(np.float32)[:, None]
-    n_words, n_windows = len(index), len(size)
+    found = [np.fromiter((index.setdefault(w, len(index)) for w in _WORD.findall(t.lower())), np.int32) for t in texts]
+    n_words = len(index)
+    # every text has WINDOW places at least, those without a word hold the word n_words; windows start where all places are the text's
+    size = np.array([max(len(w), WINDOW) if len(w) else 0 for w in found])
+    place = np.cumsum(size) - size
+    word = np.full(size.sum(), n_words, np.int32)
+    for at, w in zip(place, found):
+        word[at : at + len(w)] = w
+    starts = np.concatenate([np.arange(at, at + n - WINDOW + 1) for at, n in zip(place, size) if n] or [np.zeros(0, np.int64)])
+    owner = np.repeat(np.arange(len(texts)), np.maximum(size - WINDOW + 1, 0))
+    if not toxic[owner].any() or toxic[owner].all():
+        return Model(model.embeddings * 0, model.softmax * 0, np.array([800.0, 0.0], np.float32))
     listed, parts = list(index), []
     for lo in range(0, n_words, 20_000):  # a few words at a time: 64-bit work arrays are large
         w, g = subwords(listed[lo : lo + 20_000])
@@ -112,19 +111,15 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     grams_of = np.bincount(gram_word, minlength=n_words).astype(np.float32)
     first = np.concatenate([[0], np.cumsum(grams_of)]).astype(np.int64)
     bad, good = (np.zeros(1 << BUCKETS_BITS, np.int64) for _ in range(2))
-    for k, t in enumerate(texts):
-        own = {index[w] for w in _WORD.findall(t.lower())}
-        if own:
-            (bad if toxic[k] else good)[np.unique(np.concatenate([gram[first[w] : first[w + 1]] for w in own]))] += 1
+    for k, own in enumerate(found):
+        if len(own):
+            (bad if toxic[k] else good)[np.unique(np.concatenate([gram[first[w] : first[w + 1]] for w in np.unique(own)]))] += 1
     kept = (bad + good)[gram] >= LEAST_TEXTS
     gram_word, gram = gram_word[kept], gram[kept]
     used, gram = np.unique(gram, return_inverse=True)
     bad, good, n_used, gram = bad[used], good[used], len(used), gram.astype(np.int32)
-    some, gram_first = np.unique(gram_word, return_index=True)
-    window_first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    by_word, by_gram = np.argsort(word, kind="stable"), np.argsort(gram, kind="stable")
-    word_first = np.searchsorted(word[by_word], np.arange(n_words))
-    used_first = np.searchsorted(gram[by_gram], np.arange(n_used))
+    text_first = np.flatnonzero(np.diff(owner, prepend=-1))
+    text_windows = np.diff(np.append(text_first, len(owner)))
     label = toxic[owner].astype(np.int64)
     # start where whole texts already tell the classes apart, so that the first windows chosen are telling ones
     n_bad, n_good = toxic.sum(), (~toxic).sum()
@@ -137,25 +132,35 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for epoch in range(EPOCHS):
         e, s, b = params
-        vec = np.zeros((n_words, DIMENSIONS), np.float32)
-        vec[some] = np.add.reduceat(e[gram], gram_first) / grams_of[some, None]
-        mean = np.add.reduceat(vec[word], window_first) / each
+        vec = np.zeros((n_words + 1, DIMENSIONS), np.float32)
+        for k in range(DIMENSIONS):
+            vec[:n_words, k] = np.bincount(gram_word, e[gram, k], n_words) / grams_of
+        placed = vec[word]
+        total = placed.copy()
+        for k in range(1, WINDOW):
+            total[:-k] += placed[k:]
+        mean = total[starts] / WINDOW
         logit = mean @ s + b
         p = np.exp(logit - logit.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        weight = np.ones(n_windows, np.float32)
-        order = np.lexsort((-p[:, 1], owner))
-        top = np.zeros(n_windows, bool)
-        top[order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]] = True
+        weight = np.ones(len(starts), np.float32)
+        margin = logit[:, 1] - logit[:, 0]
+        top = margin == np.repeat(np.maximum.reduceat(margin, text_first), text_windows)
         weight[(label == 1) & ~top] = 0
         for c in (0, 1):  # both classes weigh the same
             weight[label == c] /= max(weight[label == c].sum(), 1) * 2
         d = p.copy()
-        d[np.arange(n_windows), label] -= 1
+        d[np.arange(len(label)), label] -= 1
         d *= weight[:, None]
-        d_mean = ((d @ s.T) / each).astype(np.float32)
-        d_vec = np.add.reduceat(d_mean[window[by_word]], word_first) / grams_of[:, None]
-        d_e = np.add.reduceat(d_vec[gram_word[by_gram]], used_first) + DECAY * e
+        d_start = np.zeros((len(word), DIMENSIONS), np.float32)
+        d_start[starts] = d @ s.T / WINDOW
+        d_place = d_start.copy()
+        for k in range(1, WINDOW):
+            d_place[k:] += d_start[:-k]
+        d_e = DECAY * e
+        for k in range(DIMENSIONS):
+            d_word = np.bincount(word, d_place[:, k], n_words + 1)[:n_words] / grams_of
+            d_e[:, k] += np.bincount(gram, d_word[gram_word], n_used)
         slower = 1 - epoch / EPOCHS
         for k, g in enumerate((d_e, mean.T @ d, d.sum(0))):
             m, v = state[k]
@@ -208,9 +213,10 @@ class Scorer:
         logit = np.full(len(texts), self._bias)
         for k, own in enumerate(words):
             if own:
-                first = np.arange(0, len(own), WINDOW)
-                total = np.add.reduceat(np.fromiter(map(known, own), np.float64, len(own)), first)
-                logit[k] += (total / np.diff(np.append(first, len(own)))).max()
+                total = np.zeros(max(len(own), WINDOW) + 1)
+                np.cumsum(np.fromiter(map(known, own), np.float64, len(own)), out=total[1 : len(own) + 1])
+                total[len(own) + 1 :] = total[len(own)]
+                logit[k] += (total[WINDOW:] - total[:-WINDOW]).max() / WINDOW
         return logit
 
     def __call__(self, texts: list[str]) -> np.ndarray:
