@@ -3,13 +3,14 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.test_models import sentence
 from tracewell.llm import toxicity
 
 
 def scored(model, texts):
-    return toxicity.Scorer(model.word_weights().astype(np.float32), float(model.bias[1] - model.bias[0]))(texts)
+    return toxicity.Scorer(model.word_weights().astype(np.float32), float(model.bias[1] - model.bias[0]), model.length)(texts)
 
 
 def test_rare_words_that_start_at_zero_are_learned():
@@ -31,3 +32,16 @@ def test_scores_do_not_depend_on_the_words_before_a_passage():
         each = [one(w) for w in words] + [0.0] * (toxicity.WINDOW - n)
         want = max(sum(each[k : k + toxicity.WINDOW]) for k in range(len(each) - toxicity.WINDOW + 1)) / toxicity.WINDOW
         assert abs(tool.logits([" ".join(words)])[0] - want) < 1e-5
+
+
+def test_sample_holds_long_texts_and_long_clean_texts_stay(spark):
+    rng = random.Random(7)
+    size = lambda k: 1500 if k % 6 == 0 else 30
+    texts = [sentence(rng, size(k)) + (" dreadfool" if k % 2 else "") for k in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(240)], "doc_id long, toxic int")
+    learned, toxic = toxicity.sample(docs, labels, F.lit(False), "doc_id", "text", "toxic")
+    assert sorted(learned) == sorted(texts) and toxic.sum() == 120
+    model = toxicity.train(learned, toxic)
+    assert model.length <= 0 and scored(model, [""])[0] < 0.3
+    assert (scored(model, [sentence(rng, 1500) for _ in range(40)]) < 0.3).mean() > 0.9

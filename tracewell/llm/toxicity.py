@@ -8,8 +8,11 @@ n-grams it keeps. A text scores as its most toxic window.
 A label covers a whole text, so only the highest window of a toxic text counts as toxic, while all
 windows of other texts count as clean. Training starts from n-grams that set whole texts apart.
 
-Fitting uses a bounded sample of labelled rows: up to ``SAMPLE`` of each class, in the order of a
-hash of the id, among texts of at most ``SAMPLE_BYTES``. Scoring covers every whole text.
+A long text has more windows, so its highest one is higher by chance: the logarithm of their number
+enters the score, with a weight found by the calibration.
+
+Fitting uses a bounded sample of labelled rows of all lengths: up to ``SAMPLE`` of each class, in the
+order of a hash of the id, as far as ``SAMPLE_BYTES`` of text go. Scoring covers every whole text.
 
 Defined results: a null or wordless text has the score of the bias alone; ids may be null or
 repeated and pass through; an id with several labels is toxic if any label is; null labels are
@@ -27,6 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.bpe import _groups, _Parts
 from tracewell.llm.common import bound_batches, without_gc
@@ -36,7 +40,8 @@ BUCKETS_BITS = 17
 DIMENSIONS = 4
 SHORTEST, LONGEST = 3, 6
 WINDOW = 8
-SAMPLE, SAMPLE_BYTES = 1200, 8000
+#: Rows and bytes of text of each class that are learned from.
+SAMPLE, SAMPLE_BYTES = 1200, 6_000_000
 EPOCHS, DECAY = 40, 1e-7
 #: Steps of the embeddings, the softmax and the bias; embeddings that start at zero need long ones.
 RATES = (0.1, 0.1, 0.4)
@@ -77,6 +82,8 @@ class Model:
     embeddings: np.ndarray
     softmax: np.ndarray
     bias: np.ndarray
+    #: What the logarithm of a text's number of windows adds to the toxic logit.
+    length: float = 0.0
 
     def word_weights(self) -> np.ndarray:
         """Per bucket: what it adds to the toxic logit, less the clean one."""
@@ -170,32 +177,41 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
             params[k] = (params[k] - RATES[k] * slower * step).astype(np.float32)
     model.embeddings[:] = 0
     model.embeddings[used] = params[0]
-    scale, shift = _calibration(model, params, texts, toxic)
+    scale, model.length, shift = _calibration(model, params, texts, toxic)
     model.softmax, model.bias = params[1] * scale, np.array([-shift / 2, shift / 2], np.float32)
     return model
 
 
-def _calibration(model: Model, params: list[np.ndarray], texts: list[str], toxic: np.ndarray) -> tuple[float, float]:
-    """Scale and shift that turn a text's highest window into a probability; clean texts weigh CLEAN_WEIGHT."""
+def _calibration(model: Model, params: list[np.ndarray], texts: list[str], toxic: np.ndarray) -> tuple[float, float, float]:
+    """Scale, weight of the windows' logarithm and shift that turn a text's highest window into a probability.
+
+    Clean texts weigh CLEAN_WEIGHT. More windows never make a text more toxic, and a text without any
+    evidence is at most as toxic as texts are by weight.
+    """
     weights = (model.embeddings @ (params[1][:, 1] - params[1][:, 0])).astype(np.float32)
-    x = np.clip(Scorer(weights, 0.0).logits(texts), -50, 50)
-    a, b = 0.1, -1.0
+    highest, count = Scorer(weights, 0.0).highest(texts)
+    design = np.stack([np.clip(highest, -50, 50), np.log(count), np.ones(len(texts))], 1)
+    ridge = np.array([1e-3, 1.0, 1e-3])
     w = np.where(toxic, 1.0, CLEAN_WEIGHT * toxic.sum() / (~toxic).sum())
-    design = np.stack([x, np.ones_like(x)], 1)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = design.T @ (w * (p - toxic)) + np.array([1e-3 * a, 1e-3 * b])
-        h = (design * (w * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        step /= max(1.0, np.abs(step).max() / 2)
-        a, b = a - step[0], b - step[1]
-    return max(a, 1e-3), b
+    most = np.array([np.inf, 0.0, -np.log(CLEAN_WEIGHT)])
+    fit, free = np.array([0.1, 0.0, -np.log(CLEAN_WEIGHT)]), np.ones(3, bool)
+    for _ in range(3):
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(design @ fit, -30, 30)))
+            g = design.T @ (w * (p - toxic)) + ridge * fit
+            h = (design * (w * p * (1 - p))[:, None]).T @ design + np.diag(ridge)
+            step = np.linalg.solve(h[np.ix_(free, free)], g[free])
+            fit[free] -= step / max(1.0, np.abs(step).max() / 2)
+        if not (beyond := free & (fit > most)).any():
+            break
+        fit, free = np.where(beyond, most, fit), free & ~beyond
+    return max(fit[0], 1e-3), fit[1], fit[2]
 
 
 class Scorer:
     """Scores of texts under one model; keeps the weights of words in a bounded cache."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
+    def __init__(self, weights: np.ndarray, bias: float, length: float = 0.0):
         def word_weights(words: list[str]) -> list[float]:
             out = []
             for lo in range(0, len(words), 50_000):
@@ -204,41 +220,54 @@ class Scorer:
                 out += (np.bincount(owner, weights[bucket], n) / np.maximum(np.bincount(owner, minlength=n), 1)).tolist()
             return out
 
-        self._known, self._bias = _Parts(word_weights), bias
+        self._known, self._bias, self._length = _Parts(word_weights), bias, length
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        """The highest window of each text."""
+    def highest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The highest window of each text and the number of its windows, 1 at least."""
         words = [_WORD.findall(t.lower()) for t in texts]
         known = self._known.learn(set().union(*words)).__getitem__
-        logit = np.full(len(texts), self._bias)
+        top, count = np.zeros(len(texts)), np.array([max(len(own) - WINDOW + 1, 1) for own in words])
         for k, own in enumerate(words):
             if own:
                 total = np.zeros(max(len(own), WINDOW) + 1)
                 np.cumsum(np.fromiter(map(known, own), np.float64, len(own)), out=total[1 : len(own) + 1])
                 total[len(own) + 1 :] = total[len(own)]
-                logit[k] += (total[WINDOW:] - total[:-WINDOW]).max() / WINDOW
-        return logit
+                top[k] = (total[WINDOW:] - total[:-WINDOW]).max() / WINDOW
+        return top, count
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        top, count = self.highest(texts)
+        return top + self._length * np.log(count) + self._bias
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -700, 700)))
 
 
 @lru_cache(maxsize=1)
-def _scorer(weights: bytes, bias: float) -> Scorer:
-    return Scorer(np.frombuffer(weights, np.float32), bias)
+def _scorer(weights: bytes, bias: float, length: float) -> Scorer:
+    return Scorer(np.frombuffer(weights, np.float32), bias, length)
 
 
 def sample(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """The bounded training sample, equal texts once: at most SAMPLE rows of each class."""
+    """The bounded training sample, equal texts once: at most SAMPLE ids and SAMPLE_BYTES of each class.
+
+    A text that is longer than all of SAMPLE_BYTES is passed over.
+    """
     known = labels.where(labels[label_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg((F.max(labels[label_col].cast("double")) > 0.5).alias("toxic"))
     known = known.where(~held_out)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    chosen = None
+    sizes = texts.groupBy("id").agg(F.sum(F.octet_length("text").cast("long")).alias("size")).where(F.col("size") <= SAMPLE_BYTES)
+    chosen = []
     for kind in (True, False):
         # ids are chosen before any text moves
-        ids = known.where(F.col("toxic") == kind).join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-        chosen = ids if chosen is None else chosen.unionByName(ids)
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("text", "toxic").agg(F.min("id").alias("id")).orderBy("id", "toxic").collect()
+        left = SAMPLE_BYTES
+        for r in known.where(F.col("toxic") == kind).join(sizes, "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
+            left -= r["size"]
+            if left < 0:
+                break
+            chosen.append((r["id"], kind))
+    ids = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("toxic", T.BooleanType())]))
+    rows = texts.join(F.broadcast(ids), "id").groupBy("text", "toxic").agg(F.min("id").alias("id")).orderBy("id", "toxic").collect()
     return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], bool)
 
 
@@ -249,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A function from a text column to its toxicity; the model is broadcast, its size is fixed."""
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast((model.word_weights().astype(np.float32).tobytes(), float(model.bias[1] - model.bias[0])))
+    shared = spark.sparkContext.broadcast((model.word_weights().astype(np.float32).tobytes(), float(model.bias[1] - model.bias[0]), float(model.length)))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
