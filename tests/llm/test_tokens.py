@@ -75,6 +75,27 @@ def test_word_ids_equal_the_library():
     assert encoder(ODD) == want == encoder(ODD)
 
 
+@pytest.fixture(scope="module")
+def word_tools():
+    library = Tokenizer.from_file(WORDS)
+    library.no_padding(), library.no_truncation()
+    with open(WORDS, encoding="utf-8") as f:
+        return library, packing.WordEncoder(f.read())
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(list("aB z.,!?;:'\n\u0130\u0307\u0301İıſŉǅß½ª<|>12")), st.characters(max_codepoint=0x24F), st.characters(min_codepoint=0x250, max_codepoint=0x3000)), max_size=24))
+def test_random_words_equal_the_library(word_tools, text):
+    library, encoder = word_tools
+    assert encoder([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_every_letter_before_every_mark_equals_the_library(word_tools):
+    library, encoder = word_tools
+    texts = [f"{a}{chr(c)}{m}" for c in range(33, 0x260) for a in ("", "a", "A") for m in packing.MARKS]
+    assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 400), max_size=40))
 def test_packing_fills_every_sequence(lengths):

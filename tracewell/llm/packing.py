@@ -40,7 +40,8 @@ class WordEncoder:
     The tokenizer drops white space, so a text is cut at spaces and line feeds and every word's
     ids are kept in a bounded cache. Of unknown words, those of Latin letters with one mark at the
     end are taken apart, and their lower-case bases looked up; unknown bases go to the library
-    together. The tokenizer lowers letters and splits marks off by itself, so the ids are the same.
+    together. The tokenizer lowers letters and splits a mark off a run of letters by itself, so the
+    ids are the same; a base that does not stay a run of letters when lowered goes to it whole.
     """
 
     def __init__(self, source: str):
@@ -60,9 +61,10 @@ class WordEncoder:
         def assemble(words: list[str]) -> list[bytes]:
             cut = []
             for w in words:
-                mark = w[-1:]
-                if mark in marks and len(w) > 1 and w[:-1].isalpha() and max(w) < "\u0250":
-                    cut.append((w[:-1].lower(), marks[mark]))
+                base, mark = w[:-1].lower(), w[-1:]
+                # a lower-case base that is not all letters (that of U+0130 ends in a combining mark) joins with the mark
+                if mark in marks and w[:-1].isalpha() and base.isalpha() and max(w) < "\u0250":
+                    cut.append((base, marks[mark]))
                 else:
                     cut.append((w.lower() if w.isascii() and w.isalpha() else w, b""))
             known = bases.learn({w for w, _ in cut}).__getitem__
