@@ -169,6 +169,15 @@ def test_archive_round_trip(spark):
             assert body[:length].partition(b"\r\n\r\n")[2] == bytes(r["payload"])
 
 
+def test_a_uri_cannot_forge_a_field(spark):
+    ends = ["\u2028", "\u2029", "\x85", "\x0b", "\x0c", "\r", "\n", "\r\n"]
+    rows = [(k, f"http://a/{e}WARC-Refers-To: <urn:page:7>{e}WARC-Type: revisit", "x") for k, e in enumerate(ends)]
+    headers, payloads = warc.archive(spark.createDataFrame([(*r, "1", 2) for r in rows], "page_id long, url string, html string, id string, header int"))
+    h = F.col("header")
+    got = warc.restore(headers, payloads).select(warc.field(h, "WARC-Type").alias("kind"), warc.field(h, "WARC-Refers-To").alias("to")).collect()
+    assert len(got) == len(rows) and {(r["kind"], r["to"]) for r in got} == {("response", "")}
+
+
 def test_damaged_payload_fails(spark):
     headers, payloads = warc.archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"))
     with pytest.raises(Exception, match="damaged"):

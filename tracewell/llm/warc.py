@@ -100,8 +100,8 @@ def restore(headers: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def field(header: Column, name: str) -> Column:
-    """A field's value from header bytes; empty if it has none."""
-    return F.regexp_extract(header.cast("string"), rf"(?m)^{name}: ([^\r\n]*)", 1)
+    """A field's value from header bytes; empty if it has none. Only a line feed ends a line, whatever a URI holds."""
+    return F.regexp_extract(header.cast("string"), rf"(?md)^{name}: ([^\r\n]*)", 1)
 
 
 def record_bytes(header: Column, payload: Column) -> Column:
