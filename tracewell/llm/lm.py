@@ -22,7 +22,11 @@ successors, each with a quantised smoothed probability. A query finds its contex
 pointers and searches the successor within them.
 
 Shards and blocks have a fixed size and their number grows with the corpus; nothing is pruned or
-sampled. Words are known by 64-bit hashes, contexts in a shard by 40 bits, successors of a context by 24 bits.
+sampled. Words are known by 64-bit hashes, contexts in a shard by 40 bits, successors within a part of
+a context by 24 bits; a part has at most PART_TOKENS of them on average, so an unseen bigram is taken
+for a seen one with a chance below PART_TOKENS / 2^24, 0.4 %. Counts are exact at any size. What is
+quantised: the trie's probabilities, in steps of 1/2000 power of ten, and the counts that P1 comes from,
+exact up to 64 and within 8 % above (``GRID``). No step depends on the corpus, so sizes behave alike.
 
 Defined results: a null text counts as empty, that is, one end token; ids may be null or repeated,
 each row is scored by itself; without learned texts every token is unknown and has P1 = 1.
@@ -46,26 +50,31 @@ from tracewell.llm.textkernel import chunks, mix, words_of
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 50_000
 SHARD_KEYS, SHARD_TOKENS = 2_000_000, 2_000_000
 #: Learned tokens in one part of a context; a more frequent context is split by successor.
-PART_TOKENS = SHARD_TOKENS // 8
+PART_TOKENS = 1 << 16
 KAPPA, POWER = 4.0, 0.8
 #: Codes of quantised probabilities for each power of ten.
-STEPS = 25
+STEPS = 2000
+#: The counts that 8-bit codes stand for; the last is beyond any corpus.
+GRID = np.concatenate([np.arange(65), 64 * (3e14 / 64) ** (np.arange(1, 192) / 191)])
 #: Bits by which a context's successors are told apart.
 NEXT = np.uint64(24)
 END = np.uint64(0x6E0E5D0FF00D)
 
 
 def small(counts: np.ndarray) -> bytes:
-    """Counts as bytes, larger ones behind an escape."""
-    counts = counts.astype(np.uint32)
-    over = counts >= 255
-    return np.where(over, 255, counts).astype(np.uint8).tobytes() + counts[over].tobytes()
+    """Counts as bytes, larger ones as 32 bits behind an escape, and 64 bits behind another."""
+    counts = counts.astype(np.uint64)
+    over = counts[counts >= 255]
+    far = over[over >= 0xFFFFFFFF]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.minimum(over, 0xFFFFFFFF).astype("<u4").tobytes() + far.astype("<u8").tobytes()
 
 
 def from_small(data: bytes, n: int) -> np.ndarray:
     out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    over = out == 255
-    out[over] = np.frombuffer(data, np.uint32, int(over.sum()), n)
+    over = np.flatnonzero(out == 255)
+    out[over] = np.frombuffer(data, "<u4", len(over), n)
+    far = over[out[over] == 0xFFFFFFFF]
+    out[far] = np.frombuffer(data, "<u8", len(far), n + 4 * len(over))
     return out
 
 
@@ -97,11 +106,26 @@ def from_three(data: bytes) -> np.ndarray:
 
 
 def code(p: np.ndarray) -> np.ndarray:
-    """Quantised probabilities: steps of a power of ten, 255 at most."""
-    return np.minimum(np.round(-np.log10(np.maximum(p, 1e-30)) * STEPS), 255).astype(np.uint8)
+    """Quantised probabilities: steps of a power of ten, down to 1e-32."""
+    return np.minimum(np.round(-np.log10(np.maximum(p, 1e-40)) * STEPS), 65535).astype(np.uint16)
 
 
-_VALUE = 10.0 ** (-np.arange(256) / STEPS)
+def value(codes: np.ndarray) -> np.ndarray:
+    return 10.0 ** (codes.astype(float) / -STEPS)
+
+
+def count_code(counts: np.ndarray) -> np.ndarray:
+    """The nearest place of GRID; 0 is only for 0."""
+    if len(counts) and counts.max() > GRID[-1]:
+        raise ValueError(f"a word occurs {counts.max()} times, more than {GRID[-1]:.0f}")
+    return np.searchsorted((GRID[1:] + GRID[:-1]) / 2, counts, "left").astype(np.uint8)
+
+
+def unigram(counts: np.ndarray, total: int, types: int, ones: int, twos: int) -> np.ndarray:
+    """P1 of words with these counts; every unknown word gets what the discount frees."""
+    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+    unknown = discount * types / total if total else 1.0
+    return np.where(counts > 0, np.maximum(counts - discount, 0) / max(total, 1), unknown)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -206,10 +230,7 @@ _ASK_SCHEMA = pa.schema(
 )
 
 
-def _ask_bigrams(shards: int, total: int, types: int, ones: int, twos: int):
-    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    unknown = discount * types / total if total else 1.0
-
+def _ask_bigrams(shards: int, total: int, types: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         answers = right.sort_by("shard")["totals"].to_pylist() if right.num_rows else []
@@ -230,7 +251,7 @@ def _ask_bigrams(shards: int, total: int, types: int, ones: int, twos: int):
             known = np.add.reduceat((counts > 0)[place].astype(np.int64), first)
             rows.append({"shard": int(b["block"] % shards), "block": b["block"], "ids": b["ids"], "held": b["held"], "n_tokens": lengths, "n_known": known, "base": base})
 
-            p1 = code(np.where(counts > 0, np.maximum(counts - discount, 0) / max(total, 1), unknown))
+            times_of = count_code(counts)
             text = np.repeat(np.arange(len(lengths)), lengths)
             context = np.empty_like(place)
             context[1:] = place[:-1]
@@ -257,7 +278,7 @@ def _ask_bigrams(shards: int, total: int, types: int, ones: int, twos: int):
                 rows.append(
                     {
                         "shard": s, "block": b["block"], "n_train": b["n_train"], "ctx": forty(key[new[a:z]]), "ctx_count": small(counts[c[new[a:z]]]), "ctx_pairs": small(pairs[a:z]),
-                        "next": three(follow[lo:hi]), "next_code": squeezed(p1[w[lo:hi]].tobytes()), "texts_of": small(times[lo:hi]), "texts": squeezed(texts[start[lo] : stop[hi - 1]].tobytes()),
+                        "next": three(follow[lo:hi]), "next_code": squeezed(times_of[w[lo:hi]].tobytes()), "texts_of": small(times[lo:hi]), "texts": squeezed(texts[start[lo] : stop[hi - 1]].tobytes()),
                     }
                 )
         return pa.Table.from_batches([_record(r, _ASK_SCHEMA) for r in rows], _ASK_SCHEMA)
@@ -283,8 +304,8 @@ class Trie:
         begin, end = (self.pointers.get(own + k).astype(np.int64) for k in (0, 1))
         place = self.successors.find(own.astype(np.uint64) << NEXT | following.astype(np.uint64), begin, end)
         seen = (at >= 0) & (place >= 0)
-        share = np.where(seen, _VALUE[self.share[np.maximum(place, 0)]], 0.0) if self.successors.n else 0.0
-        return share + np.where(at >= 0, _VALUE[self.backoff[own]], 1.0) * p1
+        share = np.where(seen, value(self.share[np.maximum(place, 0)]), 0.0) if self.successors.n else 0.0
+        return share + np.where(at >= 0, value(self.backoff[own]), 1.0) * p1
 
 
 ANSWER = "block long, ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, places binary, sums binary"
@@ -293,38 +314,43 @@ _ANSWER_SCHEMA = pa.schema(
 )
 
 
-def _answer_bigrams(table: pa.Table) -> pa.Table:
+def _answer_bigrams(p1: bytes):
     """Build the shard's trie, look every bigram up, and add the logarithms up by block and text."""
-    out, asked = [], []
-    for r in table.to_pylist():
-        if r["ctx"] is None:
-            out.append(_record(r, _ANSWER_SCHEMA))
-            continue
-        ctx = from_forty(r["ctx"])
-        pairs = from_small(r["ctx_pairs"], len(ctx))
-        follow = from_three(r["next"])
-        times = from_small(r["texts_of"], len(follow))
-        texts = np.frombuffer(zlib.decompress(r["texts"]), np.uint16)
-        learned = np.add.reduceat((texts < r["n_train"]).astype(np.int64), np.cumsum(times) - times)
-        asked.append((r["block"], ctx, from_small(r["ctx_count"], len(ctx)), pairs, follow, np.frombuffer(zlib.decompress(r["next_code"]), np.uint8), times, texts, learned))
-    if asked:
-        contexts, place = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
-        counts = np.zeros(len(contexts), np.int64)
-        counts[place] = np.concatenate([a[2] for a in asked])
-        of_pair = np.repeat(place, np.concatenate([a[3] for a in asked]))
-        follow = np.concatenate([a[4] for a in asked])
-        learned = np.concatenate([a[8] for a in asked])
-        key = of_pair.astype(np.uint64) << NEXT | follow.astype(np.uint64)
-        known, inverse = np.unique(key, return_inverse=True)
-        times = np.bincount(inverse, learned).astype(np.int64)
-        known, times = known[times > 0], times[times > 0]
-        trie = Trie(contexts, counts, (known >> NEXT).astype(np.int64), known & np.uint64(0xFFFFFF), times)
-        for block, ctx, _, pairs, follow, codes, times, texts, _ in asked:
-            log = np.log10(np.maximum(trie.probability(np.repeat(ctx, pairs), follow, _VALUE[codes]), 1e-30))
-            sums = np.bincount(texts, np.repeat(log, times))
-            places = np.flatnonzero(sums).astype(np.uint16)
-            out.append(_record({"block": block, "places": places.tobytes(), "sums": sums[places].astype(np.float32).tobytes()}, _ANSWER_SCHEMA))
-    return pa.Table.from_batches(out, _ANSWER_SCHEMA)
+    p1_of = np.frombuffer(p1)
+
+    def run(table: pa.Table) -> pa.Table:
+        out, asked = [], []
+        for r in table.to_pylist():
+            if r["ctx"] is None:
+                out.append(_record(r, _ANSWER_SCHEMA))
+                continue
+            ctx = from_forty(r["ctx"])
+            pairs = from_small(r["ctx_pairs"], len(ctx))
+            follow = from_three(r["next"])
+            times = from_small(r["texts_of"], len(follow))
+            texts = np.frombuffer(zlib.decompress(r["texts"]), np.uint16)
+            learned = np.add.reduceat((texts < r["n_train"]).astype(np.int64), np.cumsum(times) - times)
+            asked.append((r["block"], ctx, from_small(r["ctx_count"], len(ctx)), pairs, follow, np.frombuffer(zlib.decompress(r["next_code"]), np.uint8), times, texts, learned))
+        if asked:
+            contexts, place = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+            counts = np.zeros(len(contexts), np.int64)
+            counts[place] = np.concatenate([a[2] for a in asked])
+            of_pair = np.repeat(place, np.concatenate([a[3] for a in asked]))
+            follow = np.concatenate([a[4] for a in asked])
+            learned = np.concatenate([a[8] for a in asked])
+            key = of_pair.astype(np.uint64) << NEXT | follow.astype(np.uint64)
+            known, inverse = np.unique(key, return_inverse=True)
+            times = np.bincount(inverse, learned).astype(np.int64)
+            known, times = known[times > 0], times[times > 0]
+            trie = Trie(contexts, counts, (known >> NEXT).astype(np.int64), known & np.uint64(0xFFFFFF), times)
+            for block, ctx, _, pairs, follow, codes, times, texts, _ in asked:
+                log = np.log10(np.maximum(trie.probability(np.repeat(ctx, pairs), follow, p1_of[codes]), 1e-300))
+                sums = np.bincount(texts, np.repeat(log, times))
+                places = np.flatnonzero(sums).astype(np.uint16)
+                out.append(_record({"block": block, "places": places.tobytes(), "sums": sums[places].astype(np.float32).tobytes()}, _ANSWER_SCHEMA))
+        return pa.Table.from_batches(out, _ANSWER_SCHEMA)
+
+    return run
 
 
 def _collect(total: int):
@@ -368,8 +394,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         held.drop("counts").withColumn("shards", F.lit(shards))
         .groupBy("block")
         .cogroup(answer.select("shard", "block", "totals").groupBy("block"))
-        .applyInArrow(_ask_bigrams(tries, total, types, ones, twos), ASK)
+        .applyInArrow(_ask_bigrams(tries, total, types), ASK)
     )
-    found = bigrams.groupBy("shard").applyInArrow(_answer_bigrams, ANSWER)
+    found = bigrams.groupBy("shard").applyInArrow(_answer_bigrams(unigram(GRID, total, types, ones, twos).tobytes()), ANSWER)
     result = found.groupBy("block").applyInArrow(_collect(total), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return result.withColumnRenamed("id", id_col)
