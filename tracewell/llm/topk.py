@@ -7,13 +7,15 @@ dense score array over the block. The best k of each block are selected in the t
 by query.
 
 Query blocks and candidate blocks meet through an equi-join on the query block's number, so
-neither side is broadcast or collected, however many queries there are. A task holds one query
-block, one candidate block and the best k so far.
+neither side is broadcast or collected, however many queries there are. Both travel as binary
+matrices. A task holds one query block, one candidate block and the best k so far; query blocks are
+large, as candidates are sent once for each.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part;
 empty vectors and components beyond a vector's length count as zeros; a query is never its own
-candidate, and rows with equal ids are one another's own; ties go to the smaller id. Scores that
-could leave 63 bits are computed with Python integers and raise if they do not fit a long.
+candidate, and rows with equal ids are one another's own; ties go to the smaller id. Components whose
+scaled floor does not fit a long raise; scores that could leave 63 bits are computed with Python
+integers and raise if they do not fit a long.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from pyspark.sql import Window as W
 from tracewell.llm.common import bound_batches
 
 #: Rows of a query block and of a candidate block.
-QUERY_ROWS = 1024
-CANDIDATE_ROWS = 2048
+QUERY_ROWS = 16_384
+CANDIDATE_ROWS = 8192
 #: Candidate blocks that share one copy of a query block.
-GROUP_BLOCKS = 4
+GROUP_BLOCKS = 1
 _SAFE = 1 << 62
 
 
@@ -39,22 +41,36 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id
     v = vectors[vector_col]
     x = F.transform(v, lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
-    scaled = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c))
+    wide = lambda c: F.raise_error(F.concat(F.lit("component does not fit a long: "), c.cast("string"))).cast("long")
+    scaled = F.transform(x, lambda c: F.when(F.abs(F.floor(F.lit(float(scale)) * c).cast("double")) >= F.lit(2.0**63), wide(c)).otherwise(F.floor(F.lit(float(scale)) * c)))
     return vectors.where(v.isNotNull() & vectors[id_col].isNotNull()).where(~bad).select(vectors[id_col].cast("long").alias("id"), scaled.alias("v"))
 
 
-def _matrix(rows: list[list[int]]) -> np.ndarray:
-    width = max(map(len, rows), default=0)
-    out = np.zeros((len(rows), width), np.int64)
-    for k, row in enumerate(rows):
-        out[k, : len(row)] = row
+def _matrix(rows: pa.ListArray) -> np.ndarray:
+    """Rows of one width; shorter ones end in zeros."""
+    size = np.asarray(rows.value_lengths(), np.int64)
+    out = np.zeros((len(size), int(size.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = rows.flatten().to_numpy()
     return out
 
 
+def _blob(matrix: np.ndarray) -> bytes:
+    """A matrix in the narrowest integers that hold it, behind their size and its width."""
+    least, most = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max)
+    return np.array([np.dtype(kind).itemsize, matrix.shape[1]], "<i8").tobytes() + matrix.astype(kind).tobytes()
+
+
+def _from_blob(blob: bytes, rows: int) -> np.ndarray:
+    size, width = np.frombuffer(blob, "<i8", 2).tolist()
+    return np.frombuffer(blob, f"<i{size}", rows * width, 16).reshape(rows, width).astype(np.int64)
+
+
 def score_block(queries: np.ndarray, candidates: np.ndarray):
     """Yields the dense score array of each query row over the candidate rows."""
     width = min(queries.shape[1], candidates.shape[1])
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(width, 1)
+    reach = lambda m: max(-int(m.min(initial=0)), int(m.max(initial=0)))  # noqa: E731  np.abs would wrap at the least long
+    most = reach(queries) * reach(candidates) * max(width, 1)
     kind = np.int64 if most < _SAFE else object
     postings = []
     for term in range(width):
@@ -86,23 +102,34 @@ def _long(n: int):
     return F.lit(n).cast("long")
 
 
-def _packed(vectors: DataFrame, rows: int) -> DataFrame:
-    """``ids`` and ``rows`` of blocks of at most ``rows`` vectors, made in place from each partition."""
+def _block(ids: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.zeros((sum(map(len, parts)), max((p.shape[1] for p in parts), default=0)), np.int64)
+    at = 0
+    for p in parts:
+        rows[at : at + len(p), : p.shape[1]] = p
+        at += len(p)
+    names = np.concatenate(ids).astype("<i8")
+    return pa.RecordBatch.from_arrays([pa.array(names[:1]), pa.array([names.tobytes()], pa.binary()), pa.array([_blob(rows)], pa.binary())], ["first", "ids", "rows"])
 
-    def block(part: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in part]], pa.list_(pa.int64())), pa.array([[v for _, v in part]], pa.list_(pa.list_(pa.int64())))], ["ids", "rows"])
+
+def _packed(vectors: DataFrame, most: int) -> DataFrame:
+    """``first`` id, ``ids`` and ``rows`` of blocks of at most ``most`` vectors, made in place from each partition."""
 
     def run(batches):
-        held: list[tuple] = []
+        ids, parts, held = [], [], 0
         for batch in batches:
-            held.extend(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            while len(held) >= rows:
-                yield block(held[:rows])
-                held = held[rows:]
+            name, rows = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            while len(name):
+                take = min(most - held, len(name))
+                ids.append(name[:take]), parts.append(rows[:take])
+                name, rows, held = name[take:], rows[take:], held + take
+                if held == most:
+                    yield _block(ids, parts)
+                    ids, parts, held = [], [], 0
         if held:
-            yield block(held)
+            yield _block(ids, parts)
 
-    return vectors.select("id", "v").mapInArrow(run, "ids array<long>, rows array<array<long>>")
+    return vectors.select("id", "v").mapInArrow(run, "first long, ids binary, rows binary")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
@@ -113,24 +140,28 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     bound_batches(candidates.sparkSession)
     n_query_blocks = max(1, -(-queries.count() // QUERY_ROWS))
     n_groups = max(1, -(-candidates.count() // (CANDIDATE_ROWS * GROUP_BLOCKS)))
+
+    def gather(table: pa.Table) -> pa.Table:
+        made = _block([table["id"].to_numpy()], [_matrix(table["v"].combine_chunks())])
+        return pa.table({"block": table["block"].slice(0, 1), "q_ids": made["ids"], "q_rows": made["rows"]})
+
     asked = (
-        queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).alias("block"))
-        .agg(F.collect_list(F.struct("id", "v")).alias("q"))
-        .select("block", F.col("q.id").alias("q_ids"), F.col("q.v").alias("q_rows"), F.explode(F.sequence(_long(0), _long(n_groups - 1))).alias("part"))
-    )
-    held = _packed(candidates, CANDIDATE_ROWS).select(
-        "ids", "rows", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(n_groups)).alias("part"), F.explode(F.sequence(_long(0), _long(n_query_blocks - 1))).alias("block")
+        queries.select(F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).alias("block"), "id", "v")
+        .groupBy("block")
+        .applyInArrow(gather, "block long, q_ids binary, q_rows binary")
+        .withColumn("part", F.explode(F.sequence(_long(0), _long(n_groups - 1))))
     )
+    held = _packed(candidates, CANDIDATE_ROWS).select("ids", "rows", F.pmod(F.xxhash64("first"), F.lit(n_groups)).alias("part"), F.explode(F.sequence(_long(0), _long(n_query_blocks - 1))).alias("block"))
 
     def run(batches):
         for batch in batches:
             for q_ids, q_rows, ids, rows in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                names = np.array(ids, np.int64)
+                asking, names = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
                 found = []
-                for q, scores in zip(q_ids, score_block(_matrix(q_rows), _matrix(rows))):
-                    others = np.flatnonzero(names != q)
-                    for at in others[best(scores[others], names[others], k)]:
-                        found.append((q, int(names[at]), int(scores[at])))
+                for q, scores in zip(asking.tolist(), score_block(_from_blob(q_rows, len(asking)), _from_blob(rows, len(names)))):
+                    own = names == q
+                    at = best(scores, names, k) if not own.any() else (others := np.flatnonzero(~own))[best(scores[others], names[others], k)]
+                    found += zip([q] * len(at), names[at].tolist(), scores[at].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
     scored = held.join(asked, ["block", "part"]).select("q_ids", "q_rows", "ids", "rows").mapInArrow(run, "query_id long, vec_id long, score long")
