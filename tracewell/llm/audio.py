@@ -8,8 +8,12 @@ Everything is computed file by file in blocks of a fixed number of frames, so eq
 equal features wherever and beside whatever they are processed. Band energies are rounded to
 hundredths of a decibel, which absorbs the last bits that differ between numeric libraries.
 
+Media and tensors are both tables in the shared folder: :func:`store_media` writes the files, what is
+read back goes through :func:`audio_features`, and :func:`media_digests` describes what that stored.
+
 Defined results: a null payload counts as empty; an empty one is stored as 64 zero bytes by
-:func:`pad_payload`; a file shorter than one frame is padded with silence.
+:func:`pad_payload`; a file shorter than one frame is padded with silence. Ids may be null or
+repeated: every row is worked on by itself and comes out once. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewell.llm.common import bound_batches, map_batches
+from tracewell.llm.common import bound_batches, map_batches, materialize
 
 RATE_IN, UP, DOWN = 16_000, 1, 2
 RATE = RATE_IN * UP // DOWN
@@ -160,7 +164,7 @@ def milliseconds(frame: int) -> int:
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_bytes`` of the text and ``media``, the padded text as a WAV file."""
+    """Per row: id, ``n_bytes`` of the text and ``media``, the padded text as a WAV file, written and read back."""
     bound_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -168,54 +172,87 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array([to_wav(pad_payload(x)) for x in raw], pa.binary())], ["id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return materialize(map_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col), "media")
 
 
 FEATURES = "windows array<struct<start_ms:long,end_ms:long,tensor:array<float>>>, segments array<struct<start_ms:long,end_ms:long>>"
+_SPAN = [("start_ms", pa.int64()), ("end_ms", pa.int64())]
 
 
-def audio_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Per row: id, tensors with time spans, and the spans of sound.
+def _stored(windows: list[np.ndarray]) -> pa.Array:
+    """All windows as fixed-shape tensors, in the list form that Spark and Parquet hold."""
+    flat = np.concatenate(windows) if windows else np.zeros((0, WINDOW, MELS), np.float32)
+    if not len(flat):
+        return pa.array([], pa.list_(pa.float32()))
+    return tensor_array(flat).storage.cast(pa.list_(pa.float32()))
 
-    A tensor is stored as its values row by row; :func:`tensor_array` gives them Arrow's tensor type.
-    """
+
+def audio_features(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """The columns of ``media`` but the files, with ``windows`` (tensors and their time spans) and ``segments``
+    (the spans of sound)."""
     bound_batches(media.sparkSession)
+    rest = [c for c in media.columns if c != media_col]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        windows, spans = [], []
-        for blob in batch.column(1).to_pylist():
+        cut, spans, counts = [], [], [0]
+        starts, ends = [], []
+        for blob in batch.column(batch.num_columns - 1).to_pylist():
             mel = log_mel(from_wav(blob)[0] if blob else bytes(64))
-            windows.append([{"start_ms": milliseconds(k * WINDOW), "end_ms": milliseconds(min(len(mel), (k + 1) * WINDOW)), "tensor": w.ravel()} for k, w in enumerate(tensors(mel))])
+            cut.append(tensors(mel))
+            n = len(cut[-1])
+            counts.append(counts[-1] + n)
+            starts += [milliseconds(k * WINDOW) for k in range(n)]
+            ends += [milliseconds(min(len(mel), (k + 1) * WINDOW)) for k in range(n)]
             spans.append([{"start_ms": milliseconds(a), "end_ms": milliseconds(b)} for a, b in segments(mel)])
-        span = [("start_ms", pa.int64()), ("end_ms", pa.int64())]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(windows, pa.list_(pa.struct([*span, ("tensor", pa.list_(pa.float32()))]))), pa.array(spans, pa.list_(pa.struct(span)))],
-            ["id", "windows", "segments"],
-        )
+        each = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), _stored(cut)], ["start_ms", "end_ms", "tensor"])
+        windows = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), each)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], windows, pa.array(spans, pa.list_(pa.struct(_SPAN)))], [*rest, "windows", "segments"])
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in media.select(rest).schema)
+    return map_batches(media.select(*rest, media_col), run, kept + FEATURES)
 
-    kind = media.schema[id_col].dataType.simpleString()
-    return map_batches(media.select(media[id_col].alias("id"), media[media_col].alias("media")), run, f"id {kind}, {FEATURES}").withColumnRenamed("id", id_col)
+
+def feature_texts(features: DataFrame) -> DataFrame:
+    """The columns of ``features`` with ``feature``, one line about the tensors and segments, in their place."""
+    rest = [c for c in features.columns if c not in ("windows", "segments")]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        windows, found = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
+        each = windows.flatten()
+        tensor = each.field("tensor").flatten().to_numpy(zero_copy_only=False).reshape(-1, WINDOW * MELS)
+        ends, edge = each.field("end_ms").to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.asarray(windows.value_lengths(), np.int64))])
+        for k, spans in enumerate(found):
+            own = tensor[edge[k] : edge[k + 1]]
+            end = int(ends[edge[k + 1] - 1])
+            frames = end * RATE // (HOP * 1000)
+            mean = own.reshape(-1, MELS)[:frames].mean(dtype=np.float64)
+            sound = ",".join(f"{s['start_ms']}-{s['end_ms']}" for s in spans[:3])
+            digest = hashlib.sha256(np.round(own * 100).astype("<i4").tobytes() + repr([(s["start_ms"], s["end_ms"]) for s in spans]).encode()).hexdigest()[:32]
+            rows.append(f"rate={RATE_IN}->{RATE};tensors={len(own)}x{WINDOW}x{MELS};end_ms={end};mean_db={mean:.2f};segments={len(spans)}[{sound}];digest={digest}")
+        return pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rows, pa.string())], [*rest, "feature"])
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in features.select(rest).schema)
+    return map_batches(features.select(*rest, "windows", "segments"), run, kept + "feature string")
 
 
 def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests of stored media and of the features computed from it, per row."""
+    """Per row: id, ``n_bytes``, digests of the stored file and its payload, and ``feature``.
+
+    The tensors are written to the shared folder and read back before they are described.
+    """
     bound_batches(media.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for blob in batch.column(2).to_pylist():
-            payload, rate = from_wav(blob)
-            mel = log_mel(payload)
-            windows = tensors(mel)
-            found = segments(mel)
-            sound = ",".join(f"{milliseconds(a)}-{milliseconds(b)}" for a, b in found[:3])
-            digest = hashlib.sha256(np.round(windows * 100).astype("<i4").tobytes() + repr(found).encode()).hexdigest()[:32]
-            feature = f"rate={rate}->{RATE};tensors={len(windows)}x{WINDOW}x{MELS};end_ms={milliseconds(len(mel))};mean_db={mel.mean(dtype=np.float64):.2f};segments={len(found)}[{sound}];digest={digest}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), feature))
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(6))], ["id", "n_bytes", *names])
+            payload, _ = from_wav(blob)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest()))
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(5)), batch.column(2)], ["id", "n_bytes", *names, "media"])
 
     kind = media.schema[id_col].dataType.simpleString()
-    columns = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_batches(media.select(media[id_col].alias("id"), "n_bytes", "media"), run, f"id {kind}, n_bytes long, {columns}").withColumnRenamed("id", id_col)
+    columns = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media binary"
+    digested = map_batches(media.select(media[id_col].alias("id"), "n_bytes", "media"), run, f"id {kind}, n_bytes long, {columns}")
+    return feature_texts(materialize(audio_features(digested), "tensors")).withColumnRenamed("id", id_col)
