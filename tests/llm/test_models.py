@@ -63,13 +63,51 @@ def test_language_model_base_and_distribution(spark):
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
+def test_scores_equal_an_exact_bigram_model(spark):
+    rng = random.Random(11)
+    rows = [(i, sentence(rng, rng.randint(0, 60)) if i % 9 else None) for i in range(120)] + [(200, "word " * 50_000), (4, "the same id again")]
+    held = lambda i: i % 5 == 1
+    got = lm.score_texts(spark.createDataFrame(rows, DOCS).repartition(3), F.col("id") % 5 == 1).collect()
+    split = lambda t: (t or "").lower().split() + ["\n"]
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            w = split(t)
+            one.update(w)
+            two.update(zip(["\n", *w], w))
+    total, ones, twos = sum(one.values()), sum(v == 1 for v in one.values()), sum(v == 2 for v in one.values())
+    d = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def log10(h, w):
+        p1 = (one[w] - d) / total if one[w] else d * len(one) / total
+        mu = lm.KAPPA * one[h] ** lm.POWER
+        return math.log10((two[h, w] + mu * p1) / (one[h] + mu)) if one[h] else math.log10(p1)
+
+    exact = lambda t: sum(log10(h, w) for h, w in zip(["\n", *split(t)], split(t)))
+    want = sorted((i, round(exact(t), 1), t) for i, t in rows)
+    for r, (i, _, t) in zip(sorted(got, key=lambda r: (r["doc_id"], round(r["score"], 1))), want):
+        assert r["doc_id"] == i and abs(r["score"] - exact(t)) <= 0.036 * r["n_tokens"]  # a grid step of counts above 64
+
+
+@pytest.mark.parametrize("total", [10**6, 10**10, 10**13])
+def test_counts_and_probabilities_at_every_size(total):
+    counts = np.array([0, 1, 2, 64, 254, 255, 2**32 - 2, 2**32 - 1, 2**32, 10**12, 3 * 10**14])
+    assert lm.from_small(lm.small(counts), len(counts)).tolist() == counts.tolist()
+    p = lm.unigram(counts, total, 1000, 500, 100)
+    near = lm.unigram(lm.GRID, total, 1000, 500, 100)[lm.count_code(counts)]
+    assert (near[:4] == p[:4]).all() and (np.abs(np.log10(near / p)) < 0.036).all()
+    assert (np.abs(lm.value(lm.code(p[1:4])) / p[1:4] - 1) < 1e-3).all()
+    with pytest.raises(ValueError):
+        lm.count_code(np.array([10**15]))
+
+
 def test_trie_probabilities_sum_to_one():
     context = np.array([5, 9], np.uint64) << np.uint64(20)
     following = np.array([1, 2, 7, 3], np.uint64)
     trie = lm.Trie(context, np.array([10, 4]), np.array([0, 0, 0, 1]), following, np.array([5, 3, 2, 4]))
     p1 = np.full(8, 1 / 8)
     total = trie.probability(np.repeat(context[:1], 8), np.arange(8), p1).sum()
-    assert abs(total - 1) < 0.05
+    assert abs(total - 1) < 0.001
     assert trie.probability(np.array([77], np.uint64), np.array([1]), np.array([0.25]))[0] == 0.25
 
 
@@ -152,6 +190,16 @@ def test_top_k_equals_brute_force(spark):
     assert got == want
 
 
+def test_extreme_components_are_exact_or_raise(spark):
+    least = np.full((1, 1), -(2**63))
+    assert next(topk.score_block(least, np.array([[3], [5]]))).tolist() == [-3 * 2**63, -5 * 2**63]
+    v = lambda rows: topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="does not fit a long"):
+        v([(0, [1e17]), (1, [1.0])]).collect()
+    big = v([(0, [8.9e15, 0.0]), (1, [0.0, 1.0]), (2, [-(2.0**-10), 0.0])])
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(big.where("id = 0"), big, 5).collect()] == [(1, 0), (2, -math.floor(1024 * 8.9e15))]
+
+
 def test_archive_round_trip(spark):
     big = "é" * 600
     rows = [(1, "http://a/\r\nx", "x" * 999), (2, "u", "x" * 999), (3, None, big), (5, "u", big), (4, "u", big), (6, "u", None), (7, "u", ""), (None, "u", "y" * 2000), (8, "u", "z" * 3000), (8, "v", "z" * 3000), (2, "w", "other")]
@@ -199,6 +247,75 @@ def test_media_round_trip_and_features():
         audio.from_wav(b"RIFFxxxx")
 
 
+def plain_log_mel(samples):
+    """Loops and textbook formulas in place of slices and strides."""
+    x = [(b - 128) / 128 for b in samples]
+    half = audio.TAPS // 2
+    taps = [np.sinc((k - half) / 2) / 2 * (0.54 - 0.46 * math.cos(2 * math.pi * k / (audio.TAPS - 1))) for k in range(audio.TAPS)]
+    taps = [t / sum(taps) for t in taps]
+    at = lambda k: x[k] if 0 <= k < len(x) else 0.0
+    y = [sum(taps[k] * at(2 * m + k - half) for k in range(audio.TAPS)) for m in range((len(x) + 1) // 2)]
+    frames = max(1, 1 + math.ceil((len(y) - audio.FRAME) / audio.HOP))
+    y += [0.0] * ((frames - 1) * audio.HOP + audio.FRAME - len(y))
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * k / (audio.FRAME - 1)) for k in range(audio.FRAME)]
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edge = [700 * (10 ** ((mel(60) + (mel(4000) - mel(60)) * k / (audio.MELS + 1)) / 2595) - 1) for k in range(audio.MELS + 2)]
+    out = []
+    for n in range(frames):
+        part = y[n * audio.HOP : n * audio.HOP + audio.FRAME]
+        mean = sum(part) / len(part)
+        bins = np.abs(np.fft.fft([(p - mean) * w * 2 / sum(window) for p, w in zip(part, window)], audio.FFT))[: audio.FFT // 2 + 1] ** 2
+        hertz = [k * 8000 / audio.FFT for k in range(len(bins))]
+        band = lambda m: sum(b * max(0, min((f - edge[m]) / (edge[m + 1] - edge[m]), (edge[m + 2] - f) / (edge[m + 2] - edge[m + 1]))) for b, f in zip(bins, hertz))  # noqa: E731, B023
+        out.append([10 * math.log10(band(m) + 1e-8) for m in range(audio.MELS)])
+    return np.array(out)
+
+
+def plain_segments(mel):
+    level = [float(np.mean(f, dtype=np.float32)) for f in mel]
+    floor = sorted(level)[len(level) // 10]
+    found, start = [], None
+    for k, v in enumerate(level):
+        if start is None and v >= np.float32(floor) + np.float32(audio.OPEN_DB):
+            start = k
+        elif start is not None and v < np.float32(floor) + np.float32(audio.CLOSE_DB):
+            found.append((start, k))
+            start = None
+    return found + ([(start, len(level))] if start is not None else [])
+
+
+def test_features_equal_plain_loops():
+    rng = np.random.default_rng(5)
+    for n in (64, 800, 4000):
+        data = rng.integers(32, 127, n, np.uint8).tobytes()
+        assert np.abs(audio.log_mel(data) - plain_log_mel(data)).max() < 0.03
+    t = np.arange(40_000)
+    for gap in (3000, 9000):
+        loud = ((t // gap) % 2 * 60 + 0.4) * np.sin(t * 0.2)
+        mel = audio.log_mel((128 + loud).astype(np.uint8).tobytes())
+        assert audio.segments(mel) == plain_segments(mel) and audio.segments(mel)
+
+
+def test_stored_tensors_and_odd_rows(spark):
+    """Null and repeated ids, a text of a megabyte and clashing columns; stored tensors equal direct ones."""
+    rows = [(1, "a b " * 500), (1, "other"), (None, None), (2, ""), (3, "long line " * 120_000)]
+    docs = spark.createDataFrame([(*r, "x", 5, "y") for r in rows], "doc_id long, text string, media string, n_bytes int, feature string")
+    media = audio.store_media(docs)
+    stored = audio.audio_features(media).collect()
+    assert len(stored) == 5
+    for r, m in zip(sorted(stored, key=lambda r: (r["n_bytes"])), sorted(media.collect(), key=lambda r: r["n_bytes"])):
+        mel = audio.log_mel(audio.from_wav(bytes(m["media"]))[0])
+        assert np.array_equal(np.array([w["tensor"] for w in r["windows"]], np.float32).reshape(-1, audio.WINDOW, audio.MELS), audio.tensors(mel))
+        assert [w["start_ms"] for w in r["windows"]] == [k * 800 for k in range(len(r["windows"]))] and r["windows"][-1]["end_ms"] == 25 * len(mel)
+    got = {(r["doc_id"], r["n_bytes"]): r for r in audio.media_digests(media).collect()}
+    assert set(got) == {(i, len((t or "").encode())) for i, t in rows}
+    for i, t in rows:
+        padded = audio.pad_payload((t or "").encode())
+        r = got[i, len((t or "").encode())]
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(audio.to_wav(padded)), hashlib.sha256(audio.to_wav(padded)).hexdigest())
+
+
 def test_loud_part_is_one_segment():
     t = np.arange(64_000)
     sound = np.where((t > 20_000) & (t < 40_000), 100 * np.sin(t * 0.3), 0.2 * np.sin(t * 0.3))
