@@ -8,34 +8,78 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-B, E = r"(?:^|[^A-Za-z0-9_./-])", r"(?:$|[^A-Za-z0-9_-])"
-# Command words of each family, in order of precedence.
+# What each family looks like, in order of precedence.
+WRITES = r"WriteAllText|Set-Content|Out-File|apply_patch|git apply|patch |(?i:\b(?:apply_patch|git apply|patch|Set-Content|Out-File)\b)"
+REDIRECT, PYTEST = r"(?:^|[^\d])>[^>]", r"\b(?:pytest|python -m pytest)\b"
 FAMILIES = (
-    ("WRITE_OR_EDIT", ("apply_patch", "patch", "tee", "touch", "mkdir", "rm", "mv", "cp")),
-    ("GIT", ("git",)),
-    ("TEST", ("pytest", "unittest", "cargo test", "npm test", "go test")),
-    ("BUILD", ("make", "cargo build", "npm run build", "mvn", "gradle")),
-    ("SEARCH", ("rg", "grep", "findstr", "Select-String", "ag")),
-    ("FILE_READ", ("cat", "head", "tail", "sed -n", "less", "more", "type", "Get-Content")),
-    ("DIRECTORY_LIST", ("ls", "dir", "tree", "find", "fd", "Get-ChildItem")),
-    ("NETWORK", ("curl", "wget")),
+    ("TEST", r"\b(?:pytest|python -m pytest|python -m unittest|npm test|cargo test|ctest)\b"),
+    ("BUILD", r"\b(?:python -m compileall|cargo build|npm run build|make)\b"),
+    ("SEARCH", r"^(?:rg|grep|git grep|findstr)\b"),
+    ("FILE_READ", r"(?i)\b(?:Get-Content|cat|head|tail|type|more|less)\b"),
+    ("DIRECTORY_LIST", r"(?i)\b(?:Get-ChildItem|dir|ls|tree)\b"),
+    ("GIT", r"^git\b"),
+    ("SCRIPT", r"^(?:python|node|bash|sh|powershell|pwsh|\./|wsl\.exe)\b"),
+    ("OTHER", r"(?i)^(?:echo|cd|pwd|which|where|sleep|Start-Sleep|gcloud|Get-Process|Get-CimInstance)\b"),
 )
-REDIRECT = r"[^-=<>]>{1,2}\s*[^&\s]"
+GIT_WRITES = r"\b(?:commit|merge|rebase|cherry-pick|revert)\b"
+#: The word after the first semicolon that one follows; only a few count as a command of their own.
+SECOND, SECOND_WORDS = r";\s*([a-zA-Z0-9_.-]+)\b", ("git", "pytest", "rg", "get-content", "get-childitem")
 
 
-def _has(command: Column, words) -> Column:
-    return command.rlike(B + "(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")" + E)
+def writes_files(command: Column) -> Column:
+    return command.rlike(WRITES) | (command.rlike(REDIRECT) & ~command.rlike(PYTEST))
 
 
-def is_mutation(command: Column) -> Column:
-    return _has(command, FAMILIES[0][1]) | command.rlike(REDIRECT) | command.rlike(B + r"sed\s+-i" + E)
+def _first_family(command: Column, otherwise: Column) -> Column:
+    out = F.when(writes_files(command), "WRITE_OR_EDIT")
+    for name, pattern in FAMILIES:
+        out = out.when(command.rlike(pattern), name)
+    return out.otherwise(otherwise)
+
+
+def _second_command(command: Column) -> Column:
+    """What follows the semicolon, if its first word counts. No deeper command can: the words that count
+    are either families of their own wherever they stand, or open the rest."""
+    word = F.lower(F.regexp_extract(command, SECOND, 1))
+    return F.when(word.isin(*SECOND_WORDS), F.trim(F.regexp_extract(command, r"(?s);(\s*[a-zA-Z0-9_.-]+\b.*)", 1)))
 
 
 def family(command: Column) -> Column:
-    out = F.when(command.isNull() | (F.trim(command) == ""), "UNKNOWN").when(is_mutation(command), "WRITE_OR_EDIT")
-    for name, words in FAMILIES[1:]:
-        out = out.when(_has(command, words), name)
-    return out.otherwise("OTHER_SHELL")
+    tidy = F.trim(command)
+    second = _second_command(tidy)
+    return F.when(tidy.isNull() | (tidy == ""), "UNKNOWN").otherwise(_first_family(tidy, F.when(second.isNotNull(), _first_family(second, F.lit("UNKNOWN"))).otherwise("UNKNOWN")))
+
+
+def is_mutation(command: Column) -> Column:
+    """A write, or a git command that makes commits."""
+    tidy = F.trim(command)
+    opens = F.coalesce(F.when(~tidy.rlike(r"^git\b"), _second_command(tidy)), tidy)
+    return F.when(family(command) == "WRITE_OR_EDIT", True).when(family(command) == "GIT", opens.rlike(GIT_WRITES)).otherwise(False)
+
+
+def target_path(command: Column) -> Column:
+    """The file a command names: a path option, a quoted name with an extension, or the last argument of a
+    read; with backslashes."""
+    found = lambda pattern: F.nullif(F.regexp_extract(command, pattern, 1), F.lit(""))
+    words = F.split(F.trim(command), r"\s+")
+    named = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w: ~w.startswith("-") & w.contains("."))
+    last = F.when(F.get(words, F.lit(0)).isin("cat", "head", "tail", "type"), F.try_element_at(named, F.lit(-1)))
+    path = F.coalesce(found(r"(?i)-(?:LiteralPath|Path)\s+['\"]([^'\"]+)['\"]"), found(r"['\"]([^'\"*?<>|]+\.[a-zA-Z0-9_-]+)['\"]"), last)
+    return F.replace(path, F.lit("/"), F.lit("\\"))
+
+
+def line_range(command: Column) -> Column:
+    """First and last line that a command shows, where it says so."""
+    number = lambda pattern, k: F.regexp_extract(command, pattern, k).cast("long")
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("stop"))
+    zero = F.lit(0).cast("long")
+    part, skip, first, head = r"\[(\d+)\.\.(\d+)\]", r"(?i)Select-Object\s+.*-Skip\s+(\d+)\s+.*-First\s+(\d+)", r"(?i)Select-Object\s+.*-First\s+(\d+)", r"\bhead\s+-n\s+(\d+)"
+    return (
+        F.when(command.rlike(part), pair(number(part, 1), number(part, 2)))
+        .when(command.rlike(skip), pair(number(skip, 1), number(skip, 1) + number(skip, 2)))
+        .when(command.rlike(first), pair(zero, number(first, 1)))
+        .when(command.rlike(head), pair(zero, number(head, 1)))
+    )
 
 
 PATH = r"([^\s|;&<>'\"]+)"

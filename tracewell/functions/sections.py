@@ -25,7 +25,9 @@ def headings(raw: bytes) -> list[tuple[str, int, int, int]]:
         if fence:
             if mark and mark[1][:1] == fence[:1] and len(mark[1]) >= len(fence) and not mark[2].strip():
                 fence = b""
-        elif mark and not (mark[1][:1] == b"`" and b"`" in mark[2]):
+        elif mark and mark[1][:1] == b"`" and b"`" in mark[2]:
+            raise ValueError("UNCERTAIN_FENCE_SYNTAX")
+        elif mark:
             fence = mark[1]
         elif head := _HEADING.fullmatch(line):
             found.append((head[2].decode(), len(head[1]), at))

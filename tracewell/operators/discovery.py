@@ -12,10 +12,9 @@ K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, token, tf, length) of every document."""
-    tf = docs.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    length = docs.select(key, F.size(tokens).cast("long").alias("length"))
-    return tf.join(length, key)
+    """(key, token, tf, length) of every document; texts are tokenised once."""
+    held = docs.select(key, tokens.alias("tokens")).select(key, F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("token"))
+    return held.groupBy(key, "token", "length").agg(F.count("*").alias("tf"))
 
 
 def idf_table(post: DataFrame, n_docs: Column) -> DataFrame:
@@ -28,10 +27,12 @@ def bm25(docs: DataFrame, key: str, tokens: Column, queries: DataFrame, query_ke
 
     Only postings of query tokens reach the join; idf is computed for those alone.
     """
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens)).alias("mean_length"))
+    held = docs.select(key, tokens.alias("tokens"))
+    size = held.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
     asked = queries.select(query_key, F.explode(F.array_distinct(query_tokens)).alias("token"))
     wanted = asked.select("token").distinct()
-    post = postings(docs, key, tokens).join(wanted, "token", "left_semi").crossJoin(F.broadcast(size))  # size is one row
+    each = held.select(key, F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
+    post = each.groupBy(key, "token", "length").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(size))  # size is one row
     df = post.groupBy("token").agg(F.count("*").alias("df"))
     weighted = post.join(df, "token").withColumn(
         "part", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -69,18 +70,21 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(d, "node", "left").select("node", degree.alias("in_degree"), F.round(5 * F.log1p(degree), 6).alias("centrality"))
 
 
-def distances(edges: DataFrame, seeds: DataFrame, most: int = 16) -> DataFrame:
-    """Unweighted distance of every reachable node to its nearest seed, by a frontier that only grows."""
-    around = neighbours(edges)
+def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Unweighted distance of every node to its nearest seed, null if none is reached.
+
+    The frontier grows until nothing new is found, so a path may have any length; each step is cut
+    off by a checkpoint.
+    """
+    around = cut(neighbours(edges))
     seen = cut(seeds.select("node", F.lit(0).cast("long").alias("distance")).distinct())
-    frontier = seen
-    for step in range(1, most + 1):
+    frontier, step = seen, 0
+    while not frontier.isEmpty():
+        step += 1
         near = frontier.join(around, frontier["node"] == around["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut(near.join(seen, "node", "left_anti").select("node", F.lit(step).cast("long").alias("distance")))
-        if frontier.isEmpty():
-            break
         seen = cut(seen.union(frontier))
-    return seen.withColumn("proximity", F.round(5.0 / (F.col("distance") + 1), 6))
+    return nodes.select("node").distinct().join(seen, "node", "left").withColumn("proximity", F.round(5.0 / (F.col("distance") + 1), 6))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:

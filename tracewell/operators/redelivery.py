@@ -75,8 +75,12 @@ def redelivery_decisions(calls: DataFrame, evidence: Column, sensitive: Column |
         .otherwise("REFERENCE")
     )
     out = state.withColumn("evidence", shown).withColumn("reference_bytes", size.cast("long")).withColumn("disposition", chain)
+    # a receipt was last seen when it was made or when a reference to it was last emitted
+    emitted = F.col("is_first") | (F.col("disposition") == "REFERENCE")
+    latest = F.last(F.when(emitted, F.col("call_index")), ignorenulls=True).over(_session("sha").rowsBetween(W.unboundedPreceding, -1))
     return (
         out.withColumn("avoided_bytes", F.when(F.col("disposition") == "REFERENCE", F.col("n_bytes") - F.col("reference_bytes")).otherwise(F.lit(0).cast("long")))
+        .withColumn("latest_distance", F.when(~F.col("is_first"), F.col("call_index") - latest))
         .withColumn("call_distance", F.when(~F.col("is_first"), F.col("call_index") - F.col("first_index")))
         .withColumn("episode_distance", F.when(~F.col("is_first"), F.col("episode_id") - F.col("first_episode")))
     )

@@ -48,7 +48,7 @@ def within_budget(rows: DataFrame, key: str, order: list, size: str, budget: int
     return rows.withColumn("running", total).where(F.col("running") <= budget)
 
 
-def fold_runs(lines: DataFrame, key: str, least: int = 3) -> DataFrame:
+def fold_runs(lines: DataFrame, key: str, least: int = 2) -> DataFrame:
     """Runs of equal consecutive lines: gaps and islands over (key, line number)."""
     w = W.partitionBy(key).orderBy("line_no")
     changed = F.coalesce(F.lag("line").over(w) != F.col("line"), F.lit(True)).cast("long")

@@ -142,6 +142,7 @@ def hit_rate_mrr(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
+    """Suppliers, nations and regions as a tree."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c))
     edges = s.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst")).union(n.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")))
@@ -149,18 +150,29 @@ def _graph(spark, sf_dir):
     return nodes, edges
 
 
+def _wide_graph(spark, sf_dir):
+    """The tree with every supplier's parts, a chain as long as there are nations, and a part of nothing else."""
+    nodes, edges = _graph(spark, sf_dir)
+    l, p, n = (table(spark, sf_dir, t) for t in ("lineitem", "part", "nation"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c))
+    chain = n.select(F.concat(F.lit("c"), (F.col("n_nationkey") + 1).cast("string")).alias("src"), F.when(F.col("n_nationkey") == 0, "r0").otherwise(name("c", "n_nationkey")).alias("dst"))
+    supplied = l.select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst")).distinct()
+    more = p.select(name("p", "p_partkey").alias("node")).union(n.select(F.concat(F.lit("c"), (F.col("n_nationkey") + 1).cast("string"))))
+    return nodes.union(more).union(spark.createDataFrame([("alone",)], "node string")), edges.union(supplied).union(chain)
+
+
 def graph_neighbors(spark, sf_dir):
-    around = discovery.neighbours(_graph(spark, sf_dir)[1])
+    around = discovery.neighbours(_wide_graph(spark, sf_dir)[1])
     return around.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("neighbours"), F.min("dst").alias("first"), F.max("dst").alias("last"))
 
 
 def in_degree(spark, sf_dir):
-    return discovery.in_degree(*_graph(spark, sf_dir))
+    return discovery.in_degree(*_wide_graph(spark, sf_dir))
 
 
 def bfs_distance(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    return discovery.distances(edges, nodes.where(F.col("node") == "r0"))
+    nodes, edges = _wide_graph(spark, sf_dir)
+    return discovery.distances(nodes, edges, nodes.where(F.col("node") == "r0"))
 
 
 def pagerank(spark, sf_dir, iterations: int = 8):
@@ -177,7 +189,7 @@ def pagerank_converged(spark, sf_dir):
 
 
 def graph_health(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _wide_graph(spark, sf_dir)
     d = nodes.join(discovery.neighbours(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")), "node", "left")
     h = d.agg(F.count("*").alias("nodes"), F.count_if(F.col("n").isNull()).alias("orphans"), F.sum(F.coalesce("n", F.lit(0))).alias("ends"))
     linked = F.round((F.col("nodes") - F.col("orphans")) / F.col("nodes"), 4)
@@ -346,6 +358,10 @@ _BM25 = f"""d AS (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents), sz
   top AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 10)"""
 _GRAPH = "e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), v AS (SELECT 's' || s_suppkey AS node FROM supplier UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
+_WIDE = _GRAPH.replace("FROM nation), v AS (", "FROM nation UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem UNION ALL SELECT 'c' || (n_nationkey + 1), CASE WHEN n_nationkey = 0 THEN 'r0' ELSE 'c' || n_nationkey END FROM nation), v AS (").replace(
+    "FROM region), u AS", "FROM region UNION ALL SELECT 'p' || p_partkey FROM part UNION ALL SELECT 'c' || (n_nationkey + 1) FROM nation UNION ALL SELECT 'alone'), u AS"
+)
+
 
 def _pagerank_sql(iterations: int = 8) -> str:
     steps = [f"WITH {_GRAPH}, dg AS (SELECT src, count(*) AS k FROM (SELECT DISTINCT src, dst FROM e) GROUP BY 1), st AS (SELECT node, CASE WHEN node LIKE 's%' THEN 1.0 / (SELECT count(*) FROM v WHERE node LIKE 's%') ELSE 0 END AS seed, k FROM v LEFT JOIN dg ON src = node), r0 AS (SELECT node, CAST(seed AS DOUBLE) AS rank FROM st)"]
@@ -368,7 +384,7 @@ SQL = {
     "policy_matrix": f"WITH p AS (SELECT unnest({list(policy.PROFILES)}) AS profile), c AS (SELECT unnest({list(policy.CLASSES)}) AS evidence), m AS (SELECT unnest({list(policy.MODES)}) AS mode), t AS (SELECT *, CASE WHEN evidence = 'NOISE' OR (evidence = 'PROGRESS' AND mode <> 'PROVE') THEN 'FOLD' END AS transform FROM p, c, m) SELECT *, CASE WHEN transform IS NOT NULL THEN 'TRANSFORM' WHEN evidence = 'MACHINE_DATA' AND mode <> 'PROVE' THEN 'LOSSLESS_ONLY' ELSE 'RAW' END AS disposition FROM t",
     "invariant_checks": f"WITH {_CAPTURED} SELECT doc_id, mode, len(list_filter(ok, lambda x: x)) AS passed, names[list_position(ok, false)] AS first_forced FROM ck",
     "token_estimate": f"SELECT lang, count(*) AS docs, {_big('sum(strlen(text))')} AS bytes, round(sum(strlen(text)) / 4.0, 2) AS tokens FROM documents GROUP BY 1",
-    "fold_runs": f"WITH {_CAPTURED}, l2 AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS ls FROM (SELECT doc_id, regexp_split_to_array(content, '\\r\\n|\\n|\\r') AS l FROM cap)), x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM l2), c AS (SELECT *, CASE WHEN lag(line) OVER w IS NOT DISTINCT FROM line THEN 0 ELSE 1 END AS ch FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), i AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS island FROM c) SELECT doc_id, min(line_no) AS first, max(line_no) AS last, count(*) AS n FROM i GROUP BY doc_id, island HAVING count(*) >= 3",
+    "fold_runs": f"WITH {_CAPTURED}, l2 AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS ls FROM (SELECT doc_id, regexp_split_to_array(content, '\\r\\n|\\n|\\r') AS l FROM cap)), x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM l2), c AS (SELECT *, CASE WHEN lag(line) OVER w IS NOT DISTINCT FROM line THEN 0 ELSE 1 END AS ch FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), i AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS island FROM c) SELECT doc_id, min(line_no) AS first, max(line_no) AS last, count(*) AS n FROM i GROUP BY doc_id, island HAVING count(*) >= 2",
     "exact_content_dups": "SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first_doc, min(strlen(text)) AS n_bytes, (count(*) - 1) * min(strlen(text)) AS repeat_bytes FROM documents GROUP BY 1 HAVING count(*) > 1",
     "store_dedup": f"WITH k AS (SELECT sha256(text) AS sha, min(strlen(text)) AS n FROM documents WHERE NOT regexp_matches(regexp_replace(text, {_q(text.ANSI)}, '', 'g'), {_i(text.SECRET)}) GROUP BY 1) SELECT left(sha, 1) AS folder, count(*) AS objects, {_big('sum(n)')} AS bytes FROM k GROUP BY 1",
     "bm25_topk": f"WITH {_BM25} SELECT * FROM top",
@@ -377,11 +393,11 @@ SQL = {
     "hit_rate_mrr": f"WITH {_BM25}, tr AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, string_split(text, chr(10))[1] AS line FROM benchmark) JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) USING (line)), h AS (SELECT item_id, min(rank) AS first FROM top JOIN tr USING (item_id, doc_id) GROUP BY 1), ev AS (SELECT DISTINCT item_id FROM tr), z AS (SELECT * FROM ev LEFT JOIN h USING (item_id)) SELECT count(*) AS queries, "
     + ", ".join(f"round(avg(CASE WHEN first <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_at_{k}" for k in (1, 3, 5, 10))
     + ", round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr, count(*) FILTER (first IS NULL) AS misses FROM z",
-    "graph_neighbors": f"WITH {_GRAPH} SELECT src AS node, count(*) AS neighbours, min(dst) AS first, max(dst) AS last FROM u GROUP BY 1",
-    "in_degree": f"WITH {_GRAPH}, d AS (SELECT dst, count(DISTINCT src) AS n FROM e GROUP BY 1) SELECT node, coalesce(n, 0) AS in_degree, round(5 * ln(1 + coalesce(n, 0)), 6) AS centrality FROM v LEFT JOIN d ON dst = node",
-    "bfs_distance": f"WITH RECURSIVE {_GRAPH}, w(node, distance) AS (SELECT 'r0', 0 UNION SELECT u.dst, w.distance + 1 FROM w JOIN u ON u.src = w.node WHERE w.distance < 5) SELECT node, {_big('min(distance)')} AS distance, round(5.0 / (min(distance) + 1), 6) AS proximity FROM w GROUP BY 1",
+    "graph_neighbors": f"WITH {_WIDE} SELECT src AS node, count(*) AS neighbours, min(dst) AS first, max(dst) AS last FROM u GROUP BY 1",
+    "in_degree": f"WITH {_WIDE}, d AS (SELECT dst, count(DISTINCT src) AS n FROM e GROUP BY 1) SELECT node, coalesce(n, 0) AS in_degree, round(5 * ln(1 + coalesce(n, 0)), 6) AS centrality FROM v LEFT JOIN d ON dst = node",
+    "bfs_distance": f"WITH RECURSIVE {_WIDE}, w(node, distance) AS (SELECT 'r0', 0 UNION SELECT u.dst, w.distance + 1 FROM w JOIN u ON u.src = w.node WHERE w.distance < 30), b AS (SELECT node, min(distance) AS d FROM w GROUP BY 1) SELECT node, {_big('d')} AS distance, round(5.0 / (d + 1), 6) AS proximity FROM (SELECT DISTINCT node FROM v) LEFT JOIN b USING (node)",
     "pagerank": _pagerank_sql(),
-    "graph_health": f"WITH {_GRAPH}, d AS (SELECT node, n FROM v LEFT JOIN (SELECT src, count(*) AS n FROM u GROUP BY 1) ON src = node), h AS (SELECT count(*) AS nodes, count(*) FILTER (n IS NULL) AS orphans, {_big('sum(coalesce(n, 0))')} AS ends FROM d), q AS (SELECT *, round((nodes - orphans) / nodes, 4) AS linked_ratio FROM h) SELECT *, CASE WHEN linked_ratio >= 0.85 THEN 'HIGH' WHEN linked_ratio >= 0.5 THEN 'PARTIAL' ELSE 'LOW' END AS status FROM q",
+    "graph_health": f"WITH {_WIDE}, d AS (SELECT node, n FROM v LEFT JOIN (SELECT src, count(*) AS n FROM u GROUP BY 1) ON src = node), h AS (SELECT count(*) AS nodes, count(*) FILTER (n IS NULL) AS orphans, {_big('sum(coalesce(n, 0))')} AS ends FROM d), q AS (SELECT *, round((nodes - orphans) / nodes, 4) AS linked_ratio FROM h) SELECT *, CASE WHEN linked_ratio >= 0.85 THEN 'HIGH' WHEN linked_ratio >= 0.5 THEN 'PARTIAL' ELSE 'LOW' END AS status FROM q",
     "label_confusion": f"WITH {_VIEWS} SELECT scope, label, predicted, count(*) AS entries FROM vw GROUP BY 1, 2, 3",
     "label_scope_safety": f"WITH {_VIEWS} SELECT scope, CASE WHEN predicted = label THEN CASE WHEN label = 1 THEN 'SAFE_KEEP' ELSE 'SAFE_DROP' END WHEN predicted = 1 THEN 'UNSAFE_KEEP' ELSE 'MISSED_KEEP' END AS outcome, count(*) AS entries, round(avg(n_chars), 2) AS mean_chars FROM vw GROUP BY 1, 2",
     "missed_buckets": f"WITH b AS ({_buckets}), m AS (SELECT doc_id, CASE WHEN n_chars = 0 THEN 'EMPTY' WHEN n_chars < 200 THEN 'SHORT' WHEN n_chars > 8000 THEN 'LONG' WHEN lang <> 'en' THEN 'FOREIGN' ELSE 'PLAIN' END AS bucket FROM documents), g AS (SELECT bucket, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[:5], ',') AS s FROM m GROUP BY 1) SELECT bucket, coalesce(n, 0) AS entries, coalesce(s, '') AS sample FROM b LEFT JOIN g USING (bucket)",

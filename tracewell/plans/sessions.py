@@ -37,7 +37,7 @@ def exact_redelivery(spark, sf_dir):
 
 
 def redelivery_decisions(spark, sf_dir):
-    return _decisions(spark, sf_dir).select("event_id", "session_id", "call_index", "disposition", "evidence", "receipt_no", "reference_bytes", "avoided_bytes", "call_distance", "episode_distance")
+    return _decisions(spark, sf_dir).select("event_id", "session_id", "call_index", "disposition", "evidence", "receipt_no", "reference_bytes", "avoided_bytes", "call_distance", "latest_distance", "episode_distance")
 
 
 def redelivery_funnel(spark, sf_dir):
@@ -199,7 +199,8 @@ _STATE = TOOL_CALLS_SQL + """, st AS (
       WHEN strlen(ref) >= n_bytes THEN 'NOT_ECONOMIC' ELSE 'REFERENCE' END AS disposition FROM st4
 ), d AS (
   SELECT *, CASE WHEN disposition = 'REFERENCE' THEN n_bytes - reference_bytes ELSE 0 END AS avoided_bytes,
-    CASE WHEN NOT is_first THEN call_index - first_index END AS call_distance, CASE WHEN NOT is_first THEN episode_id - first_episode END AS episode_distance FROM dec
+    CASE WHEN NOT is_first THEN call_index - first_index END AS call_distance, CASE WHEN NOT is_first THEN episode_id - first_episode END AS episode_distance,
+    CASE WHEN NOT is_first THEN call_index - last_value(CASE WHEN is_first OR disposition = 'REFERENCE' THEN call_index END IGNORE NULLS) OVER (PARTITION BY session_id, sha ORDER BY call_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS latest_distance FROM dec
 )"""
 
 _PRE = TOOL_CALLS_SQL + """, fw AS (
@@ -251,7 +252,7 @@ _stage = lambda n, c: f"SELECT '{n}' AS stage, count(*) FILTER ({c}) AS calls, C
 SQL = {
     "first_delivery": f"WITH {_STATE} SELECT session_id, count(*) AS calls, count(*) FILTER (is_first) AS first_deliveries, {_big('sum(CASE WHEN is_first THEN 0 ELSE n_bytes END)')} AS repeat_bytes FROM st GROUP BY 1",
     "exact_redelivery": f"WITH {TOOL_CALLS_SQL}, g AS (SELECT target_path, sha, count(*) AS n, sum(n_bytes) AS b, min(n_bytes) AS one FROM tool_calls GROUP BY 1, 2 HAVING count(*) > 1) SELECT target_path, count(*) AS groups, {_big('sum(n)')} AS events, {_big('sum(b)')} AS gross_bytes, {_big('sum(b - one)')} AS repeat_bytes FROM g GROUP BY 1",
-    "redelivery_decisions": f"WITH {_STATE} SELECT event_id, session_id, call_index, disposition, evidence, receipt_no, reference_bytes, avoided_bytes, call_distance, episode_distance FROM d",
+    "redelivery_decisions": f"WITH {_STATE} SELECT event_id, session_id, call_index, disposition, evidence, receipt_no, reference_bytes, avoided_bytes, call_distance, latest_distance, episode_distance FROM d",
     "redelivery_funnel": f"WITH {_STATE} " + " UNION ALL ".join(
         _stage(n, c)
         for n, c in (

@@ -1,53 +1,72 @@
-"""Queries that run a stream to its end, and queries over commands."""
+"""Queries that run a stream to its end, and their SQL."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions import commands
-from tracewell.operators import redelivery
-from tracewell.sources.tables import table, tool_calls
-from tracewell.streaming import tail
+from tracewell.operators import receipts, redelivery
+from tracewell.plans.sessions import _READS
+from tracewell.sources.scratch import shared_dir
+from tracewell.sources.tables import TOOL_CALLS_SQL, table, tool_calls
+from tracewell.streaming import stateful
+
+
+def _through(rows: DataFrame, step, schema: str) -> DataFrame:
+    """What ``step`` makes of ``rows`` as they arrive file by file; written to and read from the shared folder."""
+    spark = rows.sparkSession
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{at}/in")
+    arriving = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+    step(arriving).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/out")
 
 
 def stream_vs_batch(spark, sf_dir):
     """First deliveries decided call by call in a stream, compared with the windows over the whole log."""
-    calls = tool_calls(table(spark, sf_dir, "events")).select("session_id", "call_index", "event_id", "sha")
-    at = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tracewell-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    calls.write.parquet(f"{at}/in")
-    arriving = spark.readStream.schema(calls.schema).parquet(f"{at}/in")
-    tail.first_deliveries(arriving).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
-    stream = spark.read.schema(tail.DECISION).parquet(f"{at}/out").select("event_id", F.struct("is_first", "receipt_no", "first_index").alias("s"))
-    batch = redelivery.delivery_state(tool_calls(table(spark, sf_dir, "events"))).select("event_id", F.struct("is_first", "receipt_no", "first_index").alias("b"))
+    calls = tool_calls(table(spark, sf_dir, "events"))
+    stream = _through(calls.select("session_id", "call_index", "event_id", "sha"), stateful.first_deliveries, stateful.FIRST).select("event_id", F.struct("is_first", "receipt_no", "first_index").alias("s"))
+    batch = redelivery.delivery_state(calls).select("event_id", F.struct("is_first", "receipt_no", "first_index").alias("b"))
     same = F.col("s").eqNullSafe(F.col("b"))
     return batch.join(stream, "event_id", "full_outer").agg(F.count("*").alias("calls"), F.count_if(same).alias("matched"), F.count_if(~same).alias("mismatched"))
 
 
-_COMMANDS = ("cat src/a.py", "sed -n '1,20p' src/a.py", "head -n 5 ./b.py", "tail -20 c.py", "head -c 100 d.bin", "rg -n x src", "ls -la", "git status", "pytest -q", "cat a.py > b.py", "apply_patch x", "make all", "curl http://x", "cat a.py | head", "echo hi", "")
+def _reads(spark, sf_dir):
+    k = F.col("k")
+    reads = tool_calls(table(spark, sf_dir, "events")).where(F.col("tool_family") == "FILE_READ")
+    return reads.withColumn("source", F.when(k % 13 != 0, F.col("target_path"))).withColumn("view", F.when(k % 17 == 0, None).when(k % 2 == 0, "FULL_FILE").otherwise("LINE_RANGE"))
+
+
+def stream_receipts(spark, sf_dir):
+    """Read receipts decided one by one in a stream."""
+    rows = _reads(spark, sf_dir).select("session_id", "call_index", "event_id", "source", "view", "sha", "n_bytes")
+    return _through(rows, stateful.read_receipts, stateful.READS)
+
 
+def stream_receipts_vs_batch(spark, sf_dir):
+    """Fields in which the stream's receipts differ from those of the windows."""
+    stream = stream_receipts(spark, sf_dir)
+    batch = receipts.receipt_decisions(_reads(spark, sf_dir), F.col("source"), F.col("view"))
+    fields = ("decision", "receipt_no", "distance")
+    both = batch.select("event_id", *[F.col(f).alias("b_" + f) for f in fields]).join(stream.select("event_id", *fields), "event_id", "full_outer")
+    return both.agg(F.count("*").alias("reads"), *[F.count_if(~F.col(f).eqNullSafe(F.col("b_" + f))).alias(f + "_differs") for f in fields])
 
-def command_families(spark, sf_dir):
-    """Families, writes and read views of every event's command."""
-    e = table(spark, sf_dir, "events").select("event_id", F.get(F.array(*map(F.lit, _COMMANDS)), (F.col("event_id") % len(_COMMANDS)).cast("int")).alias("command"))
-    c = e.withColumn("view", commands.read_view(F.col("command")))
-    return c.groupBy("command", commands.family(F.col("command")).alias("family"), commands.is_mutation(F.col("command")).alias("writes"), commands.source_identity(F.col("view.path")).alias("path"), F.col("view.view").alias("view"), F.col("view.start").alias("start"), F.col("view.stop").alias("stop")).agg(F.count("*").alias("events"))
 
+def stream_pairing(spark, sf_dir):
+    """Calls paired with outputs as both arrive; several records share a call id."""
+    e = tool_calls(table(spark, sf_dir, "events")).select("session_id", F.col("call_index").alias("record_index"), "event_id", (F.col("k") % 3 != 0).alias("is_call"), F.concat(F.lit("c"), (F.col("k") % 12).cast("string")).alias("call_id"))
+    return _through(e, stateful.pair_calls, stateful.PAIRS)
 
-# What each command above is.
-_WHAT = (
-    ("FILE_READ", False, "src/a.py", "FULL_FILE", None, None), ("FILE_READ", False, "src/a.py", "LINE_RANGE", 1, 20), ("FILE_READ", False, "b.py", "LINE_RANGE", 1, 5), ("FILE_READ", False, "c.py", "TAIL", 20, None),
-    ("FILE_READ", False, "d.bin", "BYTE_RANGE", 0, 100), ("SEARCH", False, None, None, None, None), ("DIRECTORY_LIST", False, None, None, None, None), ("GIT", False, None, None, None, None), ("TEST", False, None, None, None, None),
-    ("WRITE_OR_EDIT", True, None, None, None, None), ("WRITE_OR_EDIT", True, None, None, None, None), ("BUILD", False, None, None, None, None), ("NETWORK", False, None, None, None, None), ("FILE_READ", False, None, None, None, None),
-    ("OTHER_SHELL", False, None, None, None, None), ("UNKNOWN", False, None, None, None, None),
-)
-_sql = lambda v: "NULL" if v is None else str(v) if isinstance(v, (bool, int)) else "'" + v.replace("'", "''") + "'"
-_rows = ", ".join(f"({k}, {_sql(c)}, {', '.join(map(_sql, w))})" for k, (c, w) in enumerate(zip(_COMMANDS, _WHAT)))
 
 SQL = {
     "stream_vs_batch": "SELECT count(*) AS calls, count(*) AS matched, CAST(0 AS BIGINT) AS mismatched FROM events",
-    "command_families": f'WITH w(k, command, family, writes, path, "view", "start", "stop") AS (VALUES {_rows}) SELECT command, family, writes, path, "view", CAST("start" AS BIGINT) AS "start", CAST("stop" AS BIGINT) AS "stop", count(*) AS events FROM events JOIN w ON k = event_id % {len(_COMMANDS)} GROUP BY ALL',
+    "stream_receipts": f"WITH {_READS} SELECT session_id, call_index, event_id, decision, receipt_no, distance FROM r7",
+    "stream_receipts_vs_batch": "SELECT count(*) AS reads, CAST(0 AS BIGINT) AS decision_differs, CAST(0 AS BIGINT) AS receipt_no_differs, CAST(0 AS BIGINT) AS distance_differs FROM events WHERE event_type = 'view'",
+    "stream_pairing": f"""WITH {TOOL_CALLS_SQL}, r AS (SELECT session_id, call_index AS i, event_id, k % 3 <> 0 AS is_call, 'c' || k % 12 AS call_id FROM tool_calls),
+      f AS (SELECT session_id, call_id, min(i) AS first_call FROM r WHERE is_call GROUP BY 1, 2), o AS (SELECT session_id, call_id, min(i) AS at FROM r JOIN f USING (session_id, call_id) WHERE NOT is_call AND i > first_call GROUP BY 1, 2)
+      SELECT o.session_id, o.call_id, (SELECT max_by(c.event_id, c.i) FROM r c WHERE c.session_id = o.session_id AND c.call_id = o.call_id AND c.is_call AND c.i < o.at) AS call_event,
+        (SELECT min(x.event_id) FROM r x WHERE x.session_id = o.session_id AND x.i = o.at) AS output_event FROM o""",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -1,30 +1,30 @@
-"""Following a growing line file, and deciding redeliveries as calls arrive."""
+"""Following a growing line file."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.sources.ship import ship
 
 
 class _Range(InputPartition):
-    def __init__(self, start: int, stop: int):
+    def __init__(self, start: int, stop: int, first: bool):
         super().__init__(None)
-        self.start, self.stop = start, stop
+        self.start, self.stop, self.first = start, stop, first
 
 
 class LineTail(DataSource):
     """Complete lines of one growing file with their byte offsets.
 
-    Offsets are byte positions after a line feed, so a partly written line waits for its rest. A
-    file that got shorter than what was read raises. ``maxBytes`` bounds a batch. The file lies on
-    the driver's host; lines are read where the batch is planned.
+    Offsets are byte positions after a line feed, so a partly written line waits for its rest. The
+    offset log of the stream is the only cursor: after a restart the batch goes from the offset it
+    holds. A file that is shorter than what was read raises. ``maxBytes`` bounds a batch once the
+    reader knows where it stands, and the bytes of one partition always; the lines of a partition are
+    those that begin in it. Lines are read by executors, so the file must lie where they can open it.
     """
 
     @classmethod
@@ -41,75 +41,67 @@ class LineTail(DataSource):
 class _TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.most = options["path"], int(options.get("maxBytes", 16 << 20))
-        self.at = int(options.get("startOffset", 0))
+        self.begin = int(options.get("startOffset", 0))
+        self.known: int | None = None  # what this reader has seen read; nothing after a restart
 
     def initialOffset(self) -> dict:
-        return {"bytes": self.at}
+        return {"bytes": self.begin}
 
     def latestOffset(self) -> dict:
         size = os.path.getsize(self.path)
-        if size < self.at:
-            raise ValueError(f"{self.path} was rewound: {size} bytes, {self.at} already read")
-        with open(self.path, "rb") as f:
-            f.seek(self.at)
-            data = f.read(self.most)
-            while b"\n" not in data and (more := f.read(self.most)):
-                data += more  # a line longer than a batch still makes one
-        self.at += data.rfind(b"\n") + 1
-        return {"bytes": self.at}
+        at = self.known
+        if at is not None and size < at:
+            raise ValueError(f"{self.path} was rewound: {size} bytes, {at} already read")
+        if at is None or size - at <= self.most:
+            return {"bytes": max(_last_line_end(self.path, size), at or 0)}
+        return {"bytes": _last_line_end(self.path, at + self.most, at) or _next_line_end(self.path, at + self.most)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Range(start["bytes"], end["bytes"])]
+        a, z = start["bytes"], end["bytes"]
+        if z < a:
+            raise ValueError(f"{self.path} was rewound: lines end at {z}, {a} already read")
+        self.known = z
+        return [_Range(lo, min(lo + self.most, z), lo == a) for lo in range(a, z, self.most)]
 
     def read(self, partition: _Range) -> Iterator[tuple[int, str]]:
         with open(self.path, "rb") as f:
-            f.seek(partition.start)
             at = partition.start
-            for line in _lines(f.read(partition.stop - partition.start)):
+            if not partition.first:
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+            f.seek(at)
+            while at < partition.stop:
+                line = f.readline()
+                if not line.endswith(b"\n"):
+                    raise ValueError(f"{self.path} ended at {at + len(line)} while it was read")
                 yield at, line[:-1].decode("utf-8", "replace")
                 at += len(line)
 
     def commit(self, end: dict) -> None:
-        """Spark's own offset log is the cursor."""
+        self.known = max(self.known or 0, end["bytes"])
+
+
+def _last_line_end(path: str, stop: int, floor: int = 0, step: int = 1 << 16) -> int:
+    """The place after the last line feed in [floor, stop), 0 if there is none."""
+    with open(path, "rb") as f:
+        while stop > floor:
+            lo = max(floor, stop - step)
+            f.seek(lo)
+            if (at := f.read(stop - lo).rfind(b"\n")) >= 0:
+                return lo + at + 1
+            stop = lo
+    return 0
 
 
-def _lines(data: bytes) -> list[bytes]:
-    return [x + b"\n" for x in data.split(b"\n")[:-1]]
+def _next_line_end(path: str, at: int) -> int:
+    """The place after the line that ``at`` lies in; a line longer than a batch still makes one."""
+    with open(path, "rb") as f:
+        f.seek(at)
+        line = f.readline()
+        return at + len(line) if line.endswith(b"\n") else _last_line_end(path, at)
 
 
 def follow(spark: SparkSession, path: str, **options) -> DataFrame:
     ship(spark)
     spark.dataSource.register(LineTail)
     return spark.readStream.format("line_tail").option("path", path).options(**options).load()
-
-
-DECISION = "session_id string, call_index long, event_id long, is_first boolean, receipt_no long, first_index long"
-
-
-def first_deliveries(calls: DataFrame) -> DataFrame:
-    """Per arriving call: whether its content is new to the session, the receipt, and where it was first.
-
-    State is keyed by session: digest to (receipt, index), and the calls already decided, so a
-    call that is replayed is dropped. Calls must arrive in call order within a session, as a log
-    gives them; rows of one batch are put in order here.
-    """
-
-    ship(calls.sparkSession)
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        seen_sha, seen_at, last = state.get if state.exists else ([], [], 0)
-        known = dict(zip(seen_sha, zip(range(1, len(seen_sha) + 1), seen_at)))
-        out = []
-        batch = pd.concat(list(frames)).sort_values("call_index")
-        for index, event, sha in zip(batch["call_index"].tolist(), batch["event_id"].tolist(), batch["sha"].tolist()):
-            if index <= last:
-                continue
-            first = sha not in known
-            if first:
-                known[sha] = (len(known) + 1, index)
-            out.append((key[0], index, event, first, *known[sha]))
-            last = index
-        state.update((list(known), [at for _, at in known.values()], last))
-        yield pd.DataFrame(out, columns=["session_id", "call_index", "event_id", "is_first", "receipt_no", "first_index"])
-
-    return calls.groupBy("session_id").applyInPandasWithState(step, DECISION, "shas array<string>, at array<long>, last long", "append", GroupStateTimeout.NoTimeout)
