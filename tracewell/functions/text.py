@@ -42,16 +42,19 @@ FACT = r"(?m)^(?:commit [0-9a-f]{7,40}|On branch \S+)"
 
 # Words one of which stands, in lower case, in every text that its pattern matches.
 WORDS = {
-    SECRET: ("private", "bearer", "basic", "gh", "sk-", "akia", "asia", "eyj", "api", "access", "secret", "passw", "credential", "token", "authorization", "cookie", "://"),
+    SECRET: (
+        "private", "bearer", "basic", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "akia", "asia", "eyj", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key",
+        "secret", "passw", "credential", "token", "authorization", "cookie", "://",
+    ),
     FAILURE: ("error", "fatal", "fail", "exception", "panic", "crash", "traceback"),
     SECURITY: ("cve-", "vulnerabilit", "security", "adversarial", "begin"),
     AUTHORITY: ("iam", "permission", "signed", "audit"),
     WARNING: ("warn", "deprecat", "truncat", "incomplete"),
-    CANONICAL: ("commit ", "on branch", "head detached", "nothing to commit", "sha"),
+    CANONICAL: ("commit ", "on branch", "head detached", "nothing to commit", "sha1", "sha-1", "sha256", "sha-256"),
     BENCHMARK: ("benchmark", "ms"),
     SUCCESS: ("pass", "ok", "tests, 0", "test, 0"),
     DISCOVERY: ("total", "drwx", "lrwx", "-rw", "├──", "└──", "│", "directory of"),
-}
+}
 
 # Words that carry no meaning for ranking.
 STOPWORDS = (
@@ -66,12 +69,15 @@ SUFFIXES = ("ing", "ion", "ed", "er", "ly", "tion", "ness", "ment")
 
 @cache
 def _compatible() -> str:
-    """A character class of everything that compatibility normalisation may turn into ASCII, and of marks."""
+    """A character class of everything that compatibility normalisation may turn into ASCII, and of marks.
+
+    Ranges with small gaps are joined, so that the class is short; it may hold more than it needs to.
+    """
     runs: list[list[int]] = []
     for c in range(0x80, 0x110000):
         if 0xD800 <= c < 0xE000 or not any(x.isascii() for x in unicodedata.normalize("NFKC", chr(c))):
             continue
-        if runs and c == runs[-1][1] + 1:
+        if runs and c - runs[-1][1] <= (4 if c < 0x300 else 1024):
             runs[-1][1] = c
         else:
             runs.append([c, c])

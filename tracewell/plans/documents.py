@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewell.functions import codecs, policy, text
-from tracewell.operators import corpus, discovery, spans
+from tracewell.operators import corpus, discovery, pipeline, spans
 from tracewell.sources.tables import TOOL_CALLS_SQL, table, tool_calls
 
 NOISE = "Building... [ OK ]\n"
@@ -24,7 +24,18 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, mark in before.items():
         content = content.when(kind == k, F.concat(F.lit(mark), F.col("text")))
     content = content.otherwise(F.col("text"))
-    return d.select("doc_id", "lang", "source", "n_chars", content.alias("content"), (F.col("doc_id") % 23 == 0).cast("long").alias("exit_code"), kind.alias("kind"))
+    i = F.col("doc_id")
+    return d.select(
+        "doc_id", "lang", "source", "n_chars", content.alias("content"), (i % 23 == 0).cast("long").alias("exit_code"), kind.alias("kind"),
+        F.get(F.array(*[F.lit(m) for m in policy.MODES]), (i % 3).cast("int")).alias("mode"),
+        F.get(F.array(*map(F.lit, (*policy.PROFILES, "other"))), (i % 4).cast("int")).alias("profile"),
+        F.when(i % 17 == 0, "git status").when(i % 17 == 1, "GIT.EXE log").when(i % 17 == 2, None).when(i % 43 == 3, "login --password=x").otherwise("make legit").alias("command"),
+        F.when(i % 19 == 0, "stderr").when(i % 3 == 1, "stdout").otherwise("combined").alias("stream"),
+        (i % 29 == 0).alias("truncated"), F.when(i % 31 == 0, "json").when(i % 2 == 0, "text").alias("hint"),
+        F.when(i % 7 == 0, "DO_NOT_PERSIST").when(i % 2 == 0, "PERSIST").otherwise("EPHEMERAL").alias("persistence"),
+        F.when(i % 13 == 0, "SENSITIVE").when(i % 3 == 0, "NON_SENSITIVE").otherwise("UNKNOWN").alias("sensitivity"),
+        F.when(i % 37 < 3, F.array(F.lit("Downloading 50%"))).when(i % 41 == 0, F.array(F.lit("absent"))).otherwise(F.array().cast("array<string>")).alias("facts"),
+    )
 
 
 def _classified(spark, sf_dir):
@@ -48,16 +59,15 @@ def policy_matrix(spark, sf_dir):
     return policy.policy_table(spark)
 
 
-def _checked(spark, sf_dir):
-    mode = F.element_at(F.array(*[F.lit(m) for m in policy.MODES]), (F.col("doc_id") % 3 + 1).cast("int"))
-    c = _classified(spark, sf_dir).withColumn("mode", mode)
-    c = c.withColumn("transform", policy.transform_for(F.col("evidence"), F.col("mode"))).withColumn("n_bytes", F.octet_length("content").cast("long"))
-    return c.withColumn("checks", policy.invariants(F.col("evidence"), F.col("mode"), F.col("exit_code"), F.col("transform"), F.col("n_bytes"), F.lit(None)))
-
-
 def invariant_checks(spark, sf_dir):
-    c = _checked(spark, sf_dir)
-    return c.select("doc_id", "mode", F.size(F.filter("checks", lambda x: x["passed"])).cast("long").alias("passed"), policy.first_forced(F.col("checks")).alias("first_forced"))
+    """All checks of a proposed fold: machine data is offered one that is not lossless, protected classes
+    one that no profile may allow, and some folds would not shrink."""
+    c = _classified(spark, sf_dir).withColumn("n_bytes", F.octet_length("content").cast("long"))
+    offered = F.when(F.col("doc_id") % 5 < 4, policy.FOLD)
+    out = F.when(offered.isNotNull(), F.col("n_bytes") - F.col("doc_id") % 3)
+    checks = policy.invariants(F.col("evidence"), F.col("mode"), F.col("exit_code"), offered, F.col("n_bytes"), out)
+    c = c.withColumn("checks", checks)
+    return c.select("doc_id", "mode", F.array_join(F.transform(F.filter("checks", lambda x: ~x["passed"]), lambda x: x["id"]), ",").alias("failed"), policy.first_forced(F.col("checks")).alias("first_forced"))
 
 
 def token_estimate(spark, sf_dir):
@@ -79,14 +89,18 @@ def fold_roundtrip(spark, sf_dir):
     return c.groupBy("kind").agg(F.count("*").alias("docs"), F.count_if(F.col("fold.visible").isNotNull()).alias("folded"), F.count_if(F.col("fold.exact")).alias("exact"))
 
 
+def _processed(spark, sf_dir):
+    return pipeline.process(captured(spark, sf_dir))
+
+
 def pipeline_result(spark, sf_dir):
     """Every content through screening, class, policy, checks, transform and validation; raw wherever in doubt."""
-    c = _checked(spark, sf_dir)
-    allowed = F.col("transform").isNotNull() & F.col("checks").isNotNull() & policy.first_forced(F.col("checks")).isNull()
-    c = c.withColumn("fold", codecs.fold_udf()(F.when(allowed, F.col("content").cast("binary"))))
-    done = F.coalesce(F.col("fold.exact"), F.lit(False))
-    reason = F.when(done, "VALIDATED").when(allowed, "NO_SAVINGS").otherwise("EVIDENCE_OR_PROFILE")
-    return c.select("doc_id", "evidence", "mode", F.when(done, "TRANSFORM").otherwise("RAW").alias("disposition"), reason.alias("reason"), F.when(done, F.octet_length("fold.visible")).otherwise(F.col("n_bytes")).cast("long").alias("visible_bytes"))
+    return _processed(spark, sf_dir).select("doc_id", "evidence", "mode", "sensitivity", "persistence", "storage", "disposition", "reason", "visible_bytes", F.size("audit").cast("long").alias("checks"))
+
+
+def replay_rollup(spark, sf_dir):
+    """Totals of the pipeline over all contents."""
+    return pipeline.replay_summary(_processed(spark, sf_dir))
 
 
 def exact_content_dups(spark, sf_dir):
@@ -313,6 +327,10 @@ def _q(pattern: str) -> str:
 _i = lambda pattern: _q("(?i)" + pattern)
 _CAPTURED = f"""cap AS (
   SELECT doc_id, lang, source, n_chars, doc_id % 10 AS kind, CAST(CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END AS BIGINT) AS exit_code,
+    ['EXPLORE', 'BUILD', 'PROVE'][doc_id % 3 + 1] AS mode, ['default', 'strict', 'ideas', 'other'][doc_id % 4 + 1] AS profile,
+    CASE WHEN doc_id % 17 IN (0, 1) THEN true ELSE false END AS is_git, doc_id % 17 > 2 AND doc_id % 43 = 3 AS secret_command, CASE WHEN doc_id % 19 = 0 THEN 'stderr' ELSE 'stdout' END AS stream, doc_id % 29 = 0 AS truncated, doc_id % 31 = 0 AS odd_hint,
+    CASE WHEN doc_id % 7 = 0 THEN 'DO_NOT_PERSIST' WHEN doc_id % 2 = 0 THEN 'PERSIST' ELSE 'EPHEMERAL' END AS wanted, CASE WHEN doc_id % 13 = 0 THEN 'SENSITIVE' WHEN doc_id % 3 = 0 THEN 'NON_SENSITIVE' ELSE 'UNKNOWN' END AS claimed,
+    CASE WHEN doc_id % 37 < 3 THEN ['Downloading 50%'] WHEN doc_id % 41 = 0 THEN ['absent'] ELSE [] END AS facts,
     CASE doc_id % 10 WHEN 0 THEN 'error: build failed' || chr(10) || text WHEN 1 THEN repeat('Building... [ OK ]' || chr(10), 5 + doc_id % 20) WHEN 2 THEN repeat('Downloading 50%' || chr(10), 4 + doc_id % 7)
       WHEN 3 THEN 'commit 0123456789abcdef' || chr(10) || 'On branch main' || chr(10) || text WHEN 4 THEN '{{"k": ' || doc_id || '}}' WHEN 5 THEN '12 passed in 3s' || chr(10) || text
       WHEN 6 THEN 'warning: deprecated call' || chr(10) || text WHEN 7 THEN 'total 8' || chr(10) || 'drwx a' || chr(10) || text WHEN 8 THEN '0 failures' || chr(10) || 'benchmark 1.5 ms mean' || chr(10) || text ELSE text END AS content
@@ -329,14 +347,36 @@ _CAPTURED = f"""cap AS (
     WHEN regexp_matches(seen, {_i(text.BENCHMARK)}) THEN 'BENCHMARK' WHEN regexp_matches(trim(seen), '^[\\[{{]') AND json_valid(trim(seen)) THEN 'MACHINE_DATA' WHEN regexp_matches(trim(seen), '^[\\[{{]') AND NOT noise THEN 'UNKNOWN'
     WHEN regexp_matches(seen, {_i(text.SUCCESS)}) THEN 'SUCCESS_SUMMARY' WHEN regexp_matches(seen, {_i(text.DISCOVERY)}) THEN 'DISCOVERY' WHEN regexp_matches(content, {_q(text.CONTROL)}) THEN 'UNKNOWN'
     WHEN noise THEN 'NOISE' WHEN progress THEN 'PROGRESS' ELSE 'UNKNOWN' END AS evidence FROM cls
-), md AS (
-  SELECT *, ['EXPLORE', 'BUILD', 'PROVE'][doc_id % 3 + 1] AS mode, strlen(content) AS n_bytes FROM ev
-), tr AS (
-  SELECT *, CASE WHEN evidence = 'NOISE' OR (evidence = 'PROGRESS' AND mode <> 'PROVE') THEN 'FOLD' END AS transform FROM md
 ), ck AS (
+  SELECT *, doc_id % 5 < 4 AS offered, strlen(content) AS n_bytes FROM ev
+), iv AS (
   SELECT *, ['I5', 'I6', 'I7', 'I_ALWAYS_RAW', 'I_PROVE_MODE', 'I8', 'I9', 'I12'] AS names,
     [evidence <> 'UNKNOWN', NOT (evidence = 'FAILURE' OR exit_code <> 0), evidence NOT IN ('AUTHORITY', 'SECURITY'), evidence NOT IN ('AUTHORITY', 'SECURITY', 'FAILURE', 'CANONICAL_STATE', 'BENCHMARK', 'UNKNOWN'),
-     NOT (mode = 'PROVE' AND evidence IN ('DISCOVERY', 'PROGRESS', 'SUCCESS_SUMMARY', 'DIAGNOSTIC', 'MACHINE_DATA')), true, true, true] AS ok FROM tr
+     NOT (mode = 'PROVE' AND evidence IN ('DISCOVERY', 'PROGRESS', 'SUCCESS_SUMMARY', 'DIAGNOSTIC', 'MACHINE_DATA')),
+     NOT (evidence = 'MACHINE_DATA' AND offered), NOT (offered AND doc_id % 3 = 0), NOT (offered AND evidence IN ('AUTHORITY', 'SECURITY', 'FAILURE', 'CANONICAL_STATE', 'BENCHMARK', 'UNKNOWN'))] AS ok FROM ck
+), sn AS (
+  SELECT *, strlen(content) AS n_bytes, CASE WHEN claimed = 'SENSITIVE' OR secret_command OR regexp_matches(seen, {_i(text.SECRET)}) THEN 'SENSITIVE' ELSE claimed END AS sensitivity FROM ev
+), ps AS (
+  SELECT *, CASE WHEN sensitivity = 'SENSITIVE' THEN 'DO_NOT_PERSIST' WHEN wanted = 'PERSIST' AND sensitivity <> 'NON_SENSITIVE' THEN 'EPHEMERAL' ELSE wanted END AS persistence,
+    (evidence = 'NOISE' OR (evidence = 'PROGRESS' AND mode <> 'PROVE')) AND profile <> 'other' AND exit_code = 0 AS foldable, NOT (is_git OR stream = 'stderr' OR truncated OR odd_hint) AS plain FROM sn
+), pc AS (
+  SELECT doc_id, unnest(regexp_extract_all(content, '[^\\n]*\\n|[^\\n]+')) AS piece, generate_subscripts(regexp_extract_all(content, '[^\\n]*\\n|[^\\n]+'), 1) AS nth FROM cap
+  WHERE NOT regexp_matches(content, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]|\\r([^\\n]|$)')
+), pr AS (
+  SELECT doc_id, piece, nth, nth - row_number() OVER (PARTITION BY doc_id, piece ORDER BY nth) AS run FROM pc
+), rn AS (
+  SELECT doc_id, any_value(piece) AS line, min(nth) AS lo, max(nth) AS hi, count(*) AS n FROM pr GROUP BY doc_id, piece, run
+), fd AS (
+  SELECT doc_id, '[[FOLD:v1]]' || chr(10) || string_agg(line || CASE WHEN n > 1 THEN '[[FOLD:v1 count=' || n || ' first=' || lo || ' last=' || hi || ']]' || chr(10) ELSE '' END, '' ORDER BY lo) AS folded, max(n) AS most FROM rn GROUP BY 1
+), fx AS (
+  SELECT cap.*, CASE WHEN most > 1 AND strlen(folded) < strlen(content) THEN folded END AS folded FROM cap LEFT JOIN fd USING (doc_id)
+), pp AS (
+  SELECT ps.*, fx.folded,
+    CASE WHEN persistence = 'DO_NOT_PERSIST' THEN 'NO_ARCHIVE_RAW' WHEN NOT plain THEN 'METADATA_REQUIRES_RAW' WHEN NOT foldable THEN 'EVIDENCE_OR_PROFILE' WHEN folded IS NULL THEN 'NO_SAVINGS'
+      WHEN len(list_filter(ps.facts, lambda f: NOT (contains(folded, f) AND strlen(folded) - strlen(replace(folded, f, '')) >= strlen(ps.content) - strlen(replace(ps.content, f, ''))))) > 0 THEN 'FACT_GUARD' ELSE 'VALIDATED' END AS reason
+  FROM ps JOIN fx USING (doc_id)
+), pz AS (
+  SELECT *, CASE WHEN reason = 'VALIDATED' THEN strlen(folded) ELSE n_bytes END AS visible_bytes, foldable AND plain AND persistence <> 'DO_NOT_PERSIST' AS eligible FROM pp
 )"""
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
@@ -382,7 +422,16 @@ SQL = {
     "evidence_class": f"WITH {_CAPTURED} SELECT doc_id, evidence FROM ev",
     "required_facts": f"WITH {_CAPTURED}, f AS (SELECT doc_id, content, regexp_extract_all(content, {_q(text.FACT)}) AS facts FROM cap) SELECT doc_id, array_to_string(facts, '|') AS facts, {_big('(strlen(content) - strlen(replace(content, facts[1], chr(0)))) // (strlen(facts[1]) - 1)')} AS occurrences FROM f WHERE len(facts) > 0",
     "policy_matrix": f"WITH p AS (SELECT unnest({list(policy.PROFILES)}) AS profile), c AS (SELECT unnest({list(policy.CLASSES)}) AS evidence), m AS (SELECT unnest({list(policy.MODES)}) AS mode), t AS (SELECT *, CASE WHEN evidence = 'NOISE' OR (evidence = 'PROGRESS' AND mode <> 'PROVE') THEN 'FOLD' END AS transform FROM p, c, m) SELECT *, CASE WHEN transform IS NOT NULL THEN 'TRANSFORM' WHEN evidence = 'MACHINE_DATA' AND mode <> 'PROVE' THEN 'LOSSLESS_ONLY' ELSE 'RAW' END AS disposition FROM t",
-    "invariant_checks": f"WITH {_CAPTURED} SELECT doc_id, mode, len(list_filter(ok, lambda x: x)) AS passed, names[list_position(ok, false)] AS first_forced FROM ck",
+    "invariant_checks": f"WITH {_CAPTURED} SELECT doc_id, mode, array_to_string(list_filter(names, lambda n: NOT ok[list_position(names, n)]), ',') AS failed, names[list_position(ok, false)] AS first_forced FROM iv",
+    "pipeline_result": f"WITH {_CAPTURED} SELECT doc_id, evidence, mode, sensitivity, persistence, CASE WHEN persistence = 'DO_NOT_PERSIST' THEN 'FORBIDDEN' ELSE 'READY' END AS storage, CASE WHEN reason = 'VALIDATED' THEN 'TRANSFORM' ELSE 'RAW' END AS disposition, reason, visible_bytes, {_big("CASE WHEN reason = 'VALIDATED' THEN 12 ELSE 8 END")} AS checks FROM pz",
+    "replay_rollup": f"""WITH {_CAPTURED} SELECT count(*) AS entries, {_big('sum(n_bytes)')} AS raw_bytes, {_big('sum(visible_bytes)')} AS visible_bytes, sum(n_bytes) / 4.0 AS raw_tokens_estimate, sum(visible_bytes) / 4.0 AS visible_tokens_estimate,
+      round((1 - sum(visible_bytes) / sum(n_bytes)) * 100, 2) AS byte_reduction_pct, count(*) FILTER (eligible) AS eligible, count(*) FILTER (reason = 'VALIDATED') AS transformed, {_big("coalesce(sum(n_bytes) FILTER (reason = 'VALIDATED'), 0)")} AS fold_raw_bytes,
+      {_big("coalesce(sum(visible_bytes) FILTER (reason = 'VALIDATED'), 0)")} AS fold_visible_bytes, count(*) FILTER (reason = 'NO_SAVINGS') AS overhead_defeated FROM pz""",
+    "fold_roundtrip": f"WITH {_CAPTURED} SELECT kind, count(*) AS docs, count(folded) AS folded, count(folded) AS exact FROM fx GROUP BY 1",
+    "search_grouping": f"""WITH {TOOL_CALLS_SQL}, c AS (SELECT *, 1 + k % 9 AS n FROM tool_calls WHERE tool_family IN ('SEARCH', 'TEST')), o AS (SELECT *, list_transform(range(1, n + 1), lambda i: i || ':text ' || i * 7 || chr(10)) AS rows FROM c),
+      z AS (SELECT *, list_sum(list_transform(rows, lambda r: strlen(target_path) + 1 + strlen(r))) AS raw, 13 + strlen('[[GROUP:v1 path_bytes=' || strlen(target_path) || ']]' || target_path) + 1 + list_sum(list_transform(rows, lambda r: strlen(r))) AS grouped FROM o),
+      y AS (SELECT *, CASE WHEN exit_code <> 0 THEN 'NONZERO_EXIT' WHEN truncated THEN 'TRUNCATED' WHEN k % 10 = 0 THEN 'COMMAND_COMPOSITE' WHEN k % 10 = 1 THEN 'COMMAND_PRODUCER' WHEN grouped < raw THEN 'APPLIED' ELSE 'NO_GAIN' END AS reason FROM z)
+      SELECT reason, count(*) AS calls, {_big('sum(raw)')} AS raw_bytes, {_big("sum(CASE WHEN reason = 'APPLIED' THEN raw - grouped ELSE 0 END)")} AS saved_bytes FROM y GROUP BY 1""",
     "token_estimate": f"SELECT lang, count(*) AS docs, {_big('sum(strlen(text))')} AS bytes, round(sum(strlen(text)) / 4.0, 2) AS tokens FROM documents GROUP BY 1",
     "fold_runs": f"WITH {_CAPTURED}, l2 AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS ls FROM (SELECT doc_id, regexp_split_to_array(content, '\\r\\n|\\n|\\r') AS l FROM cap)), x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM l2), c AS (SELECT *, CASE WHEN lag(line) OVER w IS NOT DISTINCT FROM line THEN 0 ELSE 1 END AS ch FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), i AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS island FROM c) SELECT doc_id, min(line_no) AS first, max(line_no) AS last, count(*) AS n FROM i GROUP BY doc_id, island HAVING count(*) >= 2",
     "exact_content_dups": "SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first_doc, min(strlen(text)) AS n_bytes, (count(*) - 1) * min(strlen(text)) AS repeat_bytes FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -415,6 +464,5 @@ SQL = {
     "worktree_digest": "SELECT source, count(*) AS files, sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1",
 }
 
-#: Byte codecs have no SQL; their round trips are checked in the query and against fixtures in the tests.
-#: Converged ranks have none either: a test compares them with power iteration.
-QUERIES = {name: globals()[name] for name in [*SQL, "pagerank_converged", "fold_roundtrip", "pipeline_result", "search_grouping"]}
+#: Converged ranks have no SQL: a test compares them with power iteration.
+QUERIES = {name: globals()[name] for name in [*SQL, "pagerank_converged"]}

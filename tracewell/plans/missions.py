@@ -53,4 +53,12 @@ WITH d AS (
 SELECT doc_id, mode, reason, CASE WHEN reason = 'CANDIDATE' THEN raw - cand ELSE 0 END AS avoided_bytes FROM r
 """,
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "section_selection")}
+SQL["section_selection"] = """
+WITH d AS (
+  SELECT doc_id, '# Top' || chr(10) || text || CASE WHEN doc_id % 9 = 0 THEN chr(10) || '```' || chr(10) ELSE chr(10) END || '## Part' || chr(10) || 'body' || chr(10) || '### Inner' || chr(10) || 'more' || chr(10) || '## Next' || chr(10) || 'last' || chr(10) AS raw FROM documents
+), o AS (
+  SELECT *, CASE WHEN doc_id % 9 = 0 THEN 'UNCLOSED_FENCE' WHEN doc_id % 7 = 0 THEN 'MISSING_HEADING' ELSE 'SELECTED' END AS outcome FROM d
+)
+SELECT outcome, count(*) AS docs, CAST(sum(CASE WHEN outcome = 'SELECTED' THEN strlen('## Part' || chr(10) || 'body' || chr(10) || '### Inner' || chr(10) || 'more' || chr(10)) ELSE 0 END) AS BIGINT) AS selected_bytes FROM o GROUP BY 1
+"""
+QUERIES = {name: globals()[name] for name in SQL}
