@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracewell.operators.harvest import number_within
+
 
 def label_views(entries: DataFrame, scopes: dict[str, Column]) -> DataFrame:
     """One row per entry and scope that has a label."""
@@ -41,20 +43,25 @@ def sidecar_join(entries: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
 
 
 def periodic_sample(rows: DataFrame, stratum: str, order: str, target: int) -> DataFrame:
-    """``target`` evenly spaced rows of every stratum: places int(i * n / target)."""
-    n = F.count("*").over(W.partitionBy(stratum))
-    at = F.row_number().over(W.partitionBy(stratum).orderBy(order)) - 1
-    placed = rows.withColumn("n", n).withColumn("at", at.cast("long"))
+    """``target`` evenly spaced rows of every stratum: places int(i * n / target) by an integer order."""
+    placed = number_within(rows, stratum, order)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(target - 1)), lambda i: F.floor(i * F.col("n") / target).cast("long"))
-    return placed.where((F.col("n") <= target) | F.array_contains(wanted, F.col("at"))).drop("n", "at")
+    return placed.where((F.col("n") <= target) | F.array_contains(wanted, F.col("place"))).drop("n", "place")
 
 
 def quantile_review(rows: DataFrame, group: str, size: str, key: str, quantiles: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """The rows at the quantiles of size of every group."""
+    """The rows at the quantiles of size of every group.
+
+    Sizes are counted first; only rows of a size that holds a wanted place are sorted.
+    """
+    sizes = rows.groupBy(group, size).agg(F.count("*").alias("times"))
     w = W.partitionBy(group)
-    placed = rows.withColumn("n", F.count("*").over(w)).withColumn("at", (F.row_number().over(w.orderBy(size, key)) - 1).cast("long"))
+    upto = sizes.withColumn("stop", F.sum("times").over(w.orderBy(size))).withColumn("n", F.sum("times").over(w))
     wanted = F.array(*[F.floor((F.col("n") - 1) * q).cast("long") for q in quantiles])
-    return placed.where(F.array_contains(wanted, F.col("at"))).select(group, key, size, F.col("at").alias("place"))
+    held = upto.withColumn("start", F.col("stop") - F.col("times")).withColumn("wanted", F.filter(wanted, lambda p: (p >= F.col("start")) & (p < F.col("stop")))).where(F.size("wanted") > 0)
+    near = rows.join(held.select(F.col(group).alias("_group"), F.col(size).alias("_size"), "start", "wanted"), rows[group].eqNullSafe(F.col("_group")) & (rows[size] == F.col("_size")))
+    placed = near.withColumn("place", (F.col("start") + F.row_number().over(W.partitionBy(group, size).orderBy(key)) - 1).cast("long"))
+    return placed.where(F.array_contains("wanted", F.col("place"))).select(group, key, size, "place")
 
 
 def first_per_reason(rows: DataFrame, reason: str, key: str, n: int) -> DataFrame:
