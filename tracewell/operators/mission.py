@@ -35,3 +35,91 @@ def mode_decisions(rows: DataFrame, facts: Column) -> DataFrame:
         .otherwise("CANDIDATE")
     )
     return rows.withColumn("reason", reason).withColumn("avoided_bytes", F.when(F.col("reason") == "CANDIDATE", raw - candidate).otherwise(0).cast("long"))
+
+
+# Classes of a mission's bytes, and of how sure its accounting is.
+INLINE, REFERENCE_CLASS, DELTA, DUPLICATE = "INLINE_CRITICAL", "REFERENCE_CANONICAL", "DELTA", "DROP_DUPLICATE"
+MARKER = '[[CANONICAL {"end":%d,"path":"%s","sha256":"%s","start":%d}]]'
+SAFE_PATH = r"^(?!/)(?!.*(?:^|/)(?:\.{0,2})(?:/|$))[^\x00\r\n]+$"
+
+
+def account_spans(missions: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Bytes of every mission by class, and the size of the candidate that its proven spans allow.
+
+    ``missions``: mission, raw (binary), assessment, and spans as structs of start, stop, kind, path, sha,
+    from, to. ``artifacts``: path, sha, content (binary). A reference span is proven if the artifact of
+    that path and digest holds the same bytes from ``from`` to ``to``; a duplicate if its source of the
+    same length ends before it, touches no span that may go, and equals it. What is not proven stays and
+    counts as unknown, as do gaps; classes add up to the mission. Spans that overlap or leave the text
+    make the whole mission unknown.
+    """
+    m = missions.withColumn("n", F.octet_length("raw").cast("long")).withColumn("spans", F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(F.when(a["stop"] < b["stop"], -1).when(a["stop"] > b["stop"], 1).otherwise(0))))
+    gone = F.filter("spans", lambda s: s["kind"].isin(REFERENCE_CLASS, DUPLICATE))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["stop"]))
+    valid = F.forall(F.zip_with("spans", F.slice(ends, 1, F.size("spans")), lambda s, e: (s["start"] >= e) & (s["stop"] > s["start"]) & (s["stop"] <= F.col("n"))), lambda ok: ok)
+    allowed = (F.coalesce(F.col("assessment"), F.lit("")) == "NON_SENSITIVE") & ~F.coalesce(contains_sensitive(F.col("raw").cast("string")), F.lit(False))
+    m = m.withColumn("gone", gone).withColumn("valid", valid).withColumn("allowed", allowed)
+    s = m.where("valid").select("mission", "raw", "gone", "allowed", F.inline("spans"))
+    cut = lambda c, a, b: F.substring(c, (a + 1).cast("int"), (b - a).cast("int"))
+    segment = cut(F.col("raw"), F.col("start"), F.col("stop"))
+    a = artifacts.select(F.col("path").alias("a_path"), F.col("sha").alias("a_sha"), F.col("content").alias("a_content"))
+    s = s.join(a, (s["path"] == a["a_path"]) & (s["sha"] == a["a_sha"]), "left")
+    same = F.col("path").rlike(SAFE_PATH) & (F.col("from") >= 0) & (F.col("to") > F.col("from")) & (F.col("to") <= F.octet_length("a_content")) & (F.sha2("a_content", 256) == F.col("sha")) & (cut(F.col("a_content"), F.col("from"), F.col("to")) == segment)
+    clear = ~F.exists("gone", lambda g: (F.col("from") < g["stop"]) & (g["start"] < F.col("to")))
+    earlier = (F.col("from") >= 0) & (F.col("to") > F.col("from")) & (F.col("to") <= F.col("start")) & (F.col("to") - F.col("from") == F.col("stop") - F.col("start")) & clear & (cut(F.col("raw"), F.col("from"), F.col("to")) == segment)
+    proven = F.when(F.col("kind").isin(INLINE, DELTA), True).when(~F.col("allowed"), False).when(F.col("kind") == REFERENCE_CLASS, F.coalesce(same, F.lit(False))).otherwise(F.coalesce(earlier, F.lit(False)))
+    size = F.col("stop") - F.col("start")
+    marker = F.octet_length(F.format_string(MARKER, F.col("to"), F.col("path"), F.col("sha"), F.col("from")))
+    s = s.withColumn("proven", proven).withColumn("size", size)
+    shown = F.when(~F.col("proven") | F.col("kind").isin(INLINE, DELTA), F.col("size")).when(F.col("kind") == DUPLICATE, 0).otherwise(F.least(F.col("size"), marker))
+    of = lambda k: F.sum(F.when(F.col("proven") & (F.col("kind") == k), F.col("size")).otherwise(0))
+    sums = s.groupBy("mission").agg(of(INLINE).alias("inline_bytes"), of(DELTA).alias("delta_bytes"), of(REFERENCE_CLASS).alias("reference_bytes"), of(DUPLICATE).alias("duplicate_bytes"), F.sum(F.col("size") - shown).alias("saved"), F.count_if(~F.col("proven")).alias("failures"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = m.select("mission", "n", "valid").join(sums, "mission", "left").select("mission", F.col("n").alias("raw_bytes"), "valid", *map(zero, ("inline_bytes", "delta_bytes", "reference_bytes", "duplicate_bytes", "saved", "failures")))
+    known = F.col("inline_bytes") + F.col("delta_bytes") + F.col("reference_bytes") + F.col("duplicate_bytes")
+    return out.withColumn("unknown_bytes", F.col("raw_bytes") - known).withColumn("candidate_bytes", F.col("raw_bytes") - F.col("saved")).drop("saved")
+
+
+def span_totals(accounted: DataFrame, quality: str = "quality") -> DataFrame:
+    """Totals over missions that are no fixtures; a median reduction only for two or more of them."""
+    real = accounted.where(F.col(quality) != "SYNTHETIC")
+    reduction = (1 - F.col("candidate_bytes") / F.col("raw_bytes")) * 100
+    n = F.count("*")
+    some = lambda c: F.when(n >= 2, c)
+    return real.agg(
+        n.alias("missions"), some(F.round(F.median(F.when(F.col("raw_bytes") > 0, reduction).otherwise(0.0)), 2)).alias("median_reduction_pct"),
+        some(F.sum(F.col("reference_bytes") + F.col("duplicate_bytes"))).alias("proven_bytes"), some(F.sum("unknown_bytes")).alias("unknown_bytes"),
+    )
+
+
+# Bounds and keys of a compact manifest.
+MOST_BYTES, MOST_ENTRIES, KEYS = 65_536, 4_096, ("e", "h", "m", "n", "s", "v")
+MANIFEST = "e array<array<string>>, h string, m string, n bigint, s string, v string"
+MANIFEST_VERSION = "MANIFEST_V1"
+
+
+def encode_manifest(entries: Column, sha: Column, mission: Column, n: Column, assessment: Column) -> Column:
+    """The one form of a manifest: sorted keys, no spaces, a line feed; null if it is too long."""
+    text = F.concat(F.to_json(F.struct(entries.alias("e"), sha.alias("h"), mission.alias("m"), n.cast("long").alias("n"), assessment.alias("s"), F.lit(MANIFEST_VERSION).alias("v"))), F.lit("\n"))
+    return F.when((F.octet_length(text) <= MOST_BYTES) & (F.size(entries) <= MOST_ENTRIES), text)
+
+
+def parse_manifest(text: Column) -> Column:
+    """(manifest, error) of a text; keys must be exactly the known ones, once each."""
+    keys, m = F.json_object_keys(text), F.from_json(text, MANIFEST)
+    error = (
+        F.when(text.isNull() | (F.octet_length(text) == 0) | (F.octet_length(text) > MOST_BYTES), "LENGTH")
+        .when(keys.isNull() | m.isNull(), "JSON")
+        .when(F.array_sort(keys) != F.array(*map(F.lit, KEYS)), "FIELDS")
+        .when(F.coalesce(F.size(m["e"]), F.lit(-1)) < 0, "ENTRIES")
+        .when(F.size(m["e"]) > MOST_ENTRIES, "ENTRIES")
+        .when(~F.coalesce(m["h"].rlike("^[0-9a-f]{64}$"), F.lit(False)), "DIGEST")
+        .when(~F.coalesce(m["s"].isin("NON_SENSITIVE", "SENSITIVE", "UNKNOWN"), F.lit(False)), "ASSESSMENT")
+        .when(m["v"] != MANIFEST_VERSION, "VERSION")
+    )
+    return F.struct(F.when(error.isNull(), m).alias("manifest"), error.alias("error"))
+
+
+def manifest_gain(proven: Column, manifest: Column) -> Column:
+    """Proven bytes less what the manifest costs; may be negative."""
+    return proven - F.octet_length(manifest)

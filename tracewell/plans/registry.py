@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import documents, logs, missions, sessions, streams
+from tracewell.plans import corpora, documents, feeds, logs, missions, sessions, streams
 
-_PLANS = (sessions, documents, streams, missions, logs)
+_PLANS = (sessions, documents, streams, missions, logs, feeds, corpora)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
