@@ -50,6 +50,106 @@ def test_tail_waits_for_whole_lines_and_notices_rewinds(tmp_path):
         reader.latestOffset()
 
 
+def test_tail_bounds_batches_and_partitions(tmp_path):
+    path = tmp_path / "log"
+    lines = [f"line {k} " + "x" * (k % 40) for k in range(200)]
+    path.write_text("\n".join(lines) + "\n")
+    reader = tail._TailReader({"path": str(path), "maxBytes": "300"})
+    read = lambda r, a, z: [x for p in r.partitions(a, z) for _, x in r.read(p)]
+    assert read(reader, {"bytes": 0}, reader.latestOffset()) == lines
+    at = {"bytes": 0}
+    reader.known, got = 0, []
+    while (new := reader.latestOffset()) != at:
+        assert new["bytes"] - at["bytes"] <= 300
+        got += read(reader, at, new)
+        at = new
+    assert got == lines
+    middle = len("\n".join(lines[:100]).encode()) + 1
+    later = tail._TailReader({"path": str(path), "maxBytes": "300"})  # a restart: the offset log says where it stood
+    end = later.latestOffset()
+    assert read(later, {"bytes": middle}, end) == lines[100:]
+
+
+def test_tail_resumes_from_its_checkpoint(spark, tmp_path):
+    path, out, state = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "state")
+
+    def run():
+        tail.follow(spark, str(path), maxBytes=64).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        return [r["line"] for r in spark.read.parquet(out).orderBy("start").collect()]
+
+    path.write_text("".join(f"first {k}\n" for k in range(30)) + "half")
+    assert run() == [f"first {k}" for k in range(30)]
+    with path.open("a") as f:
+        f.write(" done\nlast\n")
+    assert run() == [f"first {k}" for k in range(30)] + ["half done", "last"]
+
+
+def test_state_outlives_a_restart(spark, tmp_path):
+    from tracewell.streaming import stateful
+
+    schema = "session_id string, record_index long, event_id long, is_call boolean, call_id string"
+    at, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at)
+        stateful.pair_calls(spark.readStream.schema(schema).parquet(at)).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        return sorted(tuple(r) for r in spark.read.schema(stateful.PAIRS).parquet(out).collect())
+
+    assert run([("s", 1, 1, True, "a"), ("s", 2, 2, False, "b"), ("s", 3, 3, True, "b")]) == []
+    assert run([("s", 4, 4, False, "a"), ("s", 5, 5, True, "b"), ("t", 1, 6, False, "b")]) == [("s", "a", 1, 4)]
+    assert run([("s", 4, 4, False, "a"), ("s", 6, 7, False, "b"), ("s", 7, 8, False, "b")]) == [("s", "a", 1, 4), ("s", "b", 5, 7)]
+
+
+def test_sinks_never_overwrite(spark, tmp_path):
+    from tracewell.sources import sinks
+
+    rows = spark.createDataFrame([("s", k, f"p{k}") for k in range(5)] + [("t", 1, "q")], "session string, k long, p string")
+    at = str(tmp_path / "ledger")
+    sinks.write_ledger(rows, "session", "k", F.col("p"), at)
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        sinks.write_ledger(rows, "session", "k", F.col("p"), at)
+    assert {r["session"]: r["entries"] for r in sinks.resume_head(spark, at, "session").collect()} == {"s": 5, "t": 1}
+    forged = spark.read.json(at).withColumn("payload", F.lit("x"))
+    sinks.publish(forged, str(tmp_path / "forged"))
+    with pytest.raises(ValueError, match="broken"):
+        sinks.resume_head(spark, str(tmp_path / "forged"), "session")
+    with pytest.raises(Exception, match="boom"):
+        sinks.publish_all({"a": rows, "b": rows.select(F.raise_error(F.lit("boom")).alias("x"))}, str(tmp_path / "set"))
+    assert not (tmp_path / "set" / "a").exists()
+    results = spark.createDataFrame([("secret text", "RAW", "DO_NOT_PERSIST"), ("text", "RAW", "EPHEMERAL")], "content string, disposition string, persistence string")
+    sinks.append_metrics(results, str(tmp_path / "m"))
+    sinks.append_metrics(results, str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).columns == ["disposition", "persistence"] and spark.read.json(str(tmp_path / "m")).count() == 2
+
+
+def test_worktrees_and_artifacts(spark, tmp_path):
+    from tracewell.sources import worktree
+
+    root = tmp_path / "tree"
+    for name in ("a.py", "p/b.py", "p/__pycache__/c.py", "d.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"x = '{name}'\n")
+    files = worktree.scan(spark, str(root))
+    held = {r["path"]: r["sha"] for r in files.collect()}
+    assert set(held) == {"a.py", "p/b.py"}
+    wanted = spark.createDataFrame([("a.py", 11, held["a.py"]), ("p/b.py", 13, "0" * 64), ("gone.py", 1, "1" * 64)], "path string, n_bytes long, sha string")
+    assert {r["path"]: r["recovered"] for r in worktree.recover(files, wanted).collect()} == {"a.py": True, "p/b.py": False, "gone.py": False}
+    (tmp_path / "s.jsonl").write_text(call(1, type="message", role="user") + "\n{broken\n\n")
+    a = session_log.artifact(spark, str(tmp_path / "s.jsonl")).first()
+    assert (a["records"], a["malformed"], a["n_bytes"]) == (1, 1, (tmp_path / "s.jsonl").stat().st_size)
+
+
+def test_corpus_files_fail_on_their_first_bad_line(spark, tmp_path):
+    from tracewell.operators import replay
+
+    good = {"schema_version": 4, "entry_id": "e", "source_data": {"raw_content_b64": "YQ==", "byte_length": 1}, "sensitivity_screening": {"result": "DETECTOR_NO_MATCH", "method": "m"}, "heuristic_suggestion": {"evidence_class": "NOISE", "transform_eligibility": "UNKNOWN", "inline_required_facts": [], "method": "h"}}
+    (tmp_path / "c.jsonl").write_text("# remark\n\n" + json.dumps(good) + "\n")
+    assert [bytes(r["raw"]) for r in replay.read_corpus(spark, str(tmp_path / "c.jsonl")).collect()] == [b"a"]
+    (tmp_path / "bad.jsonl").write_text(json.dumps(good | {"entry_id": ""}) + "\n")
+    with pytest.raises(Exception, match="ENTRY_ID"):
+        replay.read_corpus(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
 MARKDOWN = b"# A\nx\n```\n# not\n```\n## B\ny\n### C\nz\n# D\nw\n"
 
 
@@ -65,6 +165,7 @@ def test_sections_fall_back_in_doubt():
     assert sections.select(b"# A\n```\n", ["A"])[1] == "UNCLOSED_FENCE"
     assert sections.select(b"# A\n# A\n", ["A"])[1] == "AMBIGUOUS_HEADING"
     assert sections.select(b"# A\n\xff", ["A"])[1] == "INVALID_UTF8"
+    assert sections.select(b"# A\n``` a`b\n", ["A"])[1] == "UNCERTAIN_FENCE_SYNTAX"
 
 
 def test_budgeted_map_may_go_on_after_a_cut():

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tracewell.functions import codecs, policy, text
 from tracewell.operators import corpus, discovery, pipeline, spans
+from tracewell.sources import worktree
 from tracewell.sources.tables import TOOL_CALLS_SQL, table, tool_calls
 
 NOISE = "Building... [ OK ]\n"
@@ -315,9 +316,8 @@ def top_repeated_paths(spark, sf_dir):
 
 
 def worktree_digest(spark, sf_dir):
-    """One digest over sorted (key, content) pairs of every source."""
-    d = table(spark, sf_dir, "documents").select("source", F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.sha2("text", 256)).alias("entry"))
-    return d.groupBy("source").agg(F.count("*").alias("files"), F.sha2(F.array_join(F.sort_array(F.collect_list("entry")), "\n"), 256).alias("digest"))
+    """One digest over the content digests of every source, in two levels."""
+    return worktree.digest(table(spark, sf_dir, "documents"), "source", "doc_id", F.sha2("text", 256))
 
 
 def _q(pattern: str) -> str:
@@ -461,7 +461,7 @@ SQL = {
     "feed_rollup": f"WITH {_FEED} SELECT 'family_bytes' AS measure, tool_family AS name, CAST(sum(n_bytes) AS DOUBLE) AS total FROM tool_calls GROUP BY 2 UNION ALL SELECT 'tokens', ['EXACT', 'ESTIMATE', 'UNAVAILABLE'][g + 1], CASE WHEN g = 2 THEN 0 ELSE CAST(sum(bytes) AS DOUBLE) / 4 END FROM f GROUP BY g UNION ALL SELECT 'sessions', 'all', CAST(count(*) AS DOUBLE) FROM f",
     "feed_constraints": f"WITH {_FEED} SELECT session_id, CASE WHEN calls > 70 THEN 'MANY_CALLS' ELSE '' END AS errors FROM f",
     "top_repeated_paths": f"WITH {TOOL_CALLS_SQL} SELECT left(sha256(target_path), 16) AS path_hash, target_path, count(*) AS read_events, {_big('sum(n_bytes)')} AS bytes FROM tool_calls WHERE tool_family = 'FILE_READ' GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 3 DESC, 1 LIMIT 5",
-    "worktree_digest": "SELECT source, count(*) AS files, sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1",
+    "worktree_digest": "WITH r AS (SELECT source, doc_id // 4096 AS r, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS d FROM documents GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(d, chr(10) ORDER BY r)) AS digest FROM r GROUP BY 1",
 }
 
 #: Converged ranks have no SQL: a test compares them with power iteration.

@@ -34,3 +34,14 @@ def fingerprint(log: DataFrame) -> DataFrame:
     """Per file: records, first and last time, and a histogram of payload types."""
     types = log.groupBy("file", F.col("payload.type").alias("type")).agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     return types.groupBy("file").agg(F.sum("n").alias("records"), F.min("first").alias("first"), F.max("last").alias("last"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"))
+
+
+def artifact(spark: SparkSession, path: str) -> DataFrame:
+    """Per file: bytes and digest of the whole file, lines that are records, lines that are none, first and
+    last time in file order, sessions, and a histogram of payload types."""
+    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    parsed = lines.withColumn("r", F.from_json("value", PAYLOAD, {"mode": "PERMISSIVE"}))
+    known = F.col("r.payload").isNotNull()
+    counts = parsed.groupBy("file").agg(F.count_if(known).alias("records"), F.count_if(~known).alias("malformed"), F.sort_array(F.collect_set("r.session")).alias("sessions"))
+    return whole.join(counts, "file", "left").join(fingerprint(read_log(spark, path)).drop("records"), "file", "left")
