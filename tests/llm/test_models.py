@@ -165,6 +165,25 @@ def test_spanning_links_are_exact():
     assert parts(links) == parts(near)
 
 
+def test_collisions_are_counted_across_parts_only():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 4, (700, minhash.COORDINATES)).astype(np.int32)
+    sig[600:] = sig[:100]
+    part, size = rng.integers(0, 5, 700), rng.integers(80, 130, 700)
+    want = [any(part[i] != part[j] and (sig[i] == sig[j]).sum() >= 30 and 100 * min(size[i], size[j]) >= 85 * max(size[i], size[j]) for j in range(700)) for i in range(700)]
+    assert minhash.colliding(sig, size, part, 30, 85).tolist() == want and 0 < sum(want) < 700
+
+
+def test_texts_that_share_a_passage_but_differ_stay_apart(spark):
+    """A hub whose members are alike below the limit, members near others of them, and repeated ids with other texts."""
+    rng = random.Random(12)
+    common = sentence(rng, 150)
+    rows = [(k, common + " " + " ".join(f"own{k}x{n}" for n in range(60))) for k in range(40)]
+    rows += [(100 + k, rows[k][1] + " tail") for k in range(0, 40, 3)] + [(200, "x " * 100_000), (None, common)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), 3, 85).collect()}
+    assert {k: v for k, v in got.items() if k is not None} == brute_components([r for r in rows if r[0] is not None], 3, 85)
+
+
 def test_match_threshold_misses_little():
     t = minhash.match_threshold(0.85)
     miss = sum(math.comb(64, k) * 0.85**k * 0.15 ** (64 - k) for k in range(t))

@@ -9,9 +9,13 @@
 3. In each posting list every member is compared with the list's smallest id. Comparing counts the
    colliding coordinates, keeps pairs at the threshold or above, and confirms them on the full sets.
 4. Confirmed links give components. Members of the lists of one hub that are in its component need
-   no further comparison. The others are compared with all members of these lists, block by block,
-   by exact intersection counts; only links that join components leave a task. So n copies of one
-   text cost n comparisons, and no link between components is lost.
+   no further comparison. The others are compared with all members of these lists, block by block:
+   first their signatures, skipping pairs whose sizes alone rule the similarity out, then, for members
+   that reach the threshold of collisions with a member of another component, the full sets, by exact
+   intersection counts; only links that join components leave a task. So n copies of one text cost n
+   comparisons, sets travel only where collisions speak for them, and no link between components is lost.
+
+A hub may have any share of all rows, so its rows meet what is known of it under ``SALTS`` keys.
 
 Links, components and sets stay distributed; each phase is written to the shared folder.
 
@@ -38,6 +42,8 @@ COORDINATES = 64
 MISS = 1e-7
 #: Members of one side of a comparison, and columns of a block of its matrix.
 MEMBERS, COLUMNS = 1000, 4096
+#: Keys over which the rows of one hub are dealt when they are joined with what is known of it.
+SALTS = 32
 _rng = np.random.default_rng(77)
 _SCALE = _rng.integers(1, 1 << 63, COORDINATES, np.uint64) | np.uint64(1)
 _SHIFT = _rng.integers(0, 1 << 63, COORDINATES, np.uint64)
@@ -188,21 +194,51 @@ def spanning_links(rep: np.ndarray, part: np.ndarray, sets: list[np.ndarray], pe
     return links
 
 
-def _across(bundle: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _salted(rows: DataFrame, known: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``known`` on ``key``, of which one value may hold any share of the rows.
+
+    Each row of ``known`` stands under SALTS keys, and rows are dealt over them by their ``by``.
+    """
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(spread, [key, "salt"], how).drop("salt")
+
+
+def colliding(sig: np.ndarray, size: np.ndarray, part: np.ndarray, threshold: int, percent: int) -> np.ndarray:
+    """Which rows reach ``threshold`` equal coordinates with a row of another part whose size admits the similarity."""
+    found = np.zeros(len(sig), bool)
+    columns = np.ascontiguousarray(sig.T)
+    for lo in range(0, len(sig), 256):
+        mine = slice(lo, lo + 256)
+        times = np.zeros((len(sig[mine]), len(sig)), np.uint8)
+        for c in columns:
+            times += c[mine, None] == c[None, :]
+        low, high = np.minimum(size[mine, None], size), np.maximum(size[mine, None], size)
+        found[mine] = ((times >= threshold) & (part[mine, None] != part) & (100 * low >= percent * high)).any(1)
+    return found
+
+
+def _across(bundle: DataFrame, signed: DataFrame, sets: DataFrame, threshold: int, percent: int) -> DataFrame:
     """Links between the components of each bundle.
 
     Members of the hub's component are settled among themselves. The others are dealt into blocks
     of about MEMBERS rows; every pair of their blocks, and each of their blocks with each block of
-    settled members, is one task's work, whose links are the only rows that come out.
+    settled members, is one task's work. Collisions are counted before any set travels.
     """
     apart = F.col("apart")
     count = bundle.groupBy("hub").agg(F.ceil(F.count_if(apart) / MEMBERS).alias("outer"), F.ceil(F.count_if(~apart) / MEMBERS).alias("inner")).where(F.col("outer") > 0)
-    held = bundle.join(count, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(apart, F.col("outer")).otherwise(F.col("inner"))))
+    held = _salted(bundle, count, "hub", "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(apart, F.col("outer")).otherwise(F.col("inner"))))
     outer = F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)
     inner = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("inner"), F.lit(1)) - 1)
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))  # noqa: E731  j < 0: a block of settled members
     mine = F.concat(F.transform(outer, lambda j: pair(F.least(F.col("block"), j), F.greatest(F.col("block"), j))), F.transform(inner, lambda k: pair(F.col("block"), -1 - k)))
-    work = held.select("hub", "rep", "component", F.explode(F.when(apart, mine).otherwise(F.transform(outer, lambda i: pair(i, -1 - F.col("block"))))).alias("pair"))
+    signed = held.join(signed, "rep")
+    work = signed.select("hub", "rep", "component", "n", "sig", F.explode(F.when(apart, mine).otherwise(F.transform(outer, lambda i: pair(i, -1 - F.col("block"))))).alias("pair"))
+    work = work.select("hub", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "component", "n", "sig")
+
+    def survivors(table: pa.Table) -> pa.Table:
+        sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+        keep = colliding(sig, table["n"].to_numpy(), table["component"].to_numpy(), threshold, percent)
+        return table.select(["hub", "i", "j", "rep", "component"]).filter(pa.array(keep))
 
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows < 2:
@@ -211,7 +247,8 @@ def _across(bundle: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         links = spanning_links(table["rep"].to_numpy(), table["component"].to_numpy(), found, percent)
         return pa.table({"a": pa.array([min(p) for p in links], pa.int64()), "b": pa.array([max(p) for p in links], pa.int64())})
 
-    full = work.select("hub", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "component").join(sets.withColumnRenamed("id", "rep"), "rep")
+    near = work.groupBy("hub", "i", "j").applyInArrow(survivors, "hub long, i long, j long, rep long, component long")
+    full = near.join(sets.withColumnRenamed("id", "rep"), "rep")
     return full.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").where(F.col("a") < F.col("b")).distinct()
 
 
@@ -252,9 +289,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # what the stars left apart: members of one hub's lists in different components
     part = first.select(F.col("id").alias("rep"), "component")
     bundle = starred.select(F.col("a").alias("hub"), F.col("b").alias("rep")).union(starred.select(F.col("a").alias("hub"), F.col("a").alias("rep")).distinct())
-    bundle = bundle.join(part, "rep", "left").join(part.select(F.col("rep").alias("hub"), F.col("component").alias("hub_part")), "hub", "left")
+    hub_part = hubs.select(F.col("a").alias("hub")).distinct().join(part.select(F.col("rep").alias("hub"), F.col("component").alias("hub_part")), "hub")
+    bundle = _salted(bundle.join(part, "rep", "left"), hub_part, "hub", "rep", "left")
     bundle = materialize(bundle.select("hub", "rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("component", "rep") != F.coalesce("hub_part", "hub")).alias("apart")), "bundles")
-    more = materialize(_across(bundle, sets, percent), "more-links")
+    more = materialize(_across(bundle, signed, sets, threshold, percent), "more-links")
     if more.isEmpty():
         final = first
     else:
