@@ -61,9 +61,9 @@ class WordEncoder:
         def assemble(words: list[str]) -> list[bytes]:
             cut = []
             for w in words:
-                base, mark = w[:-1].lower(), w[-1:]
+                mark = w[-1:]
                 # a lower-case base that is not all letters (that of U+0130 ends in a combining mark) joins with the mark
-                if mark in marks and w[:-1].isalpha() and base.isalpha() and max(w) < "\u0250":
+                if mark in marks and w[:-1].isalpha() and max(w) < "\u0250" and (base := w[:-1].lower()).isalpha():
                     cut.append((base, marks[mark]))
                 else:
                     cut.append((w.lower() if w.isascii() and w.isalpha() else w, b""))
