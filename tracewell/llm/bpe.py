@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tracewell.llm.common import bound_batches, map_batches, without_gc
+from tracewell.llm.common import bound_batches, map_batches, without_gc, worker_tool
 
 # The public pre-tokenizer pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -361,13 +361,10 @@ def _vocabulary(source: bytes) -> Vocabulary:
     return Vocabulary(source)
 
 
-# A worker process keeps these, with their caches, from task to task.
-@lru_cache(maxsize=1)
 def _counter(source: bytes, whole: frozenset[str]) -> TokenCounter:
     return TokenCounter(Vocabulary(source), whole)
 
 
-@lru_cache(maxsize=1)
 def _codec(source: bytes) -> Codec:
     return Codec(Vocabulary(source))
 
@@ -385,7 +382,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     shared = spark.sparkContext.broadcast((source, whole_tokens(_vocabulary(source))))
 
     def run(batches):
-        count = _counter(*shared.value)
+        count = worker_tool(_counter, *shared.value)
         for batch in batches:
             texts = _texts(batch)
             with without_gc():
@@ -407,7 +404,7 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = _codec(shared.value).encode
+        encode = worker_tool(_codec, shared.value).encode
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for run in _groups(_texts(batch)) for x in encode(run)], pa.list_(pa.int32()))], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -421,7 +418,7 @@ def decode_tokens(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decode = _codec(shared.value).decode
+        decode = worker_tool(_codec, shared.value).decode
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
@@ -439,7 +436,7 @@ def roundtrip_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tool = _codec(shared.value)
+        tool = worker_tool(_codec, shared.value)
         shown = {i: str(i) for i in tool.vocab.bytes_of}
         rows = []
         with without_gc():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -86,6 +87,38 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+_tools: dict = {}
+
+
+def free_tools() -> None:
+    """Give a worker process's memory for tools and old batches back to the system."""
+    _tools.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def worker_tool(make: Callable, *args):
+    """``make(*args)``, kept by a worker process from task to task with its caches.
+
+    A worker keeps one tool: another operator's frees it, so that the workers that later stages
+    reuse do not hold the caches of all stages before.
+    """
+    key = (make, args)
+    if key not in _tools:
+        free_tools()
+        _tools[key] = make(*args)
+    return _tools[key]
+
+
+def without_tools() -> None:
+    """Free what an operator before has left, in one that keeps no tool."""
+    if _tools:
+        free_tools()
+
+
 @contextmanager
 def without_gc():
     """Suspend cycle collection while a batch makes many small, acyclic objects."""

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bound_batches, map_batches, materialize
+from tracewell.llm.common import bound_batches, map_batches, materialize, without_tools
 from tracewell.llm.textkernel import chunks, mix, words_of
 
 COORDINATES = 64
@@ -92,6 +92,7 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
     bound_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        without_tools()
         raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
         size = np.zeros(len(raw), np.int64)
         keys: list[bytes | None] = [None] * len(raw)
@@ -118,6 +119,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """``id`` and ``shingles`` of the rows of ``docs``, which has ``id`` and ``text``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        without_tools()
         raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
         sets = []
         for _, part in chunks(raw):

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tracewell.llm.bpe import _groups, _Parts
-from tracewell.llm.common import bound_batches, without_gc
+from tracewell.llm.common import bound_batches, without_gc, worker_tool
 
 #: Tokens that are packed together, at least one document.
 BLOCK_TOKENS = 1 << 20
@@ -79,11 +78,6 @@ class WordEncoder:
         return [b"".join(map(known, words)) for words in cut]
 
 
-@lru_cache(maxsize=1)
-def _encoder(source: str) -> WordEncoder:
-    return WordEncoder(source)
-
-
 def sequence_sizes(tokens: int, capacity: int) -> list[int]:
     """Full sequences, then falling powers of two for what is left."""
     left = tokens % capacity
@@ -134,7 +128,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = _encoder(shared.value)
+        encode = worker_tool(WordEncoder, shared.value)
         base, made = TaskContext.get().partitionId() << 32, 0
         held: list[tuple] = []
         size = 0

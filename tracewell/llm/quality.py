@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bound_batches, map_batches, materialize
+from tracewell.llm.common import bound_batches, map_batches, materialize, without_tools
 from tracewell.llm.textkernel import chunks, span_hashes, words_of
 
 #: Random features, ridge strength, kernel width in standard deviations, bins of the calibration.
@@ -107,6 +107,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        without_tools()
         raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
         rows = [statistics(part) for _, part in chunks(raw)]
         flat = np.concatenate(rows).ravel() if rows else np.zeros(0, np.float32)
@@ -202,6 +203,7 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        without_tools()
         parts = [model.score(statistics(part).astype(float)) for _, part in chunks([(t or "").encode() for t in texts])]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 

@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm.bpe import _groups, _Parts
-from tracewell.llm.common import bound_batches, without_gc
+from tracewell.llm.common import bound_batches, without_gc, worker_tool
 from tracewell.llm.textkernel import mix
 
 BUCKETS_BITS = 20
@@ -259,7 +258,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -700, 700)))
 
 
-@lru_cache(maxsize=1)
 def _scorer(weights: bytes, offset: float, scale: float) -> Scorer:
     return Scorer(np.frombuffer(weights, np.float32), offset, scale)
 
@@ -298,7 +296,7 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        tool = _scorer(*shared.value)
+        tool = worker_tool(_scorer, *shared.value)
         with without_gc():
             parts = [tool(run) for run in _groups([t or "" for t in texts])]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
