@@ -36,14 +36,15 @@ GROUP_BLOCKS = 1
 _SAFE = 1 << 62
 
 
-def integer_vectors(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``id`` and ``v``: floor(scale * component) of the vectors that take part."""
+def integer_vectors(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", null_ids: bool = False) -> DataFrame:
+    """``id`` and ``v``: floor(scale * component) of the vectors that take part; rows without an id do so only with ``null_ids``."""
     v = vectors[vector_col]
     x = F.transform(v, lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     wide = lambda c: F.raise_error(F.concat(F.lit("component does not fit a long: "), c.cast("string"))).cast("long")
     scaled = F.transform(x, lambda c: F.when(F.abs(F.floor(F.lit(float(scale)) * c).cast("double")) >= F.lit(2.0**63), wide(c)).otherwise(F.floor(F.lit(float(scale)) * c)))
-    return vectors.where(v.isNotNull() & vectors[id_col].isNotNull()).where(~bad).select(vectors[id_col].cast("long").alias("id"), scaled.alias("v"))
+    named = F.lit(True) if null_ids else vectors[id_col].isNotNull()
+    return vectors.where(v.isNotNull() & named).where(~bad).select(vectors[id_col].cast("long").alias("id"), scaled.alias("v"))
 
 
 def _matrix(rows: pa.ListArray) -> np.ndarray:
