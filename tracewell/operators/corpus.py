@@ -44,24 +44,24 @@ def sidecar_join(entries: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
 
 def periodic_sample(rows: DataFrame, stratum: str, order: str, target: int) -> DataFrame:
     """``target`` evenly spaced rows of every stratum: places int(i * n / target) by an integer order."""
-    placed = number_within(rows, stratum, order)
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(target - 1)), lambda i: F.floor(i * F.col("n") / target).cast("long"))
-    return placed.where((F.col("n") <= target) | F.array_contains(wanted, F.col("place"))).drop("n", "place")
+    placed = number_within(rows, stratum, order, place="_place", size="_size")
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(target - 1)), lambda i: F.floor(i * F.col("_size") / target).cast("long"))
+    return placed.where((F.col("_size") <= target) | F.array_contains(wanted, F.col("_place"))).drop("_size", "_place")
 
 
 def quantile_review(rows: DataFrame, group: str, size: str, key: str, quantiles: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """The rows at the quantiles of size of every group.
+    """The rows at the quantiles of size of every group, with their ``place``; rows without a size come first.
 
     Sizes are counted first; only rows of a size that holds a wanted place are sorted.
     """
-    sizes = rows.groupBy(group, size).agg(F.count("*").alias("times"))
-    w = W.partitionBy(group)
-    upto = sizes.withColumn("stop", F.sum("times").over(w.orderBy(size))).withColumn("n", F.sum("times").over(w))
-    wanted = F.array(*[F.floor((F.col("n") - 1) * q).cast("long") for q in quantiles])
-    held = upto.withColumn("start", F.col("stop") - F.col("times")).withColumn("wanted", F.filter(wanted, lambda p: (p >= F.col("start")) & (p < F.col("stop")))).where(F.size("wanted") > 0)
-    near = rows.join(held.select(F.col(group).alias("_group"), F.col(size).alias("_size"), "start", "wanted"), rows[group].eqNullSafe(F.col("_group")) & (rows[size] == F.col("_size")))
-    placed = near.withColumn("place", (F.col("start") + F.row_number().over(W.partitionBy(group, size).orderBy(key)) - 1).cast("long"))
-    return placed.where(F.array_contains("wanted", F.col("place"))).select(group, key, size, "place")
+    sizes = rows.groupBy(F.col(group).alias("_group"), F.col(size).alias("_size")).agg(F.count("*").alias("_times"))
+    w = W.partitionBy("_group")
+    upto = sizes.withColumn("_stop", F.sum("_times").over(w.orderBy("_size"))).withColumn("_n", F.sum("_times").over(w))
+    wanted = F.array(*[F.floor((F.col("_n") - 1) * q).cast("long") for q in quantiles])
+    held = upto.withColumn("_start", F.col("_stop") - F.col("_times")).withColumn("_wanted", F.filter(wanted, lambda p: (p >= F.col("_start")) & (p < F.col("_stop")))).where(F.size("_wanted") > 0)
+    near = rows.select(group, key, size).join(held, F.col(group).eqNullSafe(F.col("_group")) & F.col(size).eqNullSafe(F.col("_size")))
+    placed = near.withColumn("_place", (F.col("_start") + F.row_number().over(W.partitionBy(group, size).orderBy(key)) - 1).cast("long"))
+    return placed.where(F.array_contains("_wanted", F.col("_place"))).select(group, key, size, F.col("_place").alias("place"))
 
 
 def first_per_reason(rows: DataFrame, reason: str, key: str, n: int) -> DataFrame:

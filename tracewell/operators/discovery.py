@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewell.sources.scratch import cut
+from tracewell.sources.scratch import Steps, cut
 
 K1, B = 1.2, 0.75
 
@@ -70,30 +70,41 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(d, "node", "left").select("node", degree.alias("in_degree"), F.round(5 * F.log1p(degree), 6).alias("centrality"))
 
 
-def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Unweighted distance of every node to its nearest seed, null if none is reached.
+def frontiers(around: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
+    """``start`` and all that is reached from it over ``around`` (src, dst), with the ``distance``; ``keys`` end in node.
 
-    The frontier grows until nothing new is found, so a path may have any length; each step is cut
-    off by a checkpoint.
+    The frontier grows until nothing new is found, so a path may have any length. Links go both ways, so a
+    neighbour of a frontier lies in it, in the one before or in the next: only those two are looked at, and all frontiers
+    are read together once.
     """
-    around = cut(neighbours(edges))
-    seen = cut(seeds.select("node", F.lit(0).cast("long").alias("distance")).distinct())
-    frontier, step = seen, 0
+    steps = Steps(start.sparkSession, "frontiers")
+    before, frontier = None, steps.append(start.select(*keys).distinct())
     while not frontier.isEmpty():
-        step += 1
-        near = frontier.join(around, frontier["node"] == around["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(near.join(seen, "node", "left_anti").select("node", F.lit(step).cast("long").alias("distance")))
-        seen = cut(seen.union(frontier))
+        near = frontier.join(around, frontier["node"] == around["src"]).select(*keys[:-1], F.col("dst").alias("node")).distinct()
+        met = frontier if before is None else frontier.union(before)
+        before, frontier = frontier, steps.append(near.join(met, keys, "left_anti"))
+    return steps.all().withColumnRenamed("step", "distance")
+
+
+def distances(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Unweighted distance of every node to its nearest seed, null if none is reached."""
+    seen = frontiers(cut(neighbours(edges)), seeds, ["node"])
     return nodes.select("node").distinct().join(seen, "node", "left").withColumn("proximity", F.round(5.0 / (F.col("distance") + 1), 6))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
-    """Personalised PageRank; what dangling nodes hold is spread evenly over all nodes."""
-    n, total = nodes.count(), seeds.agg(F.sum("weight")).first()[0]
+    """Personalised PageRank; what dangling nodes hold is spread evenly over all nodes.
+
+    Seeds that are no nodes, and weights not above zero, are left out; without any the start is uniform.
+    """
+    n = nodes.count()
+    valid = seeds.where(F.col("weight") > 0).join(nodes, "node", "left_semi").groupBy("node").agg(F.sum("weight").alias("weight"))
+    total = valid.agg(F.sum("weight")).first()[0]
     out = edges.select("src", "dst").distinct()
     degree = out.groupBy("src").agg(F.count("*").alias("degree"))
     links = cut(out.join(degree, "src"))
-    start = cut(nodes.join(seeds, "node", "left").select("node", (F.coalesce("weight", F.lit(0.0)) / total).alias("seed")).join(degree.withColumnRenamed("src", "node"), "node", "left"))
+    seed = F.coalesce("weight", F.lit(0.0)) / total if total else F.lit(1.0 / max(n, 1))
+    start = cut(nodes.join(valid, "node", "left").select("node", seed.alias("seed")).join(degree.withColumnRenamed("src", "node"), "node", "left"))
     rank = start.withColumn("rank", F.col("seed"))
     for _ in range(iterations):
         dangling = rank.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0))).first()[0]

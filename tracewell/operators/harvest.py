@@ -66,24 +66,31 @@ def stratified(rows: DataFrame, kind: str, order: str, targets: dict[str, int])
     Rows are numbered through counts of fixed order ranges, so no stratum is sorted in one task.
     """
     goal = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])[F.col(kind)]
-    numbered = number_within(rows, kind, order).withColumn("target", F.coalesce(goal, F.lit(0)))
-    wanted = F.transform(F.sequence(F.lit(0), F.greatest(F.col("target"), F.lit(1)) - 1), lambda i: F.floor(i * F.col("n") / F.col("target")).cast("long"))
-    return numbered.where((F.col("target") > 0) & ((F.col("n") <= F.col("target")) | F.array_contains(wanted, F.col("place")))).drop("target")
+    numbered = number_within(rows, kind, order, place="_place", size="_size").withColumn("_target", F.coalesce(goal, F.lit(0)))
+    wanted = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_target"), F.lit(1)) - 1), lambda i: F.floor(i * F.col("_size") / F.col("_target")).cast("long"))
+    kept = numbered.where((F.col("_target") > 0) & ((F.col("_size") <= F.col("_target")) | F.array_contains(wanted, F.col("_place"))))
+    return kept.drop("_target", "_place", "_size")
 
 
-def number_within(rows: DataFrame, key: str, order: str, width: int = 1 << 16) -> DataFrame:
-    """``place`` of each row among its key's by an integer ``order``, from 0, and ``n``, the key's rows.
+def number_within(rows: DataFrame, key: str, order: str, width: int = 1 << 16, place: str = "place", size: str = "n") -> DataFrame:
+    """``place`` of each row among its key's by an integer ``order``, from 0, and ``size``, the key's rows.
 
     Rows are counted by ranges of ``order``; only a range is sorted in a task, and the ranges before
-    it are a running sum over counts. A hot key is so spread over all its ranges.
+    it are a running sum over counts. A hot key is so spread over all its ranges. Rows without an order
+    come first, as a sort puts them; among themselves they are spread over ``width`` ranges by their content,
+    and rows that are equal in all columns share a range. The result's two columns must be new to the rows.
     """
-    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
-    counts = ranged.groupBy(key, "_range").agg(F.count("*").alias("_in"))
-    w = W.partitionBy(key).orderBy("_range")
-    before = counts.select(F.col(key).alias("_key"), F.col("_range").alias("_r"), (F.sum("_in").over(w) - F.col("_in")).alias("_before"), F.sum("_in").over(W.partitionBy(key)).alias("n"))
-    joined = ranged.join(before, ranged[key].eqNullSafe(before["_key"]) & (ranged["_range"] == before["_r"]))
-    own = F.row_number().over(W.partitionBy(key, "_range").orderBy(order)) - 1
-    return joined.withColumn("place", (F.col("_before") + own).cast("long")).drop("_range", "_key", "_r", "_before")
+    if {place, size} & set(rows.columns):
+        raise ValueError(f"the rows have a column {place} or {size}; name others")
+    spread = F.pmod(F.xxhash64(*[rows[c].cast("string") for c in rows.columns]), F.lit(width))
+    ranged = rows.withColumns({"_range": F.when(F.col(order).isNull(), spread).otherwise(F.floor(F.col(order) / width)), "_placed": F.col(order).isNotNull()})
+    by = ["_placed", "_range"]
+    counts = ranged.groupBy(key, *by).agg(F.count("*").alias("_in"))
+    w = W.partitionBy(key).orderBy(*by)
+    before = counts.select(F.col(key).alias("_key"), F.col("_placed").alias("_p"), F.col("_range").alias("_r"), (F.sum("_in").over(w) - F.col("_in")).alias("_before"), F.sum("_in").over(W.partitionBy(key)).alias(size))
+    joined = ranged.join(before, ranged[key].eqNullSafe(before["_key"]) & (ranged["_placed"] == before["_p"]) & (ranged["_range"] == before["_r"]))
+    own = F.row_number().over(W.partitionBy(key, *by).orderBy(order)) - 1
+    return joined.withColumn(place, (F.col("_before") + own).cast("long")).drop("_range", "_placed", "_key", "_p", "_r", "_before")
 
 
 def clean_search_reason(rows: DataFrame, reason: Column) -> Column:
@@ -101,25 +108,13 @@ def clean_search_reason(rows: DataFrame, reason: Column) -> Column:
     )
 
 
+#: The path before a match line's number; a drive letter's colon belongs to it.
+MATCH_PATH = r"^((?:[A-Za-z]:(?=[\\/]))?[^:]*)"
+
+
 def characterise(rows: DataFrame, key: str, output: Column) -> DataFrame:
     """Match lines of each output: records, distinct paths, repeated paths and repeated records."""
     lines = F.filter(F.split(output, "\n"), lambda x: x != "")
-    paths = F.transform(lines, lambda x: F.substring_index(x, ":", 1))
+    paths = F.transform(lines, lambda x: F.regexp_extract(x, MATCH_PATH, 1))
     n, p, d = F.size(lines), F.size(F.array_distinct(paths)), F.size(F.array_distinct(lines))
     return rows.select(key, n.cast("long").alias("records"), p.cast("long").alias("paths"), (n - p).cast("long").alias("repeated_paths"), (n - d).cast("long").alias("repeated_records"))
-
-
-def bounded_pairs(records: DataFrame, pending: int) -> DataFrame:
-    """Calls paired with later outputs while at most ``pending`` calls wait; an older one is given up.
-
-    A call is still waiting if fewer than ``pending`` calls came after it and before its output, so the
-    running count of calls decides, without state. Each id is a call once.
-    """
-    w = W.partitionBy("session_id").orderBy("record_index").rowsBetween(W.unboundedPreceding, 0)
-    counted = records.withColumn("calls", F.sum(F.col("is_call").cast("long")).over(w))
-    side = lambda flag, name: counted.where(F.col("is_call") == flag).select("session_id", "call_id", F.col("record_index").alias(name + "_index"), F.col("calls").alias(name + "_calls"))
-    calls, outputs = side(True, "call"), side(False, "output")
-    both = calls.join(outputs, ["session_id", "call_id"], "left")
-    late = F.col("output_calls") - F.col("call_calls") >= pending
-    state = F.when(F.col("output_index").isNull() | (F.col("output_index") < F.col("call_index")), "UNMATCHED").when(late, "EVICTED").otherwise("PAIRED")
-    return both.select("session_id", "call_id", "call_index", state.alias("state"))

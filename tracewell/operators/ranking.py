@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewell.operators.discovery import neighbours
+from tracewell.operators.discovery import frontiers, neighbours
+from tracewell.operators.grams import holding
+from tracewell.operators.walks import personal_walks
 from tracewell.sources.scratch import cut
 
 # Words of a task that say nothing about files, and phrases that ask for relations.
@@ -24,7 +26,7 @@ WORD = r"[A-Za-z0-9_\-./\\]+"
 def last_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (src, dst), the one added last; separators are normalised first."""
     tidy = lambda c: F.replace(F.col(c), F.lit("\\"), F.lit("/")).alias(c)
-    return edges.select(tidy("src"), tidy("dst"), "kind", "seq").groupBy("src", "dst").agg(F.max_by("kind", "seq").alias("kind")).orderBy("src", "dst")
+    return edges.select(tidy("src"), tidy("dst"), "kind", "seq").groupBy("src", "dst").agg(F.max_by("kind", "seq").alias("kind"))
 
 
 def directed_neighbours(edges: DataFrame) -> DataFrame:
@@ -36,17 +38,16 @@ def directed_neighbours(edges: DataFrame) -> DataFrame:
 
 
 def symbol_lookup(symbols: DataFrame, names: DataFrame) -> DataFrame:
-    """Symbols by name: exact, else by lower case; in file and line order."""
+    """Symbols by name in any case, and whether the name is exact; rows come in no order."""
     s = symbols.withColumn("low", F.lower("name"))
     n = names.select("wanted", F.lower("wanted").alias("low"))
-    return n.join(s, "low").select("wanted", "path", "name", "line", (F.col("name") == F.col("wanted")).alias("exact")).orderBy("wanted", "path", "line")
+    return n.join(s, "low").select("wanted", "path", "name", "line", (F.col("name") == F.col("wanted")).alias("exact"))
 
 
-def _parts(text: Column, least: int) -> Column:
-    """Distinct substrings of ``least`` characters or more."""
-    n = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(n - least + 1, F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(least), F.greatest(n - a + 1, F.lit(least))), lambda k: F.substring(text, a, k)))))
+def symbols_in_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols of the files asked for, whatever the separators of their paths."""
+    tidy = lambda c: F.replace(F.col(c), F.lit("\\"), F.lit("/"))
+    return files.select("path", tidy("path").alias("_at")).distinct().join(symbols.select(tidy("path").alias("_at"), "name", "line"), "_at").drop("_at")
 
 
 def extract_queries(queries: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -58,8 +59,8 @@ def extract_queries(queries: DataFrame, files: DataFrame, symbols: DataFrame) ->
     norm = F.regexp_replace(F.replace(F.col("word"), F.lit("\\"), F.lit("/")), r"^[./]+|[./]+$", "")
     words = words.withColumn("norm", norm).withColumn("low", F.lower("word"))
     paths = files.select("path").distinct()
-    n = F.length("path")
-    ends = paths.where(F.col("path").endswith(".py")).select("path", F.explode(F.transform(F.sequence(F.lit(3), n), lambda k: F.substring(F.col("path"), n - k + 1, k))).alias("norm")).groupBy("norm").agg(F.min("path").alias("by_end"))
+    asked = words.where(F.col("norm").endswith(".py")).select("norm")
+    ends = holding(asked, "norm", paths, "path").where(F.col("path").endswith(F.col("norm"))).groupBy("norm").agg(F.min("path").alias("by_end"))
     stems = paths.select(F.lower(F.replace(F.element_at(F.split("path", "/"), -1), F.lit(".py"), F.lit(""))).alias("low"), "path").groupBy("low").agg(F.max("path").alias("by_stem"))
     name = F.element_at(F.split("name", r"\."), -1)
     exact = symbols.select(name.alias("word")).distinct().withColumn("by_name", F.col("word"))
@@ -88,10 +89,13 @@ def lexical_signals(extracted: DataFrame, files: DataFrame, symbols: DataFrame)
     q = cut(extracted)
     exact = q.select("query", F.explode("paths").alias("path")).withColumn("exact_path", F.lit(100.0))
     terms = q.select("query", F.explode("terms").alias("term"))
-    in_path = files.select("path").distinct().select("path", F.explode(_parts(F.lower("path"), 3)).alias("term")).join(terms, "term").groupBy("query", "path").agg((F.count("*") * 15.0).alias("path_terms"))
+    low = files.select("path").distinct().withColumn("low", F.lower("path"))
+    in_path = holding(terms, "term", low, "low").join(low, "low").join(terms, "term").groupBy("query", "path").agg((F.count("*") * 15.0).alias("path_terms"))
     s = symbols.select("path", "line", F.element_at(F.split("name", r"\."), -1).alias("name"))
     named = s.join(q.select("query", F.explode("names").alias("name")), "name").groupBy("query", "path").agg((F.count("*") * 40.0).alias("exact_symbol"))
-    in_name = s.select("path", F.explode(_parts(F.lower("name"), 4)).alias("term")).join(terms.where(F.length("term") >= 4), "term").groupBy("query", "path").agg((F.count("*") * 10.0).alias("symbol_terms"))
+    long_terms = terms.where(F.length("term") >= 4)
+    lower = s.select("path", F.lower("name").alias("low"))
+    in_name = holding(long_terms, "term", lower, "low").join(lower, "low").join(long_terms, "term").groupBy("query", "path").agg((F.count("*") * 10.0).alias("symbol_terms"))
     out = exact
     for other in (in_path, named, in_name):
         out = out.join(other, ["query", "path"], "full_outer")
@@ -109,37 +113,39 @@ def seed_weights(signals: DataFrame) -> DataFrame:
 
 
 def nearest_seed(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(query, node, distance) of every node that a seed of the query reaches, by a frontier that only grows."""
-    around = cut(neighbours(edges))
-    seen = cut(seeds.select("query", "node", F.lit(0).cast("long").alias("distance")).distinct())
-    frontier, step = seen, 0
-    while not frontier.isEmpty():
-        step += 1
-        near = frontier.join(around, frontier["node"] == around["src"]).select("query", F.col("dst").alias("node")).distinct()
-        frontier = cut(near.join(seen, ["query", "node"], "left_anti").select("query", "node", F.lit(step).cast("long").alias("distance")))
-        seen = cut(seen.union(frontier))
-    return seen
-
-
-def structural_rank(queries: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, mode: str, k: int = 10, ranks: DataFrame | None = None) -> DataFrame:
+    """(query, node, distance) of every node that a seed of the query reaches."""
+    return frontiers(cut(neighbours(edges)), seeds, ["query", "node"])
+
+
+def structural_rank(queries: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, mode: str, k: int = 10) -> DataFrame:
     """The k best files of every query among all files, zero scores included, equal scores by path.
 
-    ``mode``: LEXICAL, STRUCTURAL, LEXICAL_STRUCTURAL or LEXICAL_PPR; the last takes ``ranks`` (query,
-    node, rank) of personalised walks. A file that no query-bound signal reaches scores as it does for
-    every query, so only the k best of those are needed beside the files that are reached.
+    ``mode``: LEXICAL, STRUCTURAL, LEXICAL_STRUCTURAL or LEXICAL_PPR, which walks from each query's seeds. A file
+    that no query-bound signal reaches scores as it does for every query, or in the same order, so only the k
+    best of those are needed beside the files that are reached.
     """
     extracted = cut(extract_queries(queries, files, symbols))
     signals = cut(lexical_signals(extracted, files, symbols))
-    near = nearest_seed(edges, seed_weights(signals)).select("query", F.col("node").alias("path"), "distance")
+    seeds = seed_weights(signals)
+    near = cut(nearest_seed(edges, seeds).select("query", F.col("node").alias("path"), "distance"))
     degree = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("path")).agg((F.log1p(F.count("*")) * 5.0).alias("centrality"))
     central = files.select("path").distinct().join(degree, "path", "left").select("path", F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
-    everywhere = central.orderBy(*[F.desc("centrality")] * (mode in ("STRUCTURAL", "LEXICAL_STRUCTURAL")), "path").limit(k).select("path")
+    walks = personal_walks(extracted, files.select(F.col("path").alias("node")), edges, seeds) if mode == "LEXICAL_PPR" else None
+    order = [F.desc("centrality")] if mode in ("STRUCTURAL", "LEXICAL_STRUCTURAL") else []
+    if walks is not None:
+        central = central.join(walks.shared.select(F.col("node").alias("path"), "part"), "path")
+        order = [F.desc("part")]
+    everywhere = central.orderBy(*order, "path").limit(k).select("path")
     held = signals.select("query", "path").union(near.select("query", "path")).union(extracted.select("query").crossJoin(F.broadcast(everywhere)))  # k rows
-    if ranks is not None:
-        ranks = ranks.select("query", F.col("node").alias("path"), (F.col("rank") / F.max("rank").over(W.partitionBy("query")) * 20.0).alias("walk"))
-        held = held.union(ranks.where(F.col("walk") > 0).select("query", "path"))
-    r = held.distinct().join(central, "path").join(signals, ["query", "path"], "left").join(near, ["query", "path"], "left").join(extracted.select("query", (F.size("paths") > 0).alias("names_paths")), "query")
-    r = r.join(ranks, ["query", "path"], "left") if ranks is not None else r.withColumn("walk", F.lit(None).cast("double"))
+    if walks is not None:
+        held = held.union(walks.near.select("query", F.col("node").alias("path")))
+    held = cut(held.distinct().join(central.select("path", "centrality"), "path"))
+    r = held.join(signals, ["query", "path"], "left").join(near, ["query", "path"], "left").join(extracted.select("query", (F.size("paths") > 0).alias("names_paths")), "query")
+    if walks is not None:
+        ranks = walks.ranks(held.select("query", F.col("path").alias("node"))).join(walks.highest(), "query")
+        r = r.join(ranks.select("query", F.col("node").alias("path"), (F.col("rank") / F.col("highest") * 20.0).alias("walk")), ["query", "path"], "left")
+    else:
+        r = r.withColumn("walk", F.lit(None).cast("double"))
     names = ("exact_path", "path_terms", "exact_symbol", "symbol_terms", "walk")
     r = r.select("query", "path", "names_paths", "distance", "centrality", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names], F.coalesce(5.0 / (F.col("distance") + 1), F.lit(0.0)).alias("proximity"))
     score = {

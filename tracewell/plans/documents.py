@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewell.functions import codecs, policy, text
-from tracewell.operators import corpus, discovery, pipeline, spans
+from tracewell.operators import corpus, discovery, pipeline, spans, walks
 from tracewell.sources import worktree
+from tracewell.plans.walk_sql import walk_sql
 from tracewell.sources.tables import TOOL_CALLS_SQL, table, tool_calls
 
 NOISE = "Building... [ OK ]\n"
@@ -197,10 +198,14 @@ def pagerank(spark, sf_dir, iterations: int = 8):
 
 
 def pagerank_converged(spark, sf_dir):
-    """Ranks that have settled; ``pagerank`` stops where its SQL does, after 8 steps."""
+    """Ranks that have settled, for two sets of seeds at once and for none."""
     nodes, edges = _graph(spark, sf_dir)
-    seeds = nodes.where(F.col("node").startswith("s")).select("node", F.lit(1.0).alias("weight"))
-    return discovery.pagerank(nodes, edges, seeds)
+    seeds = nodes.where(F.col("node").startswith("s")).select(F.lit("suppliers").alias("query"), "node", F.lit(1.0).alias("weight"))
+    seeds = seeds.union(nodes.where(F.col("node").startswith("n")).select(F.lit("nations"), "node", F.length("node").cast("double")))
+    queries = spark.createDataFrame([("suppliers",), ("nations",), ("uniform",)], "query string")
+    w = walks.personal_walks(queries, nodes, edges, seeds, tolerance=1e-9)
+    every = nodes.select("node").crossJoin(F.broadcast(queries))  # three rows
+    return w.ranks(every).select("query", "node", F.round("rank", 6).alias("rank"))
 
 
 def graph_health(spark, sf_dir):
@@ -412,6 +417,11 @@ def _pagerank_sql(iterations: int = 8) -> str:
     return ", ".join(steps) + f" SELECT node, round(rank / (SELECT sum(rank) FROM r{iterations}), 6) AS rank FROM r{iterations}"
 
 
+def _walks_sql() -> str:
+    """The same by power iteration."""
+    return f"WITH RECURSIVE {_GRAPH}, nd AS (SELECT node FROM v), lk AS (SELECT DISTINCT src, dst FROM e), qq AS (SELECT unnest(['suppliers', 'nations', 'uniform']) AS query), sd AS (SELECT 'suppliers' AS query, node, 1.0 AS w FROM v WHERE node LIKE 's%' UNION ALL SELECT 'nations', node, length(node) FROM v WHERE node LIKE 'n%'), {walk_sql()} SELECT query, node, round(rank, 6) AS rank FROM pr"
+
+
 _VIEWS = "x AS (SELECT d.doc_id, n_chars, CAST(n_chars >= 300 AS BIGINT) AS predicted, quality, 1 - toxic AS clean FROM documents d LEFT JOIN labels l USING (doc_id)), vw AS (SELECT *, 'quality' AS scope, CAST(quality AS BIGINT) AS label FROM x WHERE quality IS NOT NULL UNION ALL SELECT *, 'clean', CAST(clean AS BIGINT) FROM x WHERE clean IS NOT NULL)"
 _buckets = " UNION ALL ".join(f"SELECT '{b}' AS bucket" for b in BUCKETS)
 _FEED = TOOL_CALLS_SQL + ", f AS (SELECT session_id, count(*) AS calls, CAST(sum(n_bytes) AS BIGINT) AS bytes, CAST(right(session_id, 1) AS INT) % 3 AS g FROM tool_calls GROUP BY 1)"
@@ -446,6 +456,7 @@ SQL = {
     "in_degree": f"WITH {_WIDE}, d AS (SELECT dst, count(DISTINCT src) AS n FROM e GROUP BY 1) SELECT node, coalesce(n, 0) AS in_degree, round(5 * ln(1 + coalesce(n, 0)), 6) AS centrality FROM v LEFT JOIN d ON dst = node",
     "bfs_distance": f"WITH RECURSIVE {_WIDE}, w(node, distance) AS (SELECT 'r0', 0 UNION SELECT u.dst, w.distance + 1 FROM w JOIN u ON u.src = w.node WHERE w.distance < 30), b AS (SELECT node, min(distance) AS d FROM w GROUP BY 1) SELECT node, {_big('d')} AS distance, round(5.0 / (d + 1), 6) AS proximity FROM (SELECT DISTINCT node FROM v) LEFT JOIN b USING (node)",
     "pagerank": _pagerank_sql(),
+    "pagerank_converged": _walks_sql(),
     "graph_health": f"WITH {_WIDE}, d AS (SELECT node, n FROM v LEFT JOIN (SELECT src, count(*) AS n FROM u GROUP BY 1) ON src = node), h AS (SELECT count(*) AS nodes, count(*) FILTER (n IS NULL) AS orphans, {_big('sum(coalesce(n, 0))')} AS ends FROM d), q AS (SELECT *, round((nodes - orphans) / nodes, 4) AS linked_ratio FROM h) SELECT *, CASE WHEN linked_ratio >= 0.85 THEN 'HIGH' WHEN linked_ratio >= 0.5 THEN 'PARTIAL' ELSE 'LOW' END AS status FROM q",
     "label_confusion": f"WITH {_VIEWS} SELECT scope, label, predicted, count(*) AS entries FROM vw GROUP BY 1, 2, 3",
     "label_scope_safety": f"WITH {_VIEWS} SELECT scope, CASE WHEN predicted = label THEN CASE WHEN label = 1 THEN 'SAFE_KEEP' ELSE 'SAFE_DROP' END WHEN predicted = 1 THEN 'UNSAFE_KEEP' ELSE 'MISSED_KEEP' END AS outcome, count(*) AS entries, round(avg(n_chars), 2) AS mean_chars FROM vw GROUP BY 1, 2",
@@ -465,4 +476,4 @@ SQL = {
 }
 
 #: Converged ranks have no SQL: a test compares them with power iteration.
-QUERIES = {name: globals()[name] for name in [*SQL, "pagerank_converged"]}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import feed, ranking
+from tracewell.plans.walk_sql import walk_sql
 from tracewell.sources.tables import TOOL_CALLS_SQL, table, tool_calls
 
 
@@ -115,6 +116,11 @@ def rank_combined(spark, sf_dir):
     return _ranked(spark, sf_dir, "LEXICAL_STRUCTURAL").select("query", "path", "score", "rank", "distance", "explanation")
 
 
+def rank_ppr(spark, sf_dir):
+    """Word signals, proximity and each task's own walk."""
+    return _ranked(spark, sf_dir, "LEXICAL_PPR").select("query", "path", "score", "rank", "explanation")
+
+
 def rank_recall(spark, sf_dir):
     q, files, symbols, edges = _code(spark, sf_dir)
     wanted = q.select("query", F.concat(F.lit("other/nation_"), F.col("query").cast("string"), F.lit(".py")).alias("path"))
@@ -181,6 +187,10 @@ def _rank_sql(score: str, extra: str = "") -> str:
     return f"WITH RECURSIVE {_SCORED}, rk AS (SELECT *, round(CAST({score} AS DOUBLE), 6) AS score FROM sc) SELECT query, path, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank{extra} FROM rk QUALIFY rank <= 10"
 
 
+_PPR = f"""{_SCORED}, nd AS (SELECT path AS node FROM fl UNION SELECT src FROM ed UNION SELECT dst FROM ed), lk AS (SELECT DISTINCT src, dst FROM ed), sd AS (SELECT query, path AS node, lexical + exact_path AS w FROM ls WHERE lexical > 0), qq AS (SELECT query FROM it),
+  {walk_sql()}, wk AS (SELECT query, node AS path, 20 * rank / max(rank) OVER (PARTITION BY query) AS walk FROM pr)"""
+
+
 _parts = ", ".join(f"CASE WHEN {c} > 0 THEN '{c.upper()}' END" for c in ("exact_path", "path_terms", "exact_symbol", "symbol_terms", "proximity", "centrality"))
 SQL = {
     "feed_lines": f"WITH {_U}, j AS (SELECT u, {_JSON} AS v FROM us) SELECT u AS user, strlen(v) AS n_bytes, sha256(v) AS sha, true AS same, CAST(NULL AS VARCHAR) AS error FROM j",
@@ -199,6 +209,7 @@ SQL = {
     "rank_lexical": _rank_sql("lexical"),
     "rank_structural": _rank_sql("centrality + CASE WHEN np THEN proximity ELSE 0 END", ", CAST(distance AS BIGINT) AS distance"),
     "rank_combined": _rank_sql("lexical + proximity + centrality", f", CAST(distance AS BIGINT) AS distance, coalesce(nullif(concat_ws(' + ', {_parts}), ''), 'DEFAULT_UNRANKED') AS explanation"),
+    "rank_ppr": f"WITH RECURSIVE {_PPR}, rk AS (SELECT *, round(CAST(lexical + proximity + walk AS DOUBLE), 6) AS score FROM sc JOIN wk USING (query, path)) SELECT query, path, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank, coalesce(nullif(concat_ws(' + ', {_parts}, CASE WHEN walk > 0 THEN 'WALK' END), ''), 'DEFAULT_UNRANKED') AS explanation FROM rk QUALIFY rank <= 10",
     "rank_recall": f"WITH top AS ({_rank_sql('lexical')}) SELECT n_nationkey AS query, CAST(1 AS BIGINT) AS wanted, {_big('count(top.path)')} AS found, round(count(top.path) / 1.0, 6) AS recall FROM nation LEFT JOIN top ON top.query = n_nationkey AND top.path = 'lib/nation_' || n_nationkey || '.py' GROUP BY 1",
     "rank_map": f"WITH top AS ({_rank_sql('lexical')}), l AS (SELECT *, printf('[%02d] %s (score=%.4f)', rank, path, score) AS line FROM top), r AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY query ORDER BY rank) AS upto FROM l) SELECT query, string_agg(line, chr(10) ORDER BY rank) AS map, count(*) AS files, max(upto) >= 200 AS cut FROM r WHERE upto - strlen(line) - 1 < 200 GROUP BY 1",
     "edge_lists": f"WITH {_CODE}, o AS (SELECT src AS node, list(DISTINCT dst ORDER BY dst) AS l FROM ed GROUP BY 1), i AS (SELECT dst AS node, count(DISTINCT src) AS c FROM ed GROUP BY 1) SELECT node, coalesce(array_to_string(l[1:3], '|'), '') AS out, coalesce(c, 0) AS into FROM o FULL JOIN i USING (node)",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewell.functions import codecs, commands, envelopes, text, views
-from tracewell.operators import corpus, harvest
+from tracewell.operators import corpus, harvest, pairing
 from tracewell.sources.tables import TOOL_CALLS_SQL, table, tool_calls
 
 # Commands that events are given in turn.
@@ -117,10 +117,10 @@ def match_line_stats(spark, sf_dir):
 
 
 def bounded_pairing(spark, sf_dir):
-    """Pairs while at most four calls of a session wait."""
-    e = tool_calls(table(spark, sf_dir, "events")).select("session_id", F.col("call_index").alias("record_index"), (F.col("k") % 2 == 0).alias("is_call"), F.floor(F.col("k") / 2).alias("call_id"))
-    one = e.groupBy("session_id", "call_id", "is_call").agg(F.min("record_index").alias("record_index"))
-    return harvest.bounded_pairs(one, 4).groupBy("state").agg(F.count("*").alias("calls"))
+    """Calls and outputs of twenty ids in turn, paired while at most four calls of a session wait."""
+    i, e = F.col("call_index"), tool_calls(table(spark, sf_dir, "events"))
+    records = e.select("session_id", i.alias("record_index"), (F.col("k") % 2 == 0).alias("is_call"), (F.floor(i / 40) * 20 + F.col("event_id") % 20).alias("call_id"))
+    return pairing.bounded_pairs(records, 4)
 
 
 def latency_percentiles(spark, sf_dir):
@@ -204,9 +204,13 @@ SQL = {
       SELECT event_id, stratum FROM p WHERE n <= target OR list_contains(list_transform(range(target), lambda i: i * n // target), place)""",
     "match_line_stats": f"""WITH {TOOL_CALLS_SQL}, x AS (SELECT event_id, list_transform(range(1, 2 + k % 9), lambda i: 'src/m' || i % 3 || '.py') AS p, list_transform(range(1, 2 + k % 9), lambda i: i % 3 || ':' || i % 4) AS l FROM tool_calls WHERE tool_family = 'SEARCH')
       SELECT event_id, len(l) AS records, len(list_distinct(p)) AS paths, len(l) - len(list_distinct(p)) AS repeated_paths, len(l) - len(list_distinct(l)) AS repeated_records FROM x""",
-    "bounded_pairing": f"""WITH {TOOL_CALLS_SQL}, r AS (SELECT session_id, k // 2 AS call_id, k % 2 = 0 AS is_call, min(call_index) AS i FROM tool_calls GROUP BY 1, 2, 3),
-      c AS (SELECT a.session_id, a.i, b.i AS o, (SELECT count(*) FROM r m WHERE m.session_id = a.session_id AND m.is_call AND m.i > a.i AND m.i < b.i) AS waiting FROM r a LEFT JOIN r b ON a.session_id = b.session_id AND a.call_id = b.call_id AND NOT b.is_call WHERE a.is_call)
-      SELECT CASE WHEN o IS NULL OR o < i THEN 'UNMATCHED' WHEN waiting >= 4 THEN 'EVICTED' ELSE 'PAIRED' END AS state, count(*) AS calls FROM c GROUP BY 1""",
+    "bounded_pairing": f"""WITH {TOOL_CALLS_SQL}, r AS (SELECT session_id, call_index AS i, k % 2 = 0 AS is_call, call_index // 40 * 20 + event_id % 20 AS call_id FROM tool_calls),
+      e AS (SELECT *, lead(i) OVER w AS stop, lead(is_call) OVER w AS again FROM r WINDOW w AS (PARTITION BY session_id, call_id ORDER BY i)),
+      c AS (SELECT session_id, call_id, i, stop, again FROM e WHERE is_call),
+      t AS (SELECT a.session_id, a.i, b.i AS at, count(*) AS newer FROM c a JOIN c b ON b.session_id = a.session_id AND b.i > a.i AND b.i < coalesce(a.stop, 1e9) JOIN c x ON x.session_id = a.session_id AND x.i > a.i AND x.i <= b.i AND coalesce(x.stop, 1e9) > b.i GROUP BY 1, 2, 3),
+      o AS (SELECT DISTINCT session_id, i FROM t WHERE newer >= 4)
+      SELECT c.session_id, c.call_id, c.i AS call_index, CASE WHEN o.i IS NOT NULL THEN 'EVICTED' WHEN again THEN 'REPLACED' WHEN stop IS NULL THEN 'WAITING' ELSE 'PAIRED' END AS state, CASE WHEN o.i IS NULL AND NOT again THEN stop END AS output_index
+      FROM c LEFT JOIN o ON o.session_id = c.session_id AND o.i = c.i""",
     "latency_percentiles": "SELECT event_type, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p}" for p in (50, 95, 99, 100)) + " FROM events GROUP BY 1",
     "reads_around_edits": f"""WITH {TOOL_CALLS_SQL}, w AS (SELECT session_id, episode_id, min(call_index) AS first FROM tool_calls WHERE is_mutation GROUP BY 1, 2)
       SELECT session_id, count(*) FILTER (first IS NULL OR call_index < first) AS before, count(*) FILTER (call_index > first) AS after FROM tool_calls LEFT JOIN w USING (session_id, episode_id) WHERE tool_family = 'FILE_READ' GROUP BY 1""",

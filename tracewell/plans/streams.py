@@ -14,13 +14,29 @@ from tracewell.sources.tables import TOOL_CALLS_SQL, table, tool_calls
 from tracewell.streaming import stateful
 
 
-def _through(rows: DataFrame, step, schema: str) -> DataFrame:
-    """What ``step`` makes of ``rows`` as they arrive file by file; written to and read from the shared folder."""
+#: Slices of a log that arrive one after another, and files of each.
+SLICES, FILES = 4, 2
+
+
+def _through(rows: DataFrame, step, schema: str, order: str = "call_index", session: str = "session_id", batches: list | None = None) -> DataFrame:
+    """What ``step`` makes of ``rows`` as they arrive slice by slice; written to and read from the shared folder.
+
+    A slice is a range of ``order``, so every session goes on through all slices and its state is carried from batch to
+    batch. A session lies in one file of a slice. ``batches`` gets the rows of each micro-batch.
+    """
     spark = rows.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{at}/in")
-    arriving = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
-    step(arriving).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
+    rows.write.parquet(f"{at}/log")
+    log = spark.read.schema(rows.schema).parquet(f"{at}/log")
+    bounds = [None, *sorted(set(log.approxQuantile(order, [k / SLICES for k in range(1, SLICES)], 0.01))), None]
+    for lo, hi in zip(bounds, bounds[1:]):
+        after, upto = F.lit(True) if lo is None else F.col(order) > lo, F.lit(True) if hi is None else F.col(order) <= hi
+        log.where(after & upto).repartition(FILES, session).write.mode("append").parquet(f"{at}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{at}/in")
+    query = step(arriving).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if batches is not None:
+        batches += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
     return spark.read.schema(schema).parquet(f"{at}/out")
 
 
@@ -54,17 +70,19 @@ def stream_receipts_vs_batch(spark, sf_dir):
     return both.agg(F.count("*").alias("reads"), *[F.count_if(~F.col(f).eqNullSafe(F.col("b_" + f))).alias(f + "_differs") for f in fields])
 
 
-def stream_pairing(spark, sf_dir):
-    """Calls paired with outputs as both arrive; several records share a call id."""
-    e = tool_calls(table(spark, sf_dir, "events")).select("session_id", F.col("call_index").alias("record_index"), "event_id", (F.col("k") % 3 != 0).alias("is_call"), F.concat(F.lit("c"), (F.col("k") % 12).cast("string")).alias("call_id"))
-    return _through(e, stateful.pair_calls, stateful.PAIRS)
+def stream_pairing(spark, sf_dir, batches: list | None = None):
+    """Calls paired with outputs as both arrive; eight records in turn share four call ids."""
+    i = F.col("call_index")
+    call_id = F.concat(F.lit("c"), (F.floor(i / 8) * 4 + F.col("event_id") % 4).cast("string"))
+    e = tool_calls(table(spark, sf_dir, "events")).select("session_id", i.alias("record_index"), "event_id", (F.col("k") % 3 != 0).alias("is_call"), call_id.alias("call_id"))
+    return _through(e, stateful.pair_calls, stateful.PAIRS, "record_index", batches=batches)
 
 
 SQL = {
     "stream_vs_batch": "SELECT count(*) AS calls, count(*) AS matched, CAST(0 AS BIGINT) AS mismatched FROM events",
     "stream_receipts": f"WITH {_READS} SELECT session_id, call_index, event_id, decision, receipt_no, distance FROM r7",
     "stream_receipts_vs_batch": "SELECT count(*) AS reads, CAST(0 AS BIGINT) AS decision_differs, CAST(0 AS BIGINT) AS receipt_no_differs, CAST(0 AS BIGINT) AS distance_differs FROM events WHERE event_type = 'view'",
-    "stream_pairing": f"""WITH {TOOL_CALLS_SQL}, r AS (SELECT session_id, call_index AS i, event_id, k % 3 <> 0 AS is_call, 'c' || k % 12 AS call_id FROM tool_calls),
+    "stream_pairing": f"""WITH {TOOL_CALLS_SQL}, r AS (SELECT session_id, call_index AS i, event_id, k % 3 <> 0 AS is_call, 'c' || (call_index // 8 * 4 + event_id % 4) AS call_id FROM tool_calls),
       f AS (SELECT session_id, call_id, min(i) AS first_call FROM r WHERE is_call GROUP BY 1, 2), o AS (SELECT session_id, call_id, min(i) AS at FROM r JOIN f USING (session_id, call_id) WHERE NOT is_call AND i > first_call GROUP BY 1, 2)
       SELECT o.session_id, o.call_id, (SELECT max_by(c.event_id, c.i) FROM r c WHERE c.session_id = o.session_id AND c.call_id = o.call_id AND c.is_call AND c.i < o.at) AS call_event,
         (SELECT min(x.event_id) FROM r x WHERE x.session_id = o.session_id AND x.i = o.at) AS output_event FROM o""",

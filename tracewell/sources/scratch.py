@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +26,22 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+class Steps:
+    """A table in the shared folder that an iterative job appends its steps to; what it wrote outlives executors."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.count, self.schema = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, None
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Write the next step and read it back."""
+        self.schema = df.schema
+        at = f"{self.path}/step={self.count}"
+        df.write.parquet(at)
+        self.count += 1
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        """All steps, with the number of each as ``step``."""
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("step", LongType())])).parquet(self.path)
