@@ -100,22 +100,88 @@ def test_state_outlives_a_restart(spark, tmp_path):
     assert run([("s", 4, 4, False, "a"), ("s", 6, 7, False, "b"), ("s", 7, 8, False, "b")]) == [("s", "a", 1, 4), ("s", "b", 5, 7)]
 
 
+def test_racing_writers_publish_one_whole(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tracewell.sources import sinks
+
+    def write(name):
+        rows = spark.range(50).select("id", F.lit(name).alias("writer"))
+        try:
+            sinks.publish_all({"a": rows, "b": rows.limit(3)}, str(tmp_path / "race"))
+            return name
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [w for w in pool.map(write, "klmn") if w]
+    assert len(won) == 1
+    a, b = (sinks.published(spark, str(tmp_path / "race"), part) for part in "ab")
+    assert (a.count(), b.count()) == (50, 3) and {r["writer"] for r in a.union(b).select("writer").collect()} == set(won)
+    assert len([f for f in (tmp_path / "race").iterdir() if f.name.startswith("_")]) == 1  # losers took their own parts away
+
+
+def test_a_killed_writer_leaves_nothing_visible(spark, tmp_path):
+    from tracewell.sources import sinks
+
+    at = tmp_path / "killed"
+    spark.range(5).write.json(str(at / "_0" / "data"))
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, str(at))
+    sinks.publish(spark.range(7), str(at))
+    assert sinks.published(spark, str(at)).count() == 7 and (at / "_0" / "data").exists()
+
+
+def test_stream_ledger_survives_kills(spark, tmp_path):
+    from tracewell.sources import sinks
+
+    rows = [(f"s{k % 3}", k, "FIRST" if k % 4 else "CHANGED") for k in range(60)]
+    schema = "session string, at long, decision string"
+    for part in range(4):
+        spark.createDataFrame(rows[15 * part : 15 * part + 15], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ledger = sinks.StreamLedger(str(tmp_path / "ledger"), "session", "at", F.col("decision"))
+    died = []
+
+    def dies(batch, number):
+        """Once before a batch is published, once after and before the stream notes it."""
+        if number == 1 and not died:
+            died.append("before")
+            raise RuntimeError("killed")
+        ledger(batch, number)
+        if number == 2 and len(died) == 1:
+            died.append("after")
+            raise RuntimeError("killed")
+
+    for _ in range(3):
+        query = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).writeStream.foreachBatch(dies).option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        except Exception as error:
+            assert "killed" in str(error)
+    assert died == ["before", "after"]
+    every = spark.createDataFrame(rows, schema)
+    got = ledger.entries(spark)
+    assert sinks.broken_chains(got, "session").isEmpty()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sinks.chained(every, "session", "at", F.col("decision")).collect()))
+    assert ledger.manifest(spark).collect() == sinks.manifest(every).collect()
+
+
 def test_sinks_never_overwrite(spark, tmp_path):
     from tracewell.sources import sinks
 
     rows = spark.createDataFrame([("s", k, f"p{k}") for k in range(5)] + [("t", 1, "q")], "session string, k long, p string")
     at = str(tmp_path / "ledger")
     sinks.write_ledger(rows, "session", "k", F.col("p"), at)
-    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+    with pytest.raises(Exception, match="holds a publication"):
         sinks.write_ledger(rows, "session", "k", F.col("p"), at)
     assert {r["session"]: r["entries"] for r in sinks.resume_head(spark, at, "session").collect()} == {"s": 5, "t": 1}
-    forged = spark.read.json(at).withColumn("payload", F.lit("x"))
+    forged = sinks.published(spark, at).withColumn("payload", F.lit("x"))
     sinks.publish(forged, str(tmp_path / "forged"))
     with pytest.raises(ValueError, match="broken"):
         sinks.resume_head(spark, str(tmp_path / "forged"), "session")
     with pytest.raises(Exception, match="boom"):
         sinks.publish_all({"a": rows, "b": rows.select(F.raise_error(F.lit("boom")).alias("x"))}, str(tmp_path / "set"))
-    assert not (tmp_path / "set" / "a").exists()
+    assert not any((tmp_path / "set").iterdir()) and not sinks.is_published(spark, str(tmp_path / "set"))
     results = spark.createDataFrame([("secret text", "RAW", "DO_NOT_PERSIST"), ("text", "RAW", "EPHEMERAL")], "content string, disposition string, persistence string")
     sinks.append_metrics(results, str(tmp_path / "m"))
     sinks.append_metrics(results, str(tmp_path / "m"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracewell.functions import buckets
-from tracewell.operators import census, receipts, redelivery
+from tracewell.operators import census, delivery, receipts, redelivery
 from tracewell.sources.tables import FAMILIES, TOOL_CALLS_SQL, table, tool_calls
 
 
@@ -180,6 +180,36 @@ def delivery_economics(spark, sf_dir):
     )
 
 
+def _delivered(spark, sf_dir):
+    """Reads as they are delivered: a fifth of the sessions is the control; some are not assessed, switched off or seen elsewhere."""
+    k = F.col("k")
+    reads = _calls(spark, sf_dir).where(F.col("tool_family") == "FILE_READ").drop("content")
+    source, view = F.when(k % 13 != 0, F.col("target_path")), F.when(k % 17 == 0, None).when(k % 2 == 0, "FULL_FILE").otherwise("LINE_RANGE")
+    assessed, observed = F.when(k % 19 != 0, delivery.NOT_SENSITIVE), F.when(k % 29 == 0, "other")
+    return delivery.deliver(reads, source, view, assessed, F.substring("session_id", 2, 20).cast("long") % 5 != 0, k % 23 != 0, observed)
+
+
+def delivery_outcomes(spark, sf_dir):
+    return _delivered(spark, sf_dir).select("event_id", "delivery", "reason", "reference", "held")
+
+
+def reference_expansion(spark, sf_dir):
+    """References expanded, most of them changed on the way; some held bytes are spoilt."""
+    d = _delivered(spark, sf_dir)
+    content = F.when(F.col("k") % 31 == 0, F.overlay("content", F.lit("X"), F.lit(1))).otherwise(F.col("content"))
+    store = d.join(_calls(spark, sf_dir).select("event_id", content.alias("content")), "event_id")
+    turn, r = F.col("event_id") % 7, F.col("reference")
+    changed = (
+        F.when(turn == 1, F.regexp_replace(r, r"sha256=.{8}", "sha256=00000000"))
+        .when(turn == 2, F.regexp_replace(r, r"bytes=", "bytes=1"))
+        .when(turn == 3, F.regexp_replace(r, r"rcpt-\d+", "rcpt-99999"))
+        .when(turn == 4, F.concat(F.lit("x"), r))
+        .otherwise(r)
+    )
+    asked = d.where(F.col("delivery") == "READREF").select(F.when(turn == 5, "elsewhere").otherwise(F.col("session_id")).alias("session_id"), "call_index", changed.alias("reference"))
+    return delivery.expand(asked, store, "content").select("session_id", "call_index", "outcome", F.sha2("content", 256).alias("sha"))
+
+
 _STATE = TOOL_CALLS_SQL + """, st AS (
   SELECT *, row_number() OVER s = 1 AS is_first, first_value(call_index) OVER s AS first_index, first_value(episode_id) OVER s AS first_episode
   FROM tool_calls WINDOW s AS (PARTITION BY session_id, sha ORDER BY call_index)
@@ -239,6 +269,20 @@ _READS = TOOL_CALLS_SQL + """, r0 AS (
     CASE WHEN decision = 'HISTORICAL_IDENTICAL' THEN n_bytes - reference_bytes ELSE 0 END AS avoided_bytes FROM r6
 )"""
 
+_DELIVERED = _READS + """, x0 AS (
+  SELECT *, CAST(substr(session_id, 2) AS BIGINT) % 5 <> 0 AS treated, k % 23 <> 0 AS enabled, k % 19 <> 0 AS safe, k % 29 <> 0 AS own FROM r7
+), x1 AS (
+  SELECT *, known AND safe AND treated AND own AS held FROM x0
+), x2 AS (
+  SELECT *, last_value(CASE WHEN held THEN call_index END IGNORE NULLS) OVER (PARTITION BY session_id, receipt_no, known ORDER BY call_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kept_at FROM x1
+), x3 AS (
+  SELECT a.*, b.k AS kept_k, CASE WHEN NOT a.own THEN 'CROSS_SESSION_FORBIDDEN' WHEN NOT a.treated THEN 'CONTROL' WHEN NOT a.enabled THEN 'SWITCHED_OFF' WHEN NOT a.safe THEN 'NOT_ASSESSED_SAFE' WHEN a.decision <> 'HISTORICAL_IDENTICAL' THEN a.decision
+    WHEN b.sha IS NULL THEN 'MISSING_RECEIPT' WHEN b.sha <> a.sha THEN 'RECEIPT_MISMATCH' ELSE 'EXACT_REFERENCE' END AS reason
+  FROM x2 a LEFT JOIN x2 b ON b.session_id = a.session_id AND b.call_index = a.kept_at
+), dl AS (
+  SELECT *, CASE WHEN reason = 'EXACT_REFERENCE' THEN 'READREF' ELSE 'RAW' END AS delivery, event_id % 7 AS turn FROM x3
+)"""
+
 _SIDES = """sides AS (
   SELECT event_id, event_id AS record_index, event_id % 2 = 0 AS is_call, event_id // 2 - (event_id // 2) % (CASE WHEN event_id % 2 = 0 THEN 3 ELSE 5 END) AS call_id FROM events
 ), c AS (SELECT call_id, max_by(event_id, record_index) AS call_event, max(record_index) AS call_event_index FROM sides WHERE is_call GROUP BY 1
@@ -250,6 +294,9 @@ _families = " UNION ALL ".join(f"SELECT {i} AS pos, '{f}' AS tool_family" for i,
 _stage = lambda n, c: f"SELECT '{n}' AS stage, count(*) FILTER ({c}) AS calls, CAST(coalesce(sum(n_bytes) FILTER ({c}), 0) AS BIGINT) AS bytes FROM d"
 
 SQL = {
+    "delivery_outcomes": f"WITH {_DELIVERED} SELECT event_id, delivery, reason, CASE WHEN delivery = 'READREF' THEN '[[READ receipt=rcpt-' || CASE WHEN receipt_no < 10000 THEN lpad(CAST(receipt_no AS VARCHAR), 4, '0') ELSE CAST(receipt_no AS VARCHAR) END || ' sha256=' || sha || ' bytes=' || n_bytes || ']]' END AS reference, held FROM dl",
+    "reference_expansion": f"""WITH {_DELIVERED}, o AS (SELECT *, CASE turn WHEN 1 THEN 'METADATA_MISMATCH' WHEN 2 THEN 'LENGTH_MISMATCH' WHEN 3 THEN 'UNKNOWN_RECEIPT' WHEN 4 THEN 'NO_REFERENCE' WHEN 5 THEN 'UNKNOWN_RECEIPT' ELSE CASE WHEN kept_k % 31 = 0 THEN 'DIGEST_MISMATCH' ELSE 'EXPANDED' END END AS outcome FROM dl WHERE delivery = 'READREF')
+      SELECT CASE WHEN turn = 5 THEN 'elsewhere' ELSE session_id END AS session_id, call_index, outcome, CASE WHEN outcome = 'EXPANDED' THEN sha END AS sha FROM o""",
     "first_delivery": f"WITH {_STATE} SELECT session_id, count(*) AS calls, count(*) FILTER (is_first) AS first_deliveries, {_big('sum(CASE WHEN is_first THEN 0 ELSE n_bytes END)')} AS repeat_bytes FROM st GROUP BY 1",
     "exact_redelivery": f"WITH {TOOL_CALLS_SQL}, g AS (SELECT target_path, sha, count(*) AS n, sum(n_bytes) AS b, min(n_bytes) AS one FROM tool_calls GROUP BY 1, 2 HAVING count(*) > 1) SELECT target_path, count(*) AS groups, {_big('sum(n)')} AS events, {_big('sum(b)')} AS gross_bytes, {_big('sum(b - one)')} AS repeat_bytes FROM g GROUP BY 1",
     "redelivery_decisions": f"WITH {_STATE} SELECT event_id, session_id, call_index, disposition, evidence, receipt_no, reference_bytes, avoided_bytes, call_distance, latest_distance, episode_distance FROM d",

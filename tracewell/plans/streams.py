@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import receipts, redelivery
+from tracewell.plans import corpora
 from tracewell.plans.sessions import _READS
+from tracewell.sources import sinks
 from tracewell.sources.scratch import shared_dir
 from tracewell.sources.tables import TOOL_CALLS_SQL, table, tool_calls
 from tracewell.streaming import stateful
@@ -18,11 +20,11 @@ from tracewell.streaming import stateful
 SLICES, FILES = 4, 2
 
 
-def _through(rows: DataFrame, step, schema: str, order: str = "call_index", session: str = "session_id", batches: list | None = None) -> DataFrame:
-    """What ``step`` makes of ``rows`` as they arrive slice by slice; written to and read from the shared folder.
+def _arriving(rows: DataFrame, order: str, session: str) -> tuple[str, DataFrame]:
+    """A new place in the shared folder, and the stream of ``rows`` that arrive there slice by slice.
 
     A slice is a range of ``order``, so every session goes on through all slices and its state is carried from batch to
-    batch. A session lies in one file of a slice. ``batches`` gets the rows of each micro-batch.
+    batch. A session lies in one file of a slice.
     """
     spark = rows.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -32,12 +34,21 @@ def _through(rows: DataFrame, step, schema: str, order: str = "call_index", sess
     for lo, hi in zip(bounds, bounds[1:]):
         after, upto = F.lit(True) if lo is None else F.col(order) > lo, F.lit(True) if hi is None else F.col(order) <= hi
         log.where(after & upto).repartition(FILES, session).write.mode("append").parquet(f"{at}/in")
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{at}/in")
-    query = step(arriving).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start()
+    return at, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{at}/in")
+
+
+def _finish(writer, at: str, batches: list | None = None) -> None:
+    query = writer.option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
     if batches is not None:
         batches += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
-    return spark.read.schema(schema).parquet(f"{at}/out")
+
+
+def _through(rows: DataFrame, step, schema: str, order: str = "call_index", session: str = "session_id", batches: list | None = None) -> DataFrame:
+    """What ``step`` makes of ``rows`` as they arrive; read from the shared folder. ``batches`` gets the rows of each micro-batch."""
+    at, stream = _arriving(rows, order, session)
+    _finish(step(stream).writeStream.format("parquet").option("path", f"{at}/out"), at, batches)
+    return rows.sparkSession.read.schema(schema).parquet(f"{at}/out")
 
 
 def stream_vs_batch(spark, sf_dir):
@@ -78,6 +89,15 @@ def stream_pairing(spark, sf_dir, batches: list | None = None):
     return _through(e, stateful.pair_calls, stateful.PAIRS, "record_index", batches=batches)
 
 
+def stream_ledger(spark, sf_dir):
+    """Receipt decisions chained batch by batch, as the ledger then stands."""
+    rows = receipts.receipt_decisions(_reads(spark, sf_dir), F.col("source"), F.col("view")).select("session_id", "call_index", "event_id", "decision", "sha")
+    at, stream = _arriving(rows, "call_index", "session_id")
+    ledger = sinks.StreamLedger(f"{at}/ledger", "session_id", "call_index", F.concat_ws(":", F.col("event_id").cast("string"), "decision", "sha"), digits=16)
+    _finish(stream.writeStream.foreachBatch(ledger), at)
+    return ledger.entries(spark).select("session_id", "at", "before", "hash")
+
+
 SQL = {
     "stream_vs_batch": "SELECT count(*) AS calls, count(*) AS matched, CAST(0 AS BIGINT) AS mismatched FROM events",
     "stream_receipts": f"WITH {_READS} SELECT session_id, call_index, event_id, decision, receipt_no, distance FROM r7",
@@ -87,4 +107,5 @@ SQL = {
       SELECT o.session_id, o.call_id, (SELECT max_by(c.event_id, c.i) FROM r c WHERE c.session_id = o.session_id AND c.call_id = o.call_id AND c.is_call AND c.i < o.at) AS call_event,
         (SELECT min(x.event_id) FROM r x WHERE x.session_id = o.session_id AND x.i = o.at) AS output_event FROM o""",
 }
+SQL["stream_ledger"] = corpora.SQL["receipt_ledger"]
 QUERIES = {name: globals()[name] for name in SQL}
