@@ -33,6 +33,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Entries of one generation of a worker's caches.
 CACHE_ENTRIES = 300_000
+#: Bytes of a generation before it grows old, and characters of a part that is worth keeping.
+CACHE_BYTES = 64 << 20
+LONG_PART = 64
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -245,28 +248,44 @@ def whole_tokens(vocab: Vocabulary) -> frozenset[str]:
     return frozenset(found)
 
 
+def _weight(part: str, value) -> int:
+    """About the bytes that an entry holds: its key, and 36 for each token id."""
+    return 150 + 2 * len(part) + (36 * len(value) if isinstance(value, tuple | list) else 0)
+
+
 class _Parts:
-    """What the parts of texts give, in a bounded cache of two generations.
+    """What the parts of texts give, in a cache of two generations that entries and bytes bound.
 
-    ``compute`` gets a list of parts that are not known yet.
+    ``compute`` gets a list of parts that are not known yet. Parts above LONG_PART characters are forgotten
+    at the next call.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], entries: int = CACHE_ENTRIES):
-        self.compute, self.entries = compute, entries
+    def __init__(self, compute: Callable[[list[str]], list], entries: int = CACHE_ENTRIES, most: int = CACHE_BYTES):
+        self.compute, self.entries, self.most = compute, entries, most
         self.young: dict = {}
         self.old: dict = {}
+        self.bytes = 0
+        self.passing: list[str] = []
 
     def learn(self, parts) -> dict:
         """A mapping that has every one of ``parts``."""
-        if len(self.young) + len(parts) > self.entries:
-            self.old, self.young = self.young, {}
+        for p in self.passing:
+            del self.young[p]
+        self.passing = []
+        if len(self.young) + len(parts) > self.entries or self.bytes > self.most:
+            self.old, self.young, self.bytes = self.young, {}, 0
         young, old = self.young, self.old
         missing = [p for p in parts if p not in young]
         if old and missing:
-            young.update((p, old[p]) for p in missing if p in old)
+            again = [(p, old[p]) for p in missing if p in old]
+            young.update(again)
+            self.bytes += sum(_weight(*x) for x in again)
             missing = [p for p in missing if p not in young]
         if missing:
-            young.update(zip(missing, self.compute(missing)))
+            made = self.compute(missing)
+            young.update(zip(missing, made))
+            self.passing = [p for p in missing if len(p) > LONG_PART]
+            self.bytes += sum(_weight(p, v) for p, v in zip(missing, made) if len(p) <= LONG_PART)
         return young
 
 
