@@ -245,3 +245,45 @@ def test_symbols_and_imports(spark):
     assert {(r["kind"], r["name"]) for r in found.where(F.col("path") == "p/a.py").collect()} == {("IMPORT", "b"), ("IMPORT", "q"), ("CONSTANT", "X"), ("CLASS", "K"), ("METHOD", "K.m"), ("FUNCTION", "f")}
     assert found.where("kind = 'PARSE_ERROR'").count() == 1
     assert {(r["src"], r["dst"]) for r in pycode.import_edges(found, files).collect()} == {("p/a.py", "p/b.py"), ("p/a.py", "p/c.py")}
+
+
+def test_files_split_many_ways_number_like_one_range(spark, tmp_path):
+    import json
+
+    from tracewell.sources.lines import numbered_lines
+
+    kinds = [{"type": "message", "role": "user"}, {"type": "function_call", "call_id": "c{}", "name": "exec", "input": "x"}, {"type": "function_call_output", "call_id": "c{}", "output": "out {}"}, {"type": "message", "role": "tool"}]
+    for name in "ab":
+        rows = []
+        for k in range(200):
+            payload = {f: v.replace("{}", str(k // 3)) for f, v in kinds[k % 4 if name == "a" else k * k % 4].items()}
+            rows.append("" if k % 17 == 5 else "{broken" if k % 23 == 7 else json.dumps({"timestamp": f"t{(k * 7) % 100:03}", "session": name, "payload": payload}))
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(rows) + "\n", encoding="utf-8")
+    read = lambda: session_log.read_log(spark, str(tmp_path))
+    one = sorted(map(str, read().collect())), sorted(map(str, session_log.paired_calls(read()).collect())), sorted(map(str, session_log.fingerprint(read()).collect()))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= 50
+        many = sorted(map(str, read().collect())), sorted(map(str, session_log.paired_calls(read()).collect())), sorted(map(str, session_log.fingerprint(read()).collect()))
+        lines = numbered_lines(spark, str(tmp_path / "a.jsonl")).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert one == many and len(one[0]) > 300 and len(one[1]) > 20
+    assert [r["value"] for r in lines] == (tmp_path / "a.jsonl").read_text(encoding="utf-8").split("\n")[:-1]
+    assert [r["line_no"] for r in lines] == list(range(1, 201))
+
+
+def test_bytes_behind_paths(spark, tmp_path):
+    import base64
+
+    from tracewell.operators import replay
+
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "x.bin").write_bytes(b"\x00from a file")
+    (tmp_path / "outside.bin").write_bytes(b"no")
+    data = "struct<raw_content_b64:string,raw_ref_path:string>"
+    rows = [(1, (base64.b64encode(b"inline").decode(), None)), (2, (None, "x.bin")), (3, (None, "gone.bin")), (4, (None, "../outside.bin")), (5, (None, None)), (6, (base64.b64encode(b"both").decode(), "x.bin"))]
+    entries = spark.createDataFrame(rows, f"k int, source_data {data}")
+    got = {r["k"]: r["raw"] and bytes(r["raw"]) for r in replay.with_bytes(entries, replay.stored_bytes(spark, str(tmp_path / "raw"))).collect()}
+    assert got == {1: b"inline", 2: b"\x00from a file", 3: None, 4: None, 5: None, 6: None}

@@ -52,11 +52,19 @@ def stem_overlap(docs: DataFrame, key: str, doc_stems: Column, queries: DataFram
 
 
 def retrieval_metrics(ranked: DataFrame, truth: DataFrame, query_key: str, key: str) -> DataFrame:
-    """Any-hit rates, mean reciprocal rank and misses over the queries of ``truth``."""
-    hit = ranked.join(truth, [query_key, key]).groupBy(query_key).agg(F.min("rank").alias("first"))
-    every = truth.select(query_key).distinct().join(hit, query_key, "left")
-    at = lambda n: F.round(F.avg(F.when(F.col("first") <= n, 1.0).otherwise(0.0)), 6).alias(f"hit_at_{n}")
-    return every.agg(F.count("*").alias("queries"), at(1), at(3), at(5), at(10), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.count_if(F.col("first").isNull()).alias("misses"))
+    """Over the queries of ``truth``: shares with any hit and with all hits among the first, mean reciprocal rank, misses, and the share of all wanted keys that is found."""
+    n = lambda most: F.count_if(F.col("rank") <= most).alias(f"in_{most}")
+    hit = ranked.join(truth, [query_key, key]).groupBy(query_key).agg(F.min("rank").alias("first"), n(5), n(10))
+    every = truth.groupBy(query_key).agg(F.count("*").alias("wanted")).join(hit, query_key, "left")
+    rate = lambda c, name: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6).alias(name)
+    return every.agg(
+        F.count("*").alias("queries"),
+        *[rate(F.col("first") <= k, f"hit_at_{k}") for k in (1, 3, 5, 10)],
+        *[rate(F.col(f"in_{k}") == F.col("wanted"), f"all_hits_at_{k}") for k in (5, 10)],
+        F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
+        F.count_if(F.col("first").isNull()).alias("misses"),
+        F.round(F.sum(F.coalesce("in_10", F.lit(0))) / F.sum("wanted"), 6).alias("recall_at_10"),
+    )
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

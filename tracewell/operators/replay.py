@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import policy
 from tracewell.functions.text import occurrences
+from tracewell.sources.lines import numbered_lines
 
 # Schema versions and closed sets of an entry.
 VERSION, OLD_VERSION = 4, 3
@@ -42,17 +43,36 @@ def parse_entries(lines: DataFrame, migrate: bool = False) -> DataFrame:
     return e.withColumn("heuristic_suggestion", F.when(old & label.isNotNull(), demoted).otherwise(F.col("heuristic_suggestion"))).withColumn("oracle_labels", F.when(~F.coalesce(old, F.lit(False)), label)).withColumn("schema_version", F.when(old, VERSION).otherwise(F.col("schema_version")))
 
 
-def read_corpus(spark: SparkSession, path: str, migrate: bool = False) -> DataFrame:
-    """All entries of a file of JSON lines, with their bytes; the first bad line fails the job."""
-    text = spark.read.text(path, wholetext=False).withColumn("line_no", F.monotonically_increasing_id())
-    e = with_bytes(parse_entries(text.select("line_no", "value"), migrate))
-    bad = F.concat_ws("; ", F.col("error"), F.array_join(problems(), "; "))
-    return e.withColumn("entry_id", F.when(bad != "", F.raise_error(F.concat(F.lit("bad entry: "), bad))).otherwise(F.col("entry_id")))
-
+def read_corpus(spark: SparkSession, path: str, migrate: bool = False, base: str | None = None) -> DataFrame:
+    """All entries of files of JSON lines, with their bytes; a bad line fails the job with its file and number.
 
-def with_bytes(entries: DataFrame) -> DataFrame:
-    """Adds ``raw``: the inline bytes, null if they are missing or no base64."""
-    return entries.withColumn("raw", F.try_to_binary("source_data.raw_content_b64", F.lit("base64")))
+    ``base`` is the folder that entries name their bytes in; without it only inline bytes are found.
+    """
+    lines = numbered_lines(spark, path)
+    e = parse_entries(lines.select(F.struct("file", "line_no").alias("line_no"), "value"), migrate).select("line_no.file", "line_no.line_no", *[c for c in parse_entries(lines, migrate).columns if c != "line_no"])
+    e = with_bytes(e, None if base is None else stored_bytes(spark, base))
+    bad = F.concat_ws("; ", F.col("error"), F.array_join(problems(), "; "))
+    where = F.concat(F.col("file"), F.lit(":"), F.col("line_no").cast("string"))
+    return e.withColumn("entry_id", F.when(bad != "", F.raise_error(F.concat(F.lit("bad entry at "), where, F.lit(": "), bad))).otherwise(F.col("entry_id")))
+
+
+def stored_bytes(spark: SparkSession, base: str) -> DataFrame:
+    """``path`` below ``base`` and ``content`` of every file there."""
+    folder = base.rstrip("/").split(":", 1)[-1]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    return files.select(F.substring_index(F.col("path"), folder + "/", -1).alias("path"), "content")
+
+
+def with_bytes(entries: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Adds ``raw``: the inline bytes, else those of the file (path, content) that the entry names; null if there are
+    none, if the inline ones are no base64, or if both are given. A path that is absolute or leads upwards names none."""
+    inline, named = F.col("source_data.raw_content_b64"), F.col("source_data.raw_ref_path")
+    own = F.try_to_binary(inline, F.lit("base64"))
+    if files is None:
+        return entries.withColumn("raw", own)
+    plain = F.when(inline.isNull() & ~named.rlike(r"^[/\\]|(^|[/\\])\.\.([/\\]|$)|^[A-Za-z]:"), named)
+    found = files.select(F.col("path").alias("_path"), F.col("content").alias("_content"))
+    return entries.join(found, plain == F.col("_path"), "left").withColumn("raw", F.when(named.isNull(), own).otherwise(F.col("_content"))).drop("_path", "_content")
 
 
 def _label_problems(name: str, label: Column, raw: Column) -> list[tuple[str, Column]]:

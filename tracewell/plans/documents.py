@@ -148,12 +148,16 @@ def idf_table(spark, sf_dir):
 
 
 def hit_rate_mrr(spark, sf_dir):
-    """BM25 against the documents that hold an item's whole text."""
+    """BM25 against the documents that hold an item's whole text as lines of their own.
+
+    Documents with the item's first line are found by its hash, then compared with the whole text.
+    """
     items, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    start = F.substring_index(F.col("text"), "\n", 1)
-    marks = items.select("item_id", F.xxhash64(start).alias("mark"))
-    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.xxhash64("line").alias("mark"))
-    truth = marks.join(lines, "mark").select("item_id", "doc_id").distinct()
+    framed = F.concat(F.lit("\n"), F.col("text"), F.lit("\n"))
+    marks = items.select("item_id", F.xxhash64(F.substring_index("text", "\n", 1)).alias("mark"), framed.alias("item"))
+    lines = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("doc_id", F.xxhash64("line").alias("mark"))
+    near = marks.join(lines, "mark").select("item_id", "item", "doc_id").distinct()
+    truth = near.join(d.select("doc_id", framed.alias("whole")), "doc_id").where(F.contains("whole", "item")).select("item_id", "doc_id").distinct()
     return discovery.retrieval_metrics(bm25_topk(spark, sf_dir), truth, "item_id", "doc_id")
 
 
@@ -449,9 +453,10 @@ SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT * FROM top",
     "legacy_topk": f"WITH d AS (SELECT doc_id, unnest({_stems_sql('text')}) AS stem FROM documents), q AS (SELECT item_id, unnest({_stems_sql('text')}) AS stem FROM benchmark), s AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN d USING (stem) GROUP BY 1, 2) SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10",
     "idf_table": f"WITH p AS (SELECT DISTINCT page_id, unnest({_tokens_sql('url')}) AS token FROM pages), f AS (SELECT token, count(*) AS df FROM p GROUP BY 1), z AS (SELECT count(*) AS n FROM pages) SELECT token, df, round(ln((n - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM f, z",
-    "hit_rate_mrr": f"WITH {_BM25}, tr AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, string_split(text, chr(10))[1] AS line FROM benchmark) JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) USING (line)), h AS (SELECT item_id, min(rank) AS first FROM top JOIN tr USING (item_id, doc_id) GROUP BY 1), ev AS (SELECT DISTINCT item_id FROM tr), z AS (SELECT * FROM ev LEFT JOIN h USING (item_id)) SELECT count(*) AS queries, "
-    + ", ".join(f"round(avg(CASE WHEN first <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_at_{k}" for k in (1, 3, 5, 10))
-    + ", round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr, count(*) FILTER (first IS NULL) AS misses FROM z",
+    "hit_rate_mrr": f"""WITH {_BM25}, tr AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(chr(10) || d.text || chr(10), chr(10) || b.text || chr(10))),
+      h AS (SELECT item_id, min(rank) AS first, count(*) FILTER (rank <= 5) AS in_5, count(*) FILTER (rank <= 10) AS in_10 FROM top JOIN tr USING (item_id, doc_id) GROUP BY 1), z AS (SELECT * FROM (SELECT item_id, count(*) AS wanted FROM tr GROUP BY 1) LEFT JOIN h USING (item_id))
+      SELECT count(*) AS queries, {", ".join(f"round(avg(CASE WHEN first <= {k} THEN 1.0 ELSE 0 END), 6) AS hit_at_{k}" for k in (1, 3, 5, 10))}, {", ".join(f"round(avg(CASE WHEN in_{k} = wanted THEN 1.0 ELSE 0 END), 6) AS all_hits_at_{k}" for k in (5, 10))},
+        round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, count(*) FILTER (first IS NULL) AS misses, round(sum(coalesce(in_10, 0)) / sum(wanted), 6) AS recall_at_10 FROM z""",
     "graph_neighbors": f"WITH {_WIDE} SELECT src AS node, count(*) AS neighbours, min(dst) AS first, max(dst) AS last FROM u GROUP BY 1",
     "in_degree": f"WITH {_WIDE}, d AS (SELECT dst, count(DISTINCT src) AS n FROM e GROUP BY 1) SELECT node, coalesce(n, 0) AS in_degree, round(5 * ln(1 + coalesce(n, 0)), 6) AS centrality FROM v LEFT JOIN d ON dst = node",
     "bfs_distance": f"WITH RECURSIVE {_WIDE}, w(node, distance) AS (SELECT 'r0', 0 UNION SELECT u.dst, w.distance + 1 FROM w JOIN u ON u.src = w.node WHERE w.distance < 30), b AS (SELECT node, min(distance) AS d FROM w GROUP BY 1) SELECT node, {_big('d')} AS distance, round(5.0 / (d + 1), 6) AS proximity FROM (SELECT DISTINCT node FROM v) LEFT JOIN b USING (node)",

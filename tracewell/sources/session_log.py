@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from tracewell.sources.lines import read_ranges, running
 
 PAYLOAD = "timestamp string, session string, payload struct<type: string, role: string, id: string, call_id: string, name: string, input: string, output: string>"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Well-formed lines with their place in the file; malformed ones are left out.
-
-    Places come from the file's offsets: the line number is a window over one file only.
-    """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    parsed = lines.withColumn("r", F.from_json("value", PAYLOAD, {"mode": "PERMISSIVE"})).where(F.col("r.payload").isNotNull())
-    return parsed.select("file", F.row_number().over(W.partitionBy("file").orderBy("at")).cast("long").alias("record_index"), "r.*")
+    """Well-formed lines with their ``line_no``, their ``record_index`` among these, and the ``episode_id``, the user
+    messages of the file so far; malformed lines are left out. Files are read and counted by byte ranges."""
+    parsed = read_ranges(spark, path).withColumn("r", F.from_json("value", PAYLOAD, {"mode": "PERMISSIVE"}))
+    known, message = F.col("r.payload").isNotNull(), F.col("r.payload")
+    user = (message["type"] == "message") & (message["role"] == "user")
+    counted = running(parsed, {"line_no": F.lit(True), "record_index": known, "episode_id": user})
+    return counted.where(known).select("file", "line_no", "record_index", "episode_id", "r.*")
 
 
 def paired_calls(log: DataFrame) -> DataFrame:
     """Calls with their outputs and episodes; the last record of an id wins on each side."""
     kind, text = F.col("payload.type"), F.col("payload")
-    episode = F.sum(((kind == "message") & (text["role"] == "user")).cast("long")).over(W.partitionBy("file").orderBy("record_index").rowsBetween(W.unboundedPreceding, 0))
-    rows = log.withColumn("episode_id", episode).withColumn("call_id", F.coalesce(text["call_id"], text["id"]))
+    rows = log.withColumn("call_id", F.coalesce(text["call_id"], text["id"]))
     call = rows.where(kind.isin("function_call", "custom_tool_call")).groupBy("file", "call_id").agg(F.max_by(F.struct("record_index", "episode_id", text["name"].alias("name"), text["input"].alias("input")), "record_index").alias("c"))
     output = rows.where(kind.isin("function_call_output", "custom_tool_call_output")).groupBy("file", "call_id").agg(F.max_by(text["output"], "record_index").alias("output"))
     joined = call.join(output, ["file", "call_id"]).select("file", "call_id", "c.*", "output")
@@ -31,9 +31,10 @@ def paired_calls(log: DataFrame) -> DataFrame:
 
 
 def fingerprint(log: DataFrame) -> DataFrame:
-    """Per file: records, first and last time, and a histogram of payload types."""
-    types = log.groupBy("file", F.col("payload.type").alias("type")).agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-    return types.groupBy("file").agg(F.sum("n").alias("records"), F.min("first").alias("first"), F.max("last").alias("last"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"))
+    """Per file: records, first and last time in file order, and a histogram of payload types."""
+    at = F.when(F.col("timestamp").isNotNull(), F.struct("record_index", "timestamp"))
+    types = log.groupBy("file", F.col("payload.type").alias("type")).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    return types.groupBy("file").agg(F.sum("n").alias("records"), F.min("first")["timestamp"].alias("first"), F.max("last")["timestamp"].alias("last"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"))
 
 
 def artifact(spark: SparkSession, path: str) -> DataFrame:
