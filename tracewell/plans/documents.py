@@ -147,17 +147,22 @@ def idf_table(spark, sf_dir):
     return discovery.idf_table(discovery.postings(d, "page_id", _tokens("url")), F.lit(n)).withColumn("idf", F.round("idf", 6))
 
 
+def _leads(text, n: int = 5):
+    """Hashes of every ``n`` words in a row; the words are split off once for a text."""
+    hashes = lambda ws: F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(0))), lambda w, k: F.xxhash64(*[F.get(ws, k + d) for d in range(n)]))
+    return F.element_at(F.transform(F.array(F.split(F.trim(text), r"\s+")), hashes), 1)
+
+
 def hit_rate_mrr(spark, sf_dir):
-    """BM25 against the documents that hold an item's whole text as lines of their own.
+    """BM25 against the documents that hold an item's whole text, from the start of a word; items have six words at least.
 
-    Documents with the item's first line are found by its hash, then compared with the whole text.
+    Documents with the item's first five words are found by their hash, then compared with the whole text.
     """
     items, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    framed = F.concat(F.lit("\n"), F.col("text"), F.lit("\n"))
-    marks = items.select("item_id", F.xxhash64(F.substring_index("text", "\n", 1)).alias("mark"), framed.alias("item"))
-    lines = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("doc_id", F.xxhash64("line").alias("mark"))
-    near = marks.join(lines, "mark").select("item_id", "item", "doc_id").distinct()
-    truth = near.join(d.select("doc_id", framed.alias("whole")), "doc_id").where(F.contains("whole", "item")).select("item_id", "doc_id").distinct()
+    marks = items.where(F.size(F.split(F.trim("text"), r"\s+")) > 5).select("item_id", F.get(_leads(F.col("text")), F.lit(0)).alias("mark"), F.col("text").alias("item"))
+    leads = d.select("doc_id", F.explode(F.array_distinct(_leads(F.col("text")))).alias("mark"))
+    near = leads.join(marks, "mark").select("item_id", "item", "doc_id").distinct()
+    truth = near.join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id").distinct()
     return discovery.retrieval_metrics(bm25_topk(spark, sf_dir), truth, "item_id", "doc_id")
 
 
@@ -453,7 +458,7 @@ SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT * FROM top",
     "legacy_topk": f"WITH d AS (SELECT doc_id, unnest({_stems_sql('text')}) AS stem FROM documents), q AS (SELECT item_id, unnest({_stems_sql('text')}) AS stem FROM benchmark), s AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN d USING (stem) GROUP BY 1, 2) SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10",
     "idf_table": f"WITH p AS (SELECT DISTINCT page_id, unnest({_tokens_sql('url')}) AS token FROM pages), f AS (SELECT token, count(*) AS df FROM p GROUP BY 1), z AS (SELECT count(*) AS n FROM pages) SELECT token, df, round(ln((n - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM f, z",
-    "hit_rate_mrr": f"""WITH {_BM25}, tr AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(chr(10) || d.text || chr(10), chr(10) || b.text || chr(10))),
+    "hit_rate_mrr": f"""WITH {_BM25}, tr AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND len(string_split_regex(trim(b.text), '\\s+')) > 5),
       h AS (SELECT item_id, min(rank) AS first, count(*) FILTER (rank <= 5) AS in_5, count(*) FILTER (rank <= 10) AS in_10 FROM top JOIN tr USING (item_id, doc_id) GROUP BY 1), z AS (SELECT * FROM (SELECT item_id, count(*) AS wanted FROM tr GROUP BY 1) LEFT JOIN h USING (item_id))
       SELECT count(*) AS queries, {", ".join(f"round(avg(CASE WHEN first <= {k} THEN 1.0 ELSE 0 END), 6) AS hit_at_{k}" for k in (1, 3, 5, 10))}, {", ".join(f"round(avg(CASE WHEN in_{k} = wanted THEN 1.0 ELSE 0 END), 6) AS all_hits_at_{k}" for k in (5, 10))},
         round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, count(*) FILTER (first IS NULL) AS misses, round(sum(coalesce(in_10, 0)) / sum(wanted), 6) AS recall_at_10 FROM z""",
