@@ -250,7 +250,7 @@ def whole_tokens(vocab: Vocabulary) -> frozenset[str]:
 
 def _weight(part: str, value) -> int:
     """About the bytes that an entry holds: its key, and 36 for each token id."""
-    return 150 + 2 * len(part) + (36 * len(value) if isinstance(value, tuple | list) else 0)
+    return 150 + 2 * len(str(part)) + (36 * len(value) if isinstance(value, tuple | list) else 0)
 
 
 class _Parts:
@@ -284,8 +284,8 @@ class _Parts:
         if missing:
             made = self.compute(missing)
             young.update(zip(missing, made))
-            self.passing = [p for p in missing if len(p) > LONG_PART]
-            self.bytes += sum(_weight(p, v) for p, v in zip(missing, made) if len(p) <= LONG_PART)
+            self.passing = [p for p in missing if len(str(p)) > LONG_PART]
+            self.bytes += sum(_weight(p, v) for p, v in zip(missing, made) if len(str(p)) <= LONG_PART)
         return young
 
 
