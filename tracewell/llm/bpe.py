@@ -34,7 +34,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Entries of one generation of a worker's caches.
 CACHE_ENTRIES = 300_000
 #: Bytes of a generation before it grows old, and characters of a part that is worth keeping.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 128 << 20
 LONG_PART = 64
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -248,25 +248,29 @@ def whole_tokens(vocab: Vocabulary) -> frozenset[str]:
     return frozenset(found)
 
 
-def _weight(part: str, value) -> int:
-    """About the bytes that an entry holds: its key, and 36 for each token id."""
-    return 150 + 2 * len(str(part)) + (36 * len(value) if isinstance(value, tuple | list) else 0)
-
-
 class _Parts:
     """What the parts of texts give, in a cache of two generations that entries and bytes bound.
 
-    ``compute`` gets a list of parts that are not known yet. Parts above LONG_PART characters are forgotten
-    at the next call.
+    ``compute`` gets a list of parts that are not known yet, ``held`` tells the bytes that a list of values
+    holds. Parts above LONG_PART characters are forgotten at the next call.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], entries: int = CACHE_ENTRIES, most: int = CACHE_BYTES):
-        self.compute, self.entries, self.most = compute, entries, most
+    def __init__(self, compute: Callable[[list[str]], list], entries: int = CACHE_ENTRIES, most: int = CACHE_BYTES, held: Callable[[list], int] = lambda values: 0):
+        self.compute, self.entries, self.most, self.held = compute, entries, most, held
         self.young: dict = {}
         self.old: dict = {}
         self.bytes = 0
         self.passing: list[str] = []
 
+    def keep(self, parts: list, values: list) -> None:
+        self.young.update(zip(parts, values))
+        lengths = list(map(len, map(str, parts)))
+        if lengths and max(lengths) > LONG_PART:
+            self.passing += [p for p, n in zip(parts, lengths) if n > LONG_PART]
+            kept = [k for k, n in enumerate(lengths) if n <= LONG_PART]
+            lengths, values = [lengths[k] for k in kept], [values[k] for k in kept]
+        self.bytes += 150 * len(lengths) + 2 * sum(lengths) + self.held(values)
+
     def learn(self, parts) -> dict:
         """A mapping that has every one of ``parts``."""
         for p in self.passing:
@@ -277,28 +281,29 @@ class _Parts:
         young, old = self.young, self.old
         missing = [p for p in parts if p not in young]
         if old and missing:
-            again = [(p, old[p]) for p in missing if p in old]
-            young.update(again)
-            self.bytes += sum(_weight(*x) for x in again)
+            again = [p for p in missing if p in old]
+            self.keep(again, [old[p] for p in again])
             missing = [p for p in missing if p not in young]
         if missing:
-            made = self.compute(missing)
-            young.update(zip(missing, made))
-            self.passing = [p for p in missing if len(str(p)) > LONG_PART]
-            self.bytes += sum(_weight(p, v) for p, v in zip(missing, made) if len(str(p)) <= LONG_PART)
+            self.keep(missing, self.compute(missing))
         return young
 
 
+def _ids_held(values: list) -> int:
+    """About the bytes of tuples of token ids."""
+    return 36 * sum(map(len, values))
+
+
 class _Pieces:
     """Cuts texts into parts, looks the parts up, and has unknown ones worked out together.
 
     ``merge`` maps a list of pre-tokens to their values, ``add`` joins the values of a part.
     """
 
-    def __init__(self, vocab: Vocabulary, merge: Callable[[list[str]], list], add: Callable):
+    def __init__(self, vocab: Vocabulary, merge: Callable[[list[str]], list], add: Callable, held: Callable[[list], int] = lambda values: 0):
         self.vocab, self.add = vocab, add
-        self.known = _Parts(merge)
-        self.rest = _Parts(lambda parts: self.values([" " + p for p in parts]))
+        self.known = _Parts(merge, held=held)
+        self.rest = _Parts(lambda parts: self.values([" " + p for p in parts]), held=held)
 
     def values(self, texts: list[str]) -> list:
         pieces = [self.vocab.pieces(t) for t in texts]
@@ -352,7 +357,7 @@ class Codec:
     def __init__(self, vocab: Vocabulary):
         trees = MergeTrees(vocab)
         self.vocab = vocab
-        self._pieces = _Pieces(vocab, lambda pieces: trees.merge([p.encode() for p in pieces]), lambda values: tuple(chain.from_iterable(values)))
+        self._pieces = _Pieces(vocab, lambda pieces: trees.merge([p.encode() for p in pieces]), lambda values: tuple(chain.from_iterable(values)), _ids_held)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         special = self.vocab.specials
