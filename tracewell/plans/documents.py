@@ -206,7 +206,7 @@ def pagerank(spark, sf_dir, iterations: int = 8):
     return discovery.pagerank(nodes, edges, seeds, iterations=iterations, tolerance=None)
 
 
-def pagerank_converged(spark, sf_dir):
+def walks_converged(spark, sf_dir):
     """Ranks that have settled, for two sets of seeds at once and for none."""
     nodes, edges = _graph(spark, sf_dir)
     seeds = nodes.where(F.col("node").startswith("s")).select(F.lit("suppliers").alias("query"), "node", F.lit(1.0).alias("weight"))
@@ -217,6 +217,11 @@ def pagerank_converged(spark, sf_dir):
     return w.ranks(every).select("query", "node", F.round("rank", 6).alias("rank"))
 
 
+def pagerank_converged(spark, sf_dir):
+    """Ranks that have settled; ``pagerank`` stops where its SQL does, after 8 steps."""
+    return walks_converged(spark, sf_dir).where("query = 'suppliers'").select("node", "rank")
+
+
 def graph_health(spark, sf_dir):
     nodes, edges = _wide_graph(spark, sf_dir)
     d = nodes.join(discovery.neighbours(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")), "node", "left")
@@ -466,7 +471,8 @@ SQL = {
     "in_degree": f"WITH {_WIDE}, d AS (SELECT dst, count(DISTINCT src) AS n FROM e GROUP BY 1) SELECT node, coalesce(n, 0) AS in_degree, round(5 * ln(1 + coalesce(n, 0)), 6) AS centrality FROM v LEFT JOIN d ON dst = node",
     "bfs_distance": f"WITH RECURSIVE {_WIDE}, w(node, distance) AS (SELECT 'r0', 0 UNION SELECT u.dst, w.distance + 1 FROM w JOIN u ON u.src = w.node WHERE w.distance < 30), b AS (SELECT node, min(distance) AS d FROM w GROUP BY 1) SELECT node, {_big('d')} AS distance, round(5.0 / (d + 1), 6) AS proximity FROM (SELECT DISTINCT node FROM v) LEFT JOIN b USING (node)",
     "pagerank": _pagerank_sql(),
-    "pagerank_converged": _walks_sql(),
+    "walks_converged": _walks_sql(),
+    "pagerank_converged": f"SELECT node, rank FROM ({_walks_sql()}) WHERE query = 'suppliers'",
     "graph_health": f"WITH {_WIDE}, d AS (SELECT node, n FROM v LEFT JOIN (SELECT src, count(*) AS n FROM u GROUP BY 1) ON src = node), h AS (SELECT count(*) AS nodes, count(*) FILTER (n IS NULL) AS orphans, {_big('sum(coalesce(n, 0))')} AS ends FROM d), q AS (SELECT *, round((nodes - orphans) / nodes, 4) AS linked_ratio FROM h) SELECT *, CASE WHEN linked_ratio >= 0.85 THEN 'HIGH' WHEN linked_ratio >= 0.5 THEN 'PARTIAL' ELSE 'LOW' END AS status FROM q",
     "label_confusion": f"WITH {_VIEWS} SELECT scope, label, predicted, count(*) AS entries FROM vw GROUP BY 1, 2, 3",
     "label_scope_safety": f"WITH {_VIEWS} SELECT scope, CASE WHEN predicted = label THEN CASE WHEN label = 1 THEN 'SAFE_KEEP' ELSE 'SAFE_DROP' END WHEN predicted = 1 THEN 'UNSAFE_KEEP' ELSE 'MISSED_KEEP' END AS outcome, count(*) AS entries, round(avg(n_chars), 2) AS mean_chars FROM vw GROUP BY 1, 2",
