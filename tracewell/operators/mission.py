@@ -1,4 +1,4 @@
-"""Mission context: when a foundation may be a reference instead of its bytes. Delivery is always raw."""
+"""Mission context: when a foundation may be a reference instead of its bytes, candidates and their restoration. Delivery is always raw."""
 
 from __future__ import annotations
 
@@ -43,6 +43,53 @@ MARKER = '[[CANONICAL {"end":%d,"path":"%s","sha256":"%s","start":%d}]]'
 SAFE_PATH = r"^(?!/)(?!.*(?:^|/)(?:\.{0,2})(?:/|$))[^\x00\r\n]+$"
 
 
+def _cut(data: Column, start: Column, stop: Column) -> Column:
+    """Bytes from ``start`` up to ``stop``; offsets from 0."""
+    return F.substring(data, (start + 1).cast("int"), (stop - start).cast("int"))
+
+
+def _ends(spans: Column) -> Column:
+    """Where each span's predecessor ends; 0 for the first, and one entry more for what follows the last."""
+    return F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["stop"]))
+
+
+def _marker(s: Column) -> Column:
+    return F.format_string(MARKER, s["to"], s["path"], s["sha"], s["from"])
+
+
+def prove_spans(missions: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Missions with ``n``, ``valid``, and their spans in order, each with ``proven`` and the bytes ``shown`` of it.
+
+    What a row can show of itself (layout, repeats) is proven in the row. Of references only the place, the digest of the
+    segment and the span's number travel to the artifacts, and only numbers come back. ``mission`` is a unique id.
+    Without bytes, or with spans that overlap or leave them, a mission is not valid and has no spans.
+    """
+    kind = missions.schema["spans"].dataType
+    by_place = lambda a, b: F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["stop"] < b["stop"])), -1).when((a["start"] == b["start"]) & (a["stop"] == b["stop"]), 0).otherwise(1)
+    m = missions.withColumn("n", F.octet_length("raw").cast("long")).withColumn("spans", F.array_sort(F.coalesce("spans", F.array().cast(kind)), by_place))
+    laid = F.forall(F.zip_with("spans", F.slice(_ends(F.col("spans")), 1, F.size("spans")), lambda s, e: (s["start"] >= e) & (s["stop"] > s["start"]) & (s["stop"] <= F.col("n"))), lambda ok: ok)
+    m = m.withColumn("valid", F.coalesce(F.col("raw").isNotNull() & laid, F.lit(False))).withColumn("spans", F.when(F.col("valid"), F.col("spans")).otherwise(F.array().cast(kind)))
+    claim = lambda s, k: F.struct(k.alias("nth"), s["kind"].alias("kind"), *(s[c].alias(c) for c in ("path", "sha", "from", "to")), F.when(s["kind"] == REFERENCE_CLASS, F.sha2(_cut(F.col("raw"), s["start"], s["stop"]), 256)).alias("piece"))
+    claims = m.select("mission", F.inline(F.filter(F.transform("spans", claim), lambda c: (c["kind"] == REFERENCE_CLASS) & c["path"].rlike(SAFE_PATH) & (c["from"] >= 0) & (c["to"] > c["from"]))))
+    a = artifacts.select(F.col("path"), F.col("sha"), F.col("content").alias("_content"))
+    held = (F.col("to") <= F.octet_length("_content")) & (F.sha2("_content", 256) == F.col("sha")) & (F.sha2(_cut(F.col("_content"), F.col("from"), F.col("to")), 256) == F.col("piece"))
+    found = claims.join(a, ["path", "sha"]).where(held).groupBy("mission").agg(F.collect_set("nth").alias("_found"))
+    m = m.join(found, "mission", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<int>")))
+    allowed = (F.coalesce(F.col("assessment"), F.lit("")) == "NON_SENSITIVE") & ~F.coalesce(contains_sensitive(F.col("raw").cast("string")), F.lit(False))
+    m = m.withColumn("_allowed", allowed).withColumn("_gone", F.filter("spans", lambda s: s["kind"].isin(REFERENCE_CLASS, DUPLICATE)))
+
+    def earlier(s):
+        inside = (s["from"] >= 0) & (s["to"] > s["from"]) & (s["to"] <= s["start"]) & (s["to"] - s["from"] == s["stop"] - s["start"])
+        clear = ~F.exists("_gone", lambda g: (s["from"] < g["stop"]) & (g["start"] < s["to"]))
+        return F.coalesce(inside & clear & (_cut(F.col("raw"), s["from"], s["to"]) == _cut(F.col("raw"), s["start"], s["stop"])), F.lit(False))
+
+    proven = lambda s, k: F.when(s["kind"].isin(INLINE, DELTA), True).when(~F.col("_allowed"), False).when(s["kind"] == REFERENCE_CLASS, F.array_contains("_found", k)).otherwise(earlier(s))
+    size = lambda s: s["stop"] - s["start"]
+    shown = lambda s: F.when(~s["proven"] | s["kind"].isin(INLINE, DELTA), size(s)).when(s["kind"] == DUPLICATE, 0).otherwise(F.least(size(s), F.octet_length(_marker(s)))).cast("long")
+    m = m.withColumn("spans", F.transform("spans", lambda s, k: s.withField("proven", proven(s, k))))
+    return m.withColumn("spans", F.transform("spans", lambda s: s.withField("shown", shown(s)))).drop("_found", "_allowed", "_gone")
+
+
 def account_spans(missions: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Bytes of every mission by class, and the size of the candidate that its proven spans allow.
 
@@ -53,31 +100,67 @@ def account_spans(missions: DataFrame, artifacts: DataFrame) -> DataFrame:
     counts as unknown, as do gaps; classes add up to the mission. Spans that overlap or leave the text
     make the whole mission unknown.
     """
-    m = missions.withColumn("n", F.octet_length("raw").cast("long")).withColumn("spans", F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(F.when(a["stop"] < b["stop"], -1).when(a["stop"] > b["stop"], 1).otherwise(0))))
-    gone = F.filter("spans", lambda s: s["kind"].isin(REFERENCE_CLASS, DUPLICATE))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["stop"]))
-    valid = F.forall(F.zip_with("spans", F.slice(ends, 1, F.size("spans")), lambda s, e: (s["start"] >= e) & (s["stop"] > s["start"]) & (s["stop"] <= F.col("n"))), lambda ok: ok)
-    allowed = (F.coalesce(F.col("assessment"), F.lit("")) == "NON_SENSITIVE") & ~F.coalesce(contains_sensitive(F.col("raw").cast("string")), F.lit(False))
-    m = m.withColumn("gone", gone).withColumn("valid", valid).withColumn("allowed", allowed)
-    s = m.where("valid").select("mission", "raw", "gone", "allowed", F.inline("spans"))
-    cut = lambda c, a, b: F.substring(c, (a + 1).cast("int"), (b - a).cast("int"))
-    segment = cut(F.col("raw"), F.col("start"), F.col("stop"))
-    a = artifacts.select(F.col("path").alias("a_path"), F.col("sha").alias("a_sha"), F.col("content").alias("a_content"))
-    s = s.join(a, (s["path"] == a["a_path"]) & (s["sha"] == a["a_sha"]), "left")
-    same = F.col("path").rlike(SAFE_PATH) & (F.col("from") >= 0) & (F.col("to") > F.col("from")) & (F.col("to") <= F.octet_length("a_content")) & (F.sha2("a_content", 256) == F.col("sha")) & (cut(F.col("a_content"), F.col("from"), F.col("to")) == segment)
-    clear = ~F.exists("gone", lambda g: (F.col("from") < g["stop"]) & (g["start"] < F.col("to")))
-    earlier = (F.col("from") >= 0) & (F.col("to") > F.col("from")) & (F.col("to") <= F.col("start")) & (F.col("to") - F.col("from") == F.col("stop") - F.col("start")) & clear & (cut(F.col("raw"), F.col("from"), F.col("to")) == segment)
-    proven = F.when(F.col("kind").isin(INLINE, DELTA), True).when(~F.col("allowed"), False).when(F.col("kind") == REFERENCE_CLASS, F.coalesce(same, F.lit(False))).otherwise(F.coalesce(earlier, F.lit(False)))
-    size = F.col("stop") - F.col("start")
-    marker = F.octet_length(F.format_string(MARKER, F.col("to"), F.col("path"), F.col("sha"), F.col("from")))
-    s = s.withColumn("proven", proven).withColumn("size", size)
-    shown = F.when(~F.col("proven") | F.col("kind").isin(INLINE, DELTA), F.col("size")).when(F.col("kind") == DUPLICATE, 0).otherwise(F.least(F.col("size"), marker))
-    of = lambda k: F.sum(F.when(F.col("proven") & (F.col("kind") == k), F.col("size")).otherwise(0))
-    sums = s.groupBy("mission").agg(of(INLINE).alias("inline_bytes"), of(DELTA).alias("delta_bytes"), of(REFERENCE_CLASS).alias("reference_bytes"), of(DUPLICATE).alias("duplicate_bytes"), F.sum(F.col("size") - shown).alias("saved"), F.count_if(~F.col("proven")).alias("failures"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = m.select("mission", "n", "valid").join(sums, "mission", "left").select("mission", F.col("n").alias("raw_bytes"), "valid", *map(zero, ("inline_bytes", "delta_bytes", "reference_bytes", "duplicate_bytes", "saved", "failures")))
+    m = prove_spans(missions, artifacts)
+    total = lambda of: F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + of(s).cast("long"))
+    of = lambda k, name: total(lambda s: F.when(s["proven"] & (s["kind"] == k), s["stop"] - s["start"]).otherwise(0)).alias(name)
     known = F.col("inline_bytes") + F.col("delta_bytes") + F.col("reference_bytes") + F.col("duplicate_bytes")
-    return out.withColumn("unknown_bytes", F.col("raw_bytes") - known).withColumn("candidate_bytes", F.col("raw_bytes") - F.col("saved")).drop("saved")
+    out = m.select(
+        "mission", F.col("n").alias("raw_bytes"), "valid", of(INLINE, "inline_bytes"), of(DELTA, "delta_bytes"), of(REFERENCE_CLASS, "reference_bytes"), of(DUPLICATE, "duplicate_bytes"),
+        total(lambda s: F.when(s["proven"], 0).otherwise(1)).alias("failures"), total(lambda s: s["stop"] - s["start"] - s["shown"]).alias("_saved"),
+    )
+    return out.withColumn("unknown_bytes", F.col("raw_bytes") - known).withColumn("candidate_bytes", F.col("raw_bytes") - F.col("_saved")).drop("_saved")
+
+
+def assemble(missions: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Per mission the ``candidate`` bytes and the ``recipe`` that restores the mission from them.
+
+    Everything that :func:`account_spans` counts as saved is left out: a proven reference shows its marker where that is
+    shorter, a proven duplicate nothing. The recipe lists those spans alone, in order. The mission itself is still what
+    is delivered; ``raw_sha`` and ``n`` say what a restoration has to give. A mission that is not valid is its own candidate.
+    """
+    m = prove_spans(missions, artifacts)
+    part = lambda a, b: F.hex(_cut(F.col("raw"), a, b))
+    left_out = lambda s: s["shown"] < s["stop"] - s["start"]
+    text = lambda s: F.when(~left_out(s), part(s["start"], s["stop"])).when(s["kind"] == DUPLICATE, "").otherwise(F.hex(_marker(s).cast("binary")))
+    ends = _ends(F.col("spans"))
+    shown = F.array_join(F.transform("spans", lambda s, k: F.concat(part(F.get(ends, k), s["start"]), text(s))), "")
+    candidate = F.unhex(F.concat(shown, part(F.get(ends, F.size("spans")), F.col("n"))))
+    recipe = F.transform(F.filter("spans", left_out), lambda s: F.struct(*(s[c].alias(c) for c in ("start", "stop", "kind", "path", "sha", "from", "to", "shown"))))
+    return m.select("mission", "valid", "n", F.sha2("raw", 256).alias("raw_sha"), candidate.alias("candidate"), recipe.alias("recipe"))
+
+
+def restore(candidates: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Per candidate of :func:`assemble` its ``outcome``, and the mission's bytes as ``restored`` if every check holds.
+
+    References are fetched by an equal join on path and digest; repeats are copied from the candidate, as their sources
+    lie in what was kept. A marker must stand where the recipe says, an artifact must match its digest, and the whole
+    must match the mission's length and digest; the first of these that fails is the outcome.
+    """
+    c = candidates.select("mission", "n", "raw_sha", "candidate", "recipe")
+    asked = c.select("mission", F.inline(F.filter(F.transform("recipe", lambda g, k: F.struct(k.alias("nth"), *(g[f].alias(f) for f in ("kind", "path", "sha", "from", "to")))), lambda g: g["kind"] == REFERENCE_CLASS)))
+    a = artifacts.select("path", "sha", F.col("content").alias("_content"))
+    piece = F.hex(_cut(F.col("_content"), F.col("from"), F.col("to")))
+    fetched = asked.join(a, ["path", "sha"]).where(F.sha2("_content", 256) == F.col("sha")).groupBy("mission").agg(F.map_from_entries(F.collect_set(F.struct("nth", piece.alias("piece")))).alias("_pieces"))
+    c = c.join(fetched, "mission", "left")
+    # how far the candidate runs ahead of the mission (at most 0) at a place of the mission
+    shift = lambda place: F.aggregate(F.filter("recipe", lambda g: g["stop"] <= place), F.lit(0).cast("long"), lambda acc, g: acc + g["shown"] - (g["stop"] - g["start"]))
+    kept = lambda a, b: F.hex(_cut(F.col("candidate"), a + shift(a), b + shift(a)))
+    ends = _ends(F.col("recipe"))
+    spot = lambda g: g["start"] + shift(g["start"])
+    marked = F.forall("recipe", lambda g: (g["kind"] == DUPLICATE) | (_cut(F.col("candidate"), spot(g), spot(g) + g["shown"]) == _marker(g).cast("binary")))
+    found = F.forall(F.transform("recipe", lambda g, k: (g["kind"] == DUPLICATE) | F.coalesce(F.map_contains_key("_pieces", k), F.lit(False))), lambda ok: ok)
+    whole = F.transform("recipe", lambda g, k: F.concat(kept(F.get(ends, k), g["start"]), F.when(g["kind"] == DUPLICATE, kept(g["from"], g["to"])).otherwise(F.try_element_at("_pieces", k))))
+    last = F.get(ends, F.size("recipe"))
+    c = c.withColumn("_whole", F.unhex(F.concat(F.array_join(whole, ""), kept(last, F.col("n")))))
+    outcome = (
+        F.when(F.col("candidate").isNull(), "NO_CANDIDATE")
+        .when(~F.coalesce(marked, F.lit(False)), "MARKER_MISMATCH")
+        .when(~found, "MISSING_ARTIFACT")
+        .when((F.octet_length("candidate") != F.col("n") + shift(F.col("n"))) | (F.octet_length("_whole") != F.col("n")), "LENGTH_MISMATCH")
+        .when(F.sha2("_whole", 256) != F.col("raw_sha"), "DIGEST_MISMATCH")
+        .otherwise("RESTORED")
+    )
+    return c.withColumn("outcome", outcome).select("mission", "outcome", F.when(F.col("outcome") == "RESTORED", F.col("_whole")).alias("restored"))
 
 
 def span_totals(accounted: DataFrame, quality: str = "quality") -> DataFrame:

@@ -92,6 +92,16 @@ def mission_spans(spark, sf_dir):
     return mission.account_spans(*_missions(spark, sf_dir))
 
 
+def mission_candidates(spark, sf_dir):
+    """Candidates by their digest, and what comes of restoring them; some lose their artifact, some a byte."""
+    missions, artifacts = _missions(spark, sf_dir)
+    i = F.col("mission")
+    c = mission.assemble(missions, artifacts)
+    given = c.withColumn("candidate", F.when(i % 19 == 0, F.substring("candidate", F.lit(1), (F.octet_length("candidate") - 1).cast("int"))).otherwise(F.col("candidate")))
+    r = mission.restore(given, artifacts.where(~F.col("path").endswith("4"))).withColumnRenamed("mission", "_m")
+    return c.join(r, F.col("_m") == i).select("mission", F.sha2("candidate", 256).alias("candidate_sha"), F.size("recipe").cast("long").alias("left_out"), "outcome", F.sha2("restored", 256).alias("restored_sha"))
+
+
 def mission_span_totals(spark, sf_dir):
     a = mission_spans(spark, sf_dir).withColumn("quality", F.when(F.col("mission") % 3 == 0, "SYNTHETIC").otherwise("EXACT"))
     return mission.span_totals(a)
@@ -161,6 +171,9 @@ SQL = {
     "missed_report": f"{_C}, {_LAB}, g AS (SELECT scope, coalesce(bucket, 'OTHER') AS bucket, count(*) AS entries, {_big('sum(n_bytes)')} AS bytes FROM so WHERE outcome = 'SAFE_OPPORTUNITY_MISSED' GROUP BY 1, 2) SELECT *, bytes / 4.0 AS tokens_estimate, round(bytes * 100.0 / sum(bytes) OVER (PARTITION BY scope), 2) AS share_pct FROM g",
     "review_ids": "SELECT CAST(doc_id * 2 AS VARCHAR) AS entry_id FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
     "mission_spans": f"WITH {_MS} SELECT mission, raw_bytes, valid, {', '.join(_big(c) + ' AS ' + c for c in ('inline_bytes', 'delta_bytes', 'reference_bytes', 'duplicate_bytes', 'failures'))}, unknown_bytes, candidate_bytes FROM sp",
+    "mission_candidates": f"""WITH {_MS}, x AS (SELECT mission, hex(encode(t)) AS t, q, dup, ref AND mk < h - q AS cut, hex(encode('[[CANONICAL {{"end":' || h || ',"path":"docs/' || mission || '","sha256":"' || sha256(t) || '","start":' || q || '}}]]')) AS marker FROM p),
+      o AS (SELECT *, unhex(t || CASE WHEN dup THEN '' ELSE t[1:2 * q] END || CASE WHEN cut THEN marker ELSE t[2 * q + 1:] END) AS c, CASE WHEN mission % 19 = 0 AND cut THEN 'MARKER_MISMATCH' WHEN cut AND mission % 10 = 4 THEN 'MISSING_ARTIFACT' WHEN mission % 19 = 0 THEN 'LENGTH_MISMATCH' ELSE 'RESTORED' END AS outcome FROM x)
+      SELECT mission, sha256(c) AS candidate_sha, CAST(dup AS BIGINT) + CAST(cut AS BIGINT) AS left_out, outcome, CASE WHEN outcome = 'RESTORED' THEN sha256(unhex(t || t)) END AS restored_sha FROM o""",
     "mission_span_totals": f"WITH {_MS} SELECT count(*) AS missions, round(median((1 - candidate_bytes / raw_bytes) * 100), 2) AS median_reduction_pct, {_big('sum(reference_bytes + duplicate_bytes)')} AS proven_bytes, {_big('sum(unknown_bytes)')} AS unknown_bytes FROM sp WHERE mission % 3 <> 0",
     "manifest_shadow": """WITH e AS (SELECT doc_id, strlen(text) AS n, '{"e":[' || array_to_string(list_transform(range(1, doc_id % 5 + 2), lambda k: '["R","' || k || '","x"]'), ',') || '],"h":"' || sha256(text) || '","m":"m' || doc_id || '","n":' || strlen(text) || ',"s":"NON_SENSITIVE","v":"MANIFEST_V1"}' || chr(10) AS t FROM documents)
       SELECT doc_id, strlen(t) AS cost, CASE doc_id % 6 WHEN 1 THEN 'FIELDS' WHEN 2 THEN 'FIELDS' WHEN 3 THEN 'ASSESSMENT' WHEN 4 THEN 'LENGTH' END AS error, CASE WHEN doc_id % 6 IN (0, 5) THEN doc_id % 5 + 1 END AS entries, n - strlen(t) AS gain FROM e""",
