@@ -34,10 +34,32 @@ def command_families(spark, sf_dir):
 
 def read_views(spark, sf_dir):
     """Reads among the commands, with one name for what they show."""
-    v = _commands(spark, sf_dir).withColumn("view", commands.read_view(F.col("command"))).where(F.col("view").isNotNull())
+    v = _commands(spark, sf_dir).withColumn("view", commands.read_view(F.col("command"))).where(F.col("view.pure"))
     return v.select("event_id", commands.source_identity(F.col("view.path")).alias("path"), views.view_id(F.col("view.view"), F.col("view.start"), F.col("view.stop"), F.col("command")).alias("view_id"))
 
 
+# Forms in which events read their file and, with the name of what they show and whether they do nothing else.
+FORMS = (
+    ("Get-Content '{p}'", "FULL_FILE", True), ("get-content -LiteralPath \"{p}\" -Tail {n}", "TAIL:{n}", True), ("Get-Content {p} -TotalCount {n}", "LINES:1-{n}", True), ("Get-Content -Head {n} {p}", "LINES:1-{n}", True),
+    ("Get-Content -Path {p} | Select-Object -First {n} -Skip 3", "LINES:4-{m}", True), ("Get-Content '{p}' | select-object -Last {n}", "TAIL:{n}", True), ("$ErrorActionPreference='Stop'; Get-Content '{p}'", "FULL_FILE", True),
+    ("(Get-Content '{p}')[0..{n}]", "LINES:1-{k}", True), ("cat '{p}'", "FULL_FILE", True), ("TYPE {p}", "FULL_FILE", True), ("head -n {n} \"{p}\"", "LINES:1-{n}", True), ("tail -n {n} {p}", "TAIL:{n}", True),
+    ("Get-Content '{p}' | Select-String x", "OTHER", False), ("Get-Content '{p}' | Select-Object -First {n} | Set-Content b", "OTHER", False), ("cd src; Get-Content '{p}'", "OTHER", False), ("cat '{p}' > b.txt", "UNKNOWN", False), ("cat '{p}' && rm b", "UNKNOWN", False), ("sort '{p}'", "UNKNOWN", False),
+)
+
+
+def read_grammar(spark, sf_dir):
+    """Every event as a read in one of many forms: the file by its one name, what is shown of it, and whether nothing else is done."""
+    i = F.col("event_id")
+    path, n = F.concat(F.when(i % 2 == 0, "C:\\Src\\my file ").otherwise("./src//file"), (i % 100).cast("string"), F.lit(".py")), (i % 40 + 1).cast("string")
+    spaced = F.replace(path, F.lit("my file "), F.lit("file"))
+    form = F.get(F.array(*(F.lit(f[0]) for f in FORMS)), (F.floor(i / 2) % len(FORMS)).cast("int"))
+    quoted = form.rlike("['\"]\\{p")
+    command = F.replace(F.replace(form, F.lit("{p}"), F.when(quoted, path).otherwise(spaced)), F.lit("{n}"), n)
+    e = table(spark, sf_dir, "events").select("event_id", command.alias("command")).withColumn("view", commands.read_view(F.col("command")))
+    name = views.view_id(F.col("view.view"), F.col("view.start"), F.col("view.stop"), F.col("command"))
+    return e.select("event_id", commands.source_identity(F.col("view.path")).alias("path"), name.alias("view_id"), F.col("view.pure").alias("pure"))
+
+
 def view_slices(spark, sf_dir):
     """Digest of what a line, tail, byte or whole view of every document shows, and what a recorded digest proves."""
     i = F.col("doc_id")
@@ -163,6 +185,7 @@ def _family_sql(c: str, rest: str) -> str:
       WHEN regexp_matches({c}, '(?i)^(cd|pwd|echo|which|where|sleep|start-sleep|gcloud|get-process|get-ciminstance)\\b') THEN 'OTHER' ELSE {rest} END"""
 
 
+_forms = ", ".join("({}, {}, '{}', {})".format(k, "'" + f.replace("'", "''") + "'", name, pure) for k, (f, name, pure) in enumerate(FORMS))
 _ENV = """en AS (
   SELECT event_id, user_id, CASE WHEN event_id % 13 = 0 OR event_id % 11 = 0 OR event_id % 6 > 2 THEN NULL ELSE 'rg -n x' || event_id || ' src' END AS command,
     'src/a.py:1:x' || chr(10) || CASE WHEN event_id % 4 = 0 THEN 'output truncated' ELSE 'src/a.py:2:y' END || chr(10) AS body, event_id % 7 AS form FROM events
@@ -186,9 +209,13 @@ SQL = {
           CASE WHEN w[1] IN ('cat', 'head', 'tail', 'type') THEN list_filter(w[2:], lambda x: x NOT LIKE '-%' AND contains(x, '.'))[-1] END), '/', '\\') AS target,
         CASE WHEN regexp_matches(command, '\\[\\d+\\.\\.\\d+\\]') THEN {_big("regexp_extract(command, '\\[(\\d+)', 1)")} WHEN contains(command, '-Skip') THEN 10 WHEN regexp_matches(command, 'head -n \\d') THEN 0 END AS start,
         CASE WHEN regexp_matches(command, '\\[\\d+\\.\\.\\d+\\]') THEN {_big("regexp_extract(command, '\\.\\.(\\d+)', 1)")} WHEN contains(command, '-Skip') THEN 15 WHEN regexp_matches(command, 'head -n \\d') THEN {_big("regexp_extract(command, 'head -n (\\d+)', 1)")} END AS stop FROM p""",
-    "read_views": f"""WITH {_CMD} SELECT event_id, CASE WHEN command LIKE 'head -c%' THEN 'd.bin' WHEN command LIKE 'head%' THEN 'b.py' WHEN command LIKE 'tail%' THEN 'c.py' ELSE 'src/a.py' END AS path,
-      CASE WHEN command LIKE 'sed%' THEN 'LINES:1-20' WHEN command LIKE 'head -c%' THEN 'BYTES:0-100' WHEN command LIKE 'head%' THEN 'LINES:1-5' WHEN command LIKE 'tail%' THEN 'TAIL:20' ELSE 'FULL_FILE' END AS view_id
-      FROM c0 WHERE command IN ('cat src/a.py', 'sed -n ''1,20p'' src/a.py', 'head -n 5 ./b.py', 'tail -20 c.py', 'head -c 100 d.bin')""",
+    "read_views": f"""WITH {_CMD} SELECT event_id, CASE WHEN command LIKE 'Get%' THEN 'src/m.py' WHEN command LIKE 'head -c%' THEN 'd.bin' WHEN command LIKE 'head%' THEN 'b.py' WHEN command LIKE 'tail%' THEN 'c.py' ELSE 'src/a.py' END AS path,
+      CASE WHEN command LIKE 'Get%' THEN 'LINES:11-15' WHEN command LIKE 'sed%' THEN 'LINES:1-20' WHEN command LIKE 'head -c%' THEN 'BYTES:0-100' WHEN command LIKE 'head%' THEN 'LINES:1-5' WHEN command LIKE 'tail%' THEN 'TAIL:20' ELSE 'FULL_FILE' END AS view_id
+      FROM c0 WHERE command IN ('cat src/a.py', 'sed -n ''1,20p'' src/a.py', 'head -n 5 ./b.py', 'tail -20 c.py', 'head -c 100 d.bin', 'Get-Content -Path ''src/m.py'' | Select-Object -Skip 10 -First 5')""",
+    "read_grammar": f"""WITH g(place, form, name, pure) AS (VALUES {_forms}), e AS (SELECT event_id, form, name, pure, event_id % 40 + 1 AS n, regexp_matches(form, '[''"]\\{{p') AS quoted, CASE WHEN event_id % 2 = 0 THEN 'C:\\Src\\' || CASE WHEN quoted THEN 'my file ' ELSE 'file' END || (event_id % 100) ELSE './src//file' || (event_id % 100) END || '.py' AS p FROM events JOIN g ON place = event_id // 2 % {len(FORMS)}),
+      c AS (SELECT *, replace(replace(form, '{{p}}', p), '{{n}}', '' || n) AS command FROM e)
+      SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'c:/src/' || CASE WHEN quoted THEN 'my file ' ELSE 'file' END || (event_id % 100) ELSE 'src/file' || (event_id % 100) END || '.py' AS path,
+        CASE WHEN name IN ('OTHER', 'UNKNOWN') THEN name || ':' || left(sha256(command), 12) ELSE replace(replace(replace(name, '{{n}}', '' || n), '{{m}}', '' || (n + 3)), '{{k}}', '' || (n + 1)) END AS view_id, pure FROM c""",
     "view_slices": f"""WITH d AS (SELECT doc_id, 'ascii head' || chr(10) || text AS text, ['FULL_FILE', 'LINE_RANGE', 'TAIL', 'BYTE_RANGE', 'OTHER'][doc_id % 5 + 1] AS view, CASE WHEN doc_id % 3 > 0 THEN doc_id % 4 END AS a, CASE WHEN doc_id % 7 > 0 THEN doc_id % 11 END AS b FROM documents),
       l AS (SELECT *, regexp_extract_all(text, '[^\\r\\n]*(?:\\r\\n|\\n|\\r)|[^\\r\\n]+') AS ls FROM d),
       s AS (SELECT *, CASE view WHEN 'LINE_RANGE' THEN array_to_string(list_slice(ls, greatest(coalesce(a, 1), 1), least(coalesce(b, len(ls)), len(ls))), '') WHEN 'TAIL' THEN array_to_string(list_slice(ls, greatest(len(ls) - coalesce(a, 2), 0) + 1, len(ls)), '')
