@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.functions import sections
-from tracewell.operators import mission
+from tracewell.operators import foundations, mission
+from tracewell.plans import documents
 from tracewell.sources.tables import table
 
 _MODES = ("INLINE_CRITICAL", "REFERENCE_CANONICAL", "DELTA", "DROP_DUPLICATE")
@@ -35,6 +36,32 @@ def section_selection(spark, sf_dir):
     return s.groupBy(F.coalesce("s.fallback", F.lit("SELECTED")).alias("outcome")).agg(F.count("*").alias("docs"), F.sum(F.octet_length("s.content").cast("long") - F.when(F.col("s.fallback").isNull(), 0).otherwise(F.octet_length("raw"))).alias("selected_bytes"))
 
 
+def _foundations(spark, sf_dir):
+    """Every document delivered twice to a session, with facts; some unassessed, some without their fact, some with other facts the second time."""
+    i = F.col("doc_id")
+    fact = lambda name, value: F.struct(F.lit(name).alias("id"), value.alias("value"))
+    head = F.concat(F.lit("task "), i.cast("string"), F.lit("\n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s"), (i % 20).cast("string")).alias("session_id"), F.concat(F.when(i % 7 == 0, F.lit("")).otherwise(head), F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("foundation"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"), F.when(i % 11 != 0, "NON_SENSITIVE").alias("assessment"))
+    facts = F.array(fact("task", F.concat(F.lit("task "), i.cast("string"))), fact("end", F.when((i % 13 == 0) & (F.col("turn") == 1), F.lit("task")).otherwise(F.lit("\n"))))
+    return d.select("*", facts.alias("facts"), (i * 2 + F.col("turn")).alias("at"))
+
+
+def foundation_receipts(spark, sf_dir):
+    """Foundations by why they are canonical or not, with the bytes and occurrences that receipts stand for."""
+    c = foundations.canonicalize(_foundations(spark, sf_dir), "at")
+    return c.groupBy(F.regexp_extract("reason", "^[A-Z0-9_]+", 0).alias("reason"), "turn").agg(F.count("*").alias("deliveries"), F.sum("n_bytes").alias("bytes"), F.sum(F.element_at("required", 2)["times"]).alias("line_ends"))
+
+
+def foundation_recovery(spark, sf_dir):
+    """References of all sessions, some of another session, another length or another digest, recovered from one store."""
+    c = foundations.canonicalize(_foundations(spark, sf_dir), "at")
+    i = F.col("doc_id")
+    text = F.format_string(foundations.REFERENCE, "session_id", F.when(i % 17 == 3, F.sha2(i.cast("string"), 256)).otherwise(F.sha2("foundation", 256)), F.octet_length("foundation") + F.when(i % 17 == 4, 1).otherwise(0))
+    asked = _foundations(spark, sf_dir).where("turn = 0").select("doc_id", F.when(i % 17 == 5, F.lit("s20")).otherwise(F.col("session_id")).alias("session_id"), F.when(i % 17 == 6, F.concat(text, F.lit(" "))).otherwise(text).alias("reference"))
+    r = foundations.recover(asked, foundations.receipts(c), foundations.contents(c))
+    return r.select("doc_id", "outcome", F.sha2("content", 256).alias("sha"))
+
+
 SQL = {
     "mission_modes": r"""
 WITH d AS (
@@ -61,4 +88,12 @@ WITH d AS (
 )
 SELECT outcome, count(*) AS docs, CAST(sum(CASE WHEN outcome = 'SELECTED' THEN strlen('## Part' || chr(10) || 'body' || chr(10) || '### Inner' || chr(10) || 'more' || chr(10)) ELSE 0 END) AS BIGINT) AS selected_bytes FROM o GROUP BY 1
 """
+_secret = f"regexp_matches(regexp_replace(f, {documents._q(documents.text.ANSI)}, '', 'g'), {documents._i(documents.text.SECRET)})"
+_FO = f"""d AS (SELECT doc_id, 's' || doc_id % 20 AS session_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'task ' || doc_id || chr(10) END || coalesce(text, '') || chr(10) AS f, doc_id % 11 = 0 AS unassessed FROM documents),
+  g AS (SELECT *, CASE WHEN unassessed THEN 'ASSESSMENT' WHEN {_secret} THEN 'SENSITIVE' WHEN NOT contains(f, 'task ' || doc_id) THEN 'FACT_MISSING' ELSE 'CANONICAL' END AS r0 FROM d),
+  t AS (SELECT g.*, turn, CASE WHEN r0 = 'CANONICAL' AND turn = 1 AND doc_id % 13 = 0 THEN 'CONTRACT_CHANGED' ELSE r0 END AS reason FROM g, (VALUES (0), (1)) AS v(turn))"""
+SQL["foundation_receipts"] = f"""WITH {_FO} SELECT reason, turn, count(*) AS deliveries, CAST(sum(CASE WHEN reason = 'CANONICAL' THEN strlen(f) END) AS BIGINT) AS bytes,
+  CAST(sum(CASE WHEN reason = 'CANONICAL' THEN strlen(f) - strlen(replace(f, chr(10), '')) END) AS BIGINT) AS line_ends FROM t GROUP BY 1, 2"""
+SQL["foundation_recovery"] = f"""WITH {_FO}, o AS (SELECT *, CASE WHEN doc_id % 17 = 6 THEN 'MALFORMED' WHEN doc_id % 17 = 5 THEN 'CROSS_SESSION' WHEN doc_id % 17 = 3 OR r0 <> 'CANONICAL' THEN 'UNISSUED' WHEN doc_id % 17 = 4 THEN 'LENGTH_MISMATCH' ELSE 'RECOVERED' END AS outcome FROM g)
+  SELECT doc_id, outcome, CASE WHEN outcome = 'RECOVERED' THEN sha256(f) END AS sha FROM o"""
 QUERIES = {name: globals()[name] for name in SQL}
