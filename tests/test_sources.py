@@ -234,11 +234,6 @@ def test_sections_fall_back_in_doubt():
     assert sections.select(b"# A\n``` a`b\n", ["A"])[1] == "UNCERTAIN_FENCE_SYNTAX"
 
 
-def test_budgeted_map_may_go_on_after_a_cut():
-    text, files, cut = sections.budgeted_map([("a.py", ["f()", "g" * 50]), ("b", [])], 20)
-    assert (text, files, cut) == ("a.py:\n  f()\nb:\n", 2, True)
-
-
 def test_symbols_and_imports(spark):
     files = spark.createDataFrame([("p/a.py", "from . import b\nimport p.c as q\nX = 1\nclass K:\n  def m(self):\n    import os\ndef f(): pass\n"), ("p/b.py", ""), ("p/c.py", "def ("), ("p/__init__.py", None)], "path string, text string")
     found = pycode.symbols(files)

@@ -78,22 +78,3 @@ def select_udf():
         return pd.DataFrame([select(bytes(r or b""), [str(x) for x in (w if w is not None else [])]) for r, w in zip(raw, wanted)], columns=["content", "fallback"])
 
     return run
-
-
-def budgeted_map(candidates: Sequence[tuple[str, Sequence[str]]], budget: int) -> tuple[str, int, bool]:
-    """Files with the signatures that fit: (text, files, cut). A file whose signatures were cut may be followed by a smaller one."""
-    out, size, files, cut = [], 0, 0, False
-    for path, signatures in candidates:
-        lines = [f"{path}:\n", *(f"  {s}\n" for s in signatures)]
-        sizes = [len(x.encode()) for x in lines]
-        if size + sizes[0] > budget:
-            return "".join(out), files, True
-        keep, total = 0, 0
-        while keep < len(lines) and size + total + sizes[keep] <= budget:
-            total += sizes[keep]
-            keep += 1
-        cut |= keep < len(lines)
-        out += lines[:keep]
-        size += total
-        files += 1
-    return "".join(out), files, cut

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.functions import sections
+from tracewell.functions import maps, sections
 from tracewell.operators import foundations, mission
 from tracewell.plans import documents
 from tracewell.sources.tables import table
@@ -62,6 +62,14 @@ def foundation_recovery(spark, sf_dir):
     return r.select("doc_id", "outcome", F.sha2("content", 256).alias("sha"))
 
 
+def signature_map(spark, sf_dir):
+    """Every document as files, one a line, with the line's words as signatures, in a map of a budget of its own."""
+    i = F.col("doc_id")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, k: F.struct(F.concat(F.lit("L"), k.cast("string")).alias("path"), F.split(line, " ").alias("signatures")))
+    m = table(spark, sf_dir, "documents").select("doc_id", maps.budgeted_map(lines, 200 + i % 300).alias("m"))
+    return m.select("doc_id", F.sha2("m.text", 256).alias("sha"), "m.n_bytes", "m.tokens_estimate", "m.files", "m.candidates", "m.cut")
+
+
 SQL = {
     "mission_modes": r"""
 WITH d AS (
@@ -88,6 +96,15 @@ WITH d AS (
 )
 SELECT outcome, count(*) AS docs, CAST(sum(CASE WHEN outcome = 'SELECTED' THEN strlen('## Part' || chr(10) || 'body' || chr(10) || '### Inner' || chr(10) || 'more' || chr(10)) ELSE 0 END) AS BIGINT) AS selected_bytes FROM o GROUP BY 1
 """
+SQL["signature_map"] = """WITH RECURSIVE d AS (SELECT doc_id, 200 + doc_id % 300 AS budget, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+  f AS (SELECT doc_id, budget, unnest(range(len(ls))) AS k, unnest(list_transform(ls, lambda l: string_split(l, ' '))) AS w FROM d),
+  r AS (
+    SELECT doc_id, CAST(-1 AS BIGINT) AS k, '' AS t, CAST(0 AS BIGINT) AS files, false AS cut, false AS over FROM d
+    UNION ALL
+    SELECT doc_id, k, t || CASE WHEN n > 0 THEN 'L' || k || ':' || chr(10) || array_to_string(list_transform(w[1:n - 1], lambda s: '  ' || s || chr(10)), '') ELSE '' END, files + CAST(n > 0 AS INT), cut OR n <= len(w), n = 0
+    FROM (SELECT r.doc_id, f.k, t, files, cut, w, len(list_filter(range(len(w) + 1), lambda j: strlen(t) + strlen('L' || f.k) + 2 + strlen(array_to_string(w[1:j], '')) + 3 * j <= budget)) AS n FROM r JOIN f ON f.doc_id = r.doc_id AND f.k = r.k + 1 WHERE NOT over)
+  ), z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS back FROM r)
+SELECT doc_id, sha256(t) AS sha, strlen(t) AS n_bytes, CAST(ceil(strlen(t) / 4) AS BIGINT) AS tokens_estimate, files, CAST(len(ls) AS BIGINT) AS candidates, cut FROM z JOIN d USING (doc_id) WHERE back = 1"""
 _secret = f"regexp_matches(regexp_replace(f, {documents._q(documents.text.ANSI)}, '', 'g'), {documents._i(documents.text.SECRET)})"
 _FO = f"""d AS (SELECT doc_id, 's' || doc_id % 20 AS session_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'task ' || doc_id || chr(10) END || coalesce(text, '') || chr(10) AS f, doc_id % 11 = 0 AS unassessed FROM documents),
   g AS (SELECT *, CASE WHEN unassessed THEN 'ASSESSMENT' WHEN {_secret} THEN 'SENSITIVE' WHEN NOT contains(f, 'task ' || doc_id) THEN 'FACT_MISSING' ELSE 'CANONICAL' END AS r0 FROM d),
