@@ -60,6 +60,17 @@ def stream_vs_batch(spark, sf_dir):
     return batch.join(stream, "event_id", "full_outer").agg(F.count("*").alias("calls"), F.count_if(same).alias("matched"), F.count_if(~same).alias("mismatched"))
 
 
+#: Milliseconds without a call after which a session of the bounded stream ends: four hours.
+IDLE = 4 * 3_600_000
+
+
+def stream_sessions(spark, sf_dir, batches: list | None = None):
+    """First deliveries in a stream whose sessions end when idle, and begin anew afterwards."""
+    calls = tool_calls(table(spark, sf_dir, "events")).select("session_id", "call_index", "event_id", "sha", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    bounds = stateful.Bounds("ts", IDLE)
+    return _through(calls, lambda rows: stateful.first_deliveries(rows, bounds), stateful.FIRST, "ms", batches=batches)
+
+
 def _reads(spark, sf_dir):
     k = F.col("k")
     reads = tool_calls(table(spark, sf_dir, "events")).where(F.col("tool_family") == "FILE_READ")
@@ -100,6 +111,10 @@ def stream_ledger(spark, sf_dir):
 
 SQL = {
     "stream_vs_batch": "SELECT count(*) AS calls, count(*) AS matched, CAST(0 AS BIGINT) AS mismatched FROM events",
+    "stream_sessions": f"""WITH {TOOL_CALLS_SQL}, g AS (SELECT *, CAST(epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY session_id ORDER BY call_index) > {IDLE} AS INT) AS gap FROM tool_calls),
+      p AS (SELECT *, sum(coalesce(gap, 0)) OVER (PARTITION BY session_id ORDER BY call_index) AS part FROM g), f AS (SELECT *, min(call_index) OVER (PARTITION BY session_id, part, sha) AS first_index FROM p),
+      n AS (SELECT *, CAST(sum(CAST(call_index = first_index AS INT)) OVER (PARTITION BY session_id, part ORDER BY call_index) AS BIGINT) AS num FROM f)
+      SELECT session_id, call_index, event_id, call_index = first_index AS is_first, max(CASE WHEN call_index = first_index THEN num END) OVER (PARTITION BY session_id, part, sha) AS receipt_no, first_index FROM n""",
     "stream_receipts": f"WITH {_READS} SELECT session_id, call_index, event_id, decision, receipt_no, distance FROM r7",
     "stream_receipts_vs_batch": "SELECT count(*) AS reads, CAST(0 AS BIGINT) AS decision_differs, CAST(0 AS BIGINT) AS receipt_no_differs, CAST(0 AS BIGINT) AS distance_differs FROM events WHERE event_type = 'view'",
     "stream_pairing": f"""WITH {TOOL_CALLS_SQL}, r AS (SELECT session_id, call_index AS i, event_id, k % 3 <> 0 AS is_call, 'c' || (call_index // 8 * 4 + event_id % 4) AS call_id FROM tool_calls),

@@ -8,9 +8,11 @@ a log gives them; rows of one batch are put in order here, and a record that is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewell.sources.ship import ship
@@ -24,11 +26,25 @@ def use_map_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """When a session ends: the column of event times, milliseconds without a record, and how late records may come."""
+
+    time: str
+    idle: int
+    late: str = "0 seconds"
+
+
 class _Ordered(StatefulProcessor):
     """Rows of a batch in order, without those decided before."""
 
+    def __init__(self, idle: int | None = None) -> None:
+        self.idle = idle
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "last long, receipts long")
+        self.newest = handle.getValueState("newest", "at long") if self.idle is not None else None
         self.declare(handle)
 
     def declare(self, handle: StatefulProcessorHandle) -> None:
@@ -39,19 +55,41 @@ class _Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, receipts = self.last.get() or (-1, 0)
+        before = newest = (self.newest.get() or (None,))[0] if self.newest else None
         out = []
         self.cache: dict = {}
         for row in pd.concat(list(rows)).sort_values(self.order, kind="stable").itertuples(index=False):
             at = int(getattr(row, self.order))
             if at > last:
+                if self.newest and not pd.isna(row.event_ms):
+                    if newest is not None and row.event_ms - newest > self.idle:
+                        self.forget()
+                        receipts = 0
+                    newest = int(row.event_ms) if newest is None else max(newest, int(row.event_ms))
                 made, receipts = self.decide(row, receipts)
                 last = at
                 if made is not None:
                     out.append((key[0], *made))
         self.flush()
         self.last.update((last, receipts))
+        if newest != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.idle)
+            self.handle.registerTimer(newest + self.idle)
+            self.newest.update((newest,))
         yield pd.DataFrame(out, columns=self.columns)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        self.last.clear()
+        self.newest.clear()
+        yield pd.DataFrame([], columns=self.columns)
+
+    def forget(self) -> None:
+        """The session's entries go, those not yet written as well."""
+        self.cache = {}
+        self.state.clear()
+
     def look(self, state, key: tuple):
         """An entry of map state, read once a batch and written back by ``flush``."""
         if key not in self.cache:
@@ -70,6 +108,14 @@ class _Ordered(StatefulProcessor):
         pass
 
 
+def _by_session(rows: DataFrame, kind: type[_Ordered], schema: str, bounds: Bounds | None) -> DataFrame:
+    use_map_state(rows.sparkSession)
+    if bounds is None:
+        return rows.groupBy("session_id").transformWithStateInPandas(kind(), schema, "Append", "None")
+    timed = rows.withWatermark(bounds.time, bounds.late).withColumn("event_ms", F.unix_millis(F.col(bounds.time).cast("timestamp")))
+    return timed.groupBy("session_id").transformWithStateInPandas(kind(bounds.idle), schema, "Append", "EventTime")
+
+
 class _First(_Ordered):
     order, columns = "call_index", ["session_id", "call_index", "event_id", "is_first", "receipt_no", "first_index"]
 
@@ -89,10 +135,9 @@ class _First(_Ordered):
 FIRST = "session_id string, call_index long, event_id long, is_first boolean, receipt_no long, first_index long"
 
 
-def first_deliveries(calls: DataFrame) -> DataFrame:
+def first_deliveries(calls: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Per arriving call: whether its content is new to the session, the receipt, and where it was first."""
-    use_map_state(calls.sparkSession)
-    return calls.groupBy("session_id").transformWithStateInPandas(_First(), FIRST, "Append", "None")
+    return _by_session(calls, _First, FIRST, bounds)
 
 
 class _Reads(_Ordered):
@@ -123,10 +168,9 @@ class _Reads(_Ordered):
 READS = "session_id string, call_index long, event_id long, decision string, receipt_no long, distance long"
 
 
-def read_receipts(reads: DataFrame) -> DataFrame:
+def read_receipts(reads: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Per arriving read (source, view, sha, n_bytes): the decision of ``operators.receipts``, made one by one."""
-    use_map_state(reads.sparkSession)
-    return reads.groupBy("session_id").transformWithStateInPandas(_Reads(), READS, "Append", "None")
+    return _by_session(reads, _Reads, READS, bounds)
 
 
 class _Pairs(_Ordered):
@@ -153,7 +197,6 @@ class _Pairs(_Ordered):
 PAIRS = "session_id string, call_id string, call_event long, output_event long"
 
 
-def pair_calls(records: DataFrame) -> DataFrame:
+def pair_calls(records: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Each call id once: the first output that arrives after a call, with the call that arrived last before it."""
-    use_map_state(records.sparkSession)
-    return records.groupBy("session_id").transformWithStateInPandas(_Pairs(), PAIRS, "Append", "None")
+    return _by_session(records, _Pairs, PAIRS, bounds)
