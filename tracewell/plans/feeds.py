@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import feed, ranking
+from tracewell.operators import feed, observer, ranking, receipts
+from tracewell.plans.sessions import _READS
 from tracewell.plans.walk_sql import walk_sql
 from tracewell.sources.tables import TOOL_CALLS_SQL, table, tool_calls
 
@@ -77,6 +78,35 @@ def feed_paths(spark, sf_dir):
     return feed.repeated_paths(_records(spark, sf_dir))
 
 
+def _observed(spark, sf_dir):
+    """Calls with what a shadow made of them: reads with their receipts' decisions, searches grouped or not, listings as orientations."""
+    k, c = F.col("k"), tool_calls(table(spark, sf_dir, "events"))
+    is_read = F.col("tool_family") == "FILE_READ"
+    view = F.when(k % 17 == 0, None).when(k % 2 == 0, "FULL_FILE").otherwise("LINE_RANGE")
+    reads = receipts.receipt_decisions(c.where(is_read), F.when(k % 13 != 0, F.col("target_path")), view).select(*c.columns, "decision", "avoided_bytes")
+    every = reads.unionByName(c.where(~is_read), allowMissingColumns=True)
+    searched = (F.col("tool_family") == "SEARCH") & (k % 5 > 0)
+    return every.withColumns({
+        "grouped": F.when(searched, F.get(F.array(*map(F.lit, ("APPLICABLE", "NO_GAIN", "REJECTED"))), (k % 3).cast("int"))), "grouped_avoided": F.floor(F.col("n_bytes") / 2),
+        "orientation": F.when(F.col("tool_family") == "DIRECTORY_LIST", F.when(k % 2 == 0, "PRODUCED").otherwise("FAILED")), "applied": F.when(k % 31 != 0, k % 4 == 0),
+    })
+
+
+def lab_counters(spark, sf_dir):
+    return observer.lab_counters(_observed(spark, sf_dir))
+
+
+_FEED_SUMS = ("tool_calls", "tool_output_bytes", "file_read_bytes", "first_reads", "repeated_reads", "identical_reread_events", "reference_candidates", "reference_bytes_avoided", "discovery_queries", "grouped_applicable", "grouped_bytes_avoided", "proven_search_events", "turns")
+
+
+def session_feed(spark, sf_dir):
+    """Telemetry records made from observed calls, written, parsed back and checked against every rule."""
+    r = observer.session_records(_observed(spark, sf_dir), "owner/name", "a" * 40, "b" * 64)
+    back = feed.parse(r.select(feed.serialize(r).alias("value")))
+    v = F.col("record")
+    return back.select(v["session_id_hash"].alias("session_id_hash"), F.coalesce("error", F.array_join(feed.violations(v), ",")).alias("errors"), *(v[f].alias(f) for f in _FEED_SUMS), F.size(v["paths"]).cast("long").alias("paths"), v["family_bytes"]["OTHER"].alias("other_bytes"), v["waste_counts"]["DISCOVERY_WASTE_CANDIDATE"].alias("discovery_waste"))
+
+
 def _code(spark, sf_dir):
     """Files, symbols, edges and tasks made of suppliers and nations."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
@@ -216,4 +246,17 @@ SQL = {
     "last_edge_wins": "SELECT 'a/s' || l_suppkey AS src, 'b/n' || l_partkey % 20 AS dst, arg_max(CASE WHEN l_linenumber % 2 = 0 THEN 'RUNTIME' ELSE 'TYPE_CHECKING' END, (l_orderkey, l_linenumber, l_partkey)) AS kind FROM lineitem GROUP BY 1, 2",
     "symbol_search": "SELECT 'tableNATION_' || n_nationkey AS wanted, 'lib/' || lower(n_name) || '.py' AS path, 'Table' || n_name AS name, CAST(9 AS BIGINT) AS line, false AS exact FROM nation",
 }
+_OB = f"""{_READS}, o0 AS (SELECT t.*, r.decision, r.avoided_bytes, CASE WHEN t.tool_family = 'SEARCH' AND t.k % 5 > 0 THEN ['APPLICABLE', 'NO_GAIN', 'REJECTED'][t.k % 3 + 1] END AS grouped, t.n_bytes // 2 AS half,
+  CASE WHEN t.tool_family = 'DIRECTORY_LIST' THEN t.k % 2 = 0 END AS produced, t.k % 31 <> 0 AND t.k % 4 = 0 AS applied FROM tool_calls t LEFT JOIN r7 r ON r.event_id = t.event_id)"""
+_sum = lambda when, what: f"CAST(coalesce(sum({what}) FILTER ({when}), 0) AS BIGINT)"
+_can, _grp = "decision = 'HISTORICAL_IDENTICAL'", "grouped = 'APPLICABLE'"
+_part = {f"{how}_{what}": _sum(f"{sign} applied AND {when}", n) for how, sign in (("a", ""), ("s", "NOT")) for what, when, n in (("r", _can, "avoided_bytes"), ("g", _grp, "half"))}
+SQL["lab_counters"] = f"""WITH {_OB} SELECT count(*) AS events_seen, count(produced) AS discovery_queries, count_if(produced) AS orientations_produced, count_if(NOT produced) AS discovery_failures, count(grouped) AS grouped_evaluated, count_if({_grp}) AS grouped_eligible,
+  count_if(grouped = 'NO_GAIN') AS grouped_no_gain, count_if(grouped = 'REJECTED') AS grouped_rejected, count_if({_grp} AND applied) AS grouped_transformed, count(grouped) - count_if({_grp} AND applied) AS grouped_raw, count(decision) AS read_evaluations, count_if({_can}) AS reference_candidates,
+  count(decision) - count_if({_can} AND applied) AS raw_reads, count_if(exit_code = 1 AND NOT applied) AS failures_kept_raw, {_part['a_r']} + {_part['a_g']} AS actual_bytes, {_part['a_g']} AS actual_grouped_bytes, {_part['s_r']} + {_part['s_g']} AS shadow_bytes, {_part['s_r']} AS shadow_read_bytes, {_part['s_g']} AS shadow_grouped_bytes FROM o0"""
+_same = "decision IN ('HISTORICAL_IDENTICAL', 'NOT_ECONOMIC')"
+SQL["session_feed"] = f"""WITH {_OB} SELECT sha256(session_id) AS session_id_hash, '' AS errors, count(*) AS tool_calls, {_sum('true', 'n_bytes')} AS tool_output_bytes, {_sum('decision IS NOT NULL', 'n_bytes')} AS file_read_bytes, count_if(decision = 'FIRST_READ') AS first_reads,
+  count_if({_same} OR decision = 'SOURCE_CHANGED') AS repeated_reads, count_if({_same}) AS identical_reread_events, count_if({_can}) AS reference_candidates, {_sum(_can, 'avoided_bytes')} AS reference_bytes_avoided, count(produced) AS discovery_queries, count_if({_grp}) AS grouped_applicable, {_sum(_grp, 'half')} AS grouped_bytes_avoided,
+  count_if(grouped IN ('APPLICABLE', 'NO_GAIN')) AS proven_search_events, count(DISTINCT episode_id) AS turns, count(DISTINCT CASE WHEN decision IS NOT NULL THEN target_path END) AS paths,
+  nullif({_sum("tool_family NOT IN ('FILE_READ', 'SEARCH', 'TEST')", 'n_bytes')}, 0) AS other_bytes, nullif(count(produced), 0) AS discovery_waste FROM o0 GROUP BY session_id"""
 QUERIES = {name: globals()[name] for name in SQL}
