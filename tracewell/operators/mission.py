@@ -74,9 +74,10 @@ def prove_spans(missions: DataFrame, artifacts: DataFrame) -> DataFrame:
     a = artifacts.select(F.col("path"), F.col("sha"), F.col("content").alias("_content"))
     held = (F.col("to") <= F.octet_length("_content")) & (F.sha2("_content", 256) == F.col("sha")) & (F.sha2(_cut(F.col("_content"), F.col("from"), F.col("to")), 256) == F.col("piece"))
     found = claims.join(a, ["path", "sha"]).where(held).groupBy("mission").agg(F.collect_set("nth").alias("_found"))
-    m = m.join(found, "mission", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<int>")))
     allowed = (F.coalesce(F.col("assessment"), F.lit("")) == "NON_SENSITIVE") & ~F.coalesce(contains_sensitive(F.col("raw").cast("string")), F.lit(False))
-    m = m.withColumn("_allowed", allowed).withColumn("_gone", F.filter("spans", lambda s: s["kind"].isin(REFERENCE_CLASS, DUPLICATE)))
+    # scanned once a mission: below the join, the scan cannot be drawn into the steps over spans
+    m = m.withColumn("_allowed", allowed).join(found, "mission", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<int>")))
+    m = m.withColumn("_gone", F.filter("spans", lambda s: s["kind"].isin(REFERENCE_CLASS, DUPLICATE)))
 
     def earlier(s):
         inside = (s["from"] >= 0) & (s["to"] > s["from"]) & (s["to"] <= s["start"]) & (s["to"] - s["from"] == s["stop"] - s["start"])
