@@ -58,6 +58,14 @@ def test_records_without_place_or_id(spark):
     assert paired(spark, [], 2) == []
 
 
+def test_small_sessions_share_tasks_and_ranges_are_made_once(spark):
+    records = spark.createDataFrame([(f"s{s}", k, "c", k % 2 == 0) for s in range(50) for k in range(4)], RECORDS)
+    got = pairing.bounded_pairs(records, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("ExistingRDD") == 1  # for records without a place
+    assert sorted({(r.state, r.call_index, r.output_index) for r in got.collect()}) == [("PAIRED", 0, 1), ("PAIRED", 2, 3)]
+
+
 def test_streams_carry_state_over_batches(spark):
     batches: list = []
     assert streams.stream_pairing(spark, SF, batches).count() > 20

@@ -7,22 +7,27 @@ their output no longer count.
 What becomes of a call depends only on records after it, as older calls are always given up first. So
 every range of a session's records is worked through on its own from an empty queue, which decides all
 its calls but the at most ``pending`` that still wait at its end. Those meet the ranges after them in
-short: the first record of each of their ids, and how many calls had waited at most until then. Both
-steps hold one range, or one session's summaries, in a task; a session of any length is spread.
+short: the first record of each of their ids, and how many calls had waited at most until then. Ranges, and
+sessions' summaries, are run through in order, and a session of any length is spread over its ranges.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from tracewell.sources.scratch import Steps
 from tracewell.sources.ship import ship
 
-STATE = "session_id {s}, call_id {c}, call_index long, state string, output_index long"
-_PART = "session_id {s}, part long, kind string, call_id {c}, at long, is_call boolean, peak long, state string, output_index long"
+_STATE = "session_id call_id call_index state output_index"
+_PART = "session_id part kind call_id at is_call peak state output_index"
+_TYPES = {"kind": StringType(), "state": StringType(), "is_call": BooleanType()} | {c: LongType() for c in ("part", "at", "peak", "call_index", "output_index")}
 
 
 class Queue:
@@ -44,37 +49,76 @@ class Queue:
         return settled
 
 
-def _range(rows: pd.DataFrame, pending: int) -> list[tuple]:
-    """One range by itself: settled calls, first records of ids with the peak before them, and what waits at its end."""
-    queue, seen, out = Queue(pending), set(), []
-    for call_id, at, is_call in zip(rows["call_id"], rows["at"], rows["is_call"]):
-        if call_id not in seen:
-            seen.add(call_id)
-            out.append(("FIRST", call_id, at, is_call, queue.peak, None, None))
-        out += [("SETTLED", c, i, True, None, state, o) for c, i, state, o in queue.take(call_id, at, is_call)]
-    out += [("WAITING", c, i, True, None, None, None) for c, i in queue.waiting.items()]
-    return [*out, ("END", None, None, None, queue.peak, None, None)]
+class _Ranges:
+    """Ranges one after another: settled calls, first records of ids with the peak before them, and what waits at the end of each."""
 
+    def __init__(self, pending: int):
+        self.pending, self.queue, self.seen = pending, Queue(pending), set()
+
+    def take(self, call_id, at: int, is_call: bool, *_) -> list[tuple]:
+        out = []
+        if call_id not in self.seen:
+            self.seen.add(call_id)
+            out.append(("FIRST", call_id, at, is_call, self.queue.peak, None, None))
+        return out + [("SETTLED", c, i, True, None, state, o) for c, i, state, o in self.queue.take(call_id, at, is_call)]
+
+    def end(self) -> list[tuple]:
+        out = [("WAITING", c, i, True, None, None, None) for c, i in self.queue.waiting.items()]
+        out.append(("END", None, None, None, self.queue.peak, None, None))
+        self.queue, self.seen = Queue(self.pending), set()
+        return out
+
+
+class _Sessions:
+    """Calls that were waiting at the end of a range, followed through the summaries of those after it, session by session."""
+
+    def __init__(self, pending: int):
+        self.pending, self.old = pending, OrderedDict()
+
+    def take(self, kind: str, call_id, at: int | None, is_call: bool | None, peak: int | None, *_) -> list[tuple]:
+        if kind == "WAITING":
+            self.old[call_id] = at
+            return []
+        out = []
+        while self.old and peak + len(self.old) > self.pending:
+            out.append((*self.old.popitem(last=False), "EVICTED", None))
+        if kind == "FIRST" and call_id in self.old:
+            out.append((call_id, self.old.pop(call_id), *(("REPLACED", None) if is_call else ("PAIRED", at))))
+        return out
 
-def _compose(rows: pd.DataFrame, pending: int) -> list[tuple]:
-    """Calls that were waiting at the end of a range, followed through the summaries of those after it."""
-    old: OrderedDict = OrderedDict()
-    out = []
+    def end(self) -> list[tuple]:
+        out = [(c, i, "WAITING", None) for c, i in self.old.items()]
+        self.old = OrderedDict()
+        return out
 
-    def give_up(own: int) -> None:
-        while old and own + len(old) > pending:
-            c, i = old.popitem(last=False)
-            out.append((c, i, "EVICTED", None))
 
-    order = {"FIRST": 0, "END": 1, "WAITING": 2}
-    for r in rows.assign(step=rows["kind"].map(order)).sort_values(["part", "step", "at"], kind="stable").itertuples(index=False):
-        if r.kind == "WAITING":
-            old[r.call_id] = int(r.at)
-            continue
-        give_up(int(r.peak))
-        if r.kind == "FIRST" and r.call_id in old:
-            out.append((r.call_id, old.pop(r.call_id), *(("REPLACED", None) if r.is_call else ("PAIRED", int(r.at)))))
-    return out + [(c, i, "WAITING", None) for c, i in old.items()]
+def _through(rows: DataFrame, by: list[str], order: list[str], kind: type, pending: int, schema: StructType) -> DataFrame:
+    """What ``kind`` makes of the rows of each key in order, behind the key.
+
+    Spark sorts the rows, and a task runs through its keys in Arrow batches: a small key costs no more than its rows.
+    """
+    n, out = len(by), to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, made = kind(pending), None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != key:
+                    if key is not None:
+                        made += [key + m for m in held.end()]
+                    key = row[:n]
+                made += [key + m for m in held.take(*row[n:])]
+            yield _batch(made, out)
+            made = []
+        if key is not None:
+            yield _batch([key + m for m in held.end()], out)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def bounded_pairs(records: DataFrame, pending: int, width: int = 1 << 16) -> DataFrame:
@@ -84,24 +128,20 @@ def bounded_pairs(records: DataFrame, pending: int, width: int = 1 << 16) -> Dat
     end; UNPLACED, without session, id or place. Outputs that find no waiting call settle nothing. At
     equal places calls come first.
     """
-    spark = records.sparkSession
-    ship(spark)
-    kinds = {"s": records.schema["session_id"].dataType.simpleString(), "c": records.schema["call_id"].dataType.simpleString()}
+    ship(records.sparkSession)
+    kinds = {c: records.schema[c].dataType for c in ("session_id", "call_id")}
+    typed = lambda spec: StructType([StructField(c, kinds.get(c) or _TYPES[c]) for c in spec.split()])
     rows = records.select("session_id", "call_id", F.col("record_index").cast("long").alias("at"), F.coalesce("is_call", F.lit(False)).alias("is_call"))
     unplaced = F.col("session_id").isNull() | F.col("call_id").isNull() | F.col("at").isNull()
     lost = rows.where(unplaced & F.col("is_call")).select("session_id", "call_id", F.col("at").alias("call_index"), F.lit("UNPLACED").alias("state"), F.lit(None).cast("long").alias("output_index"))
-    placed = rows.where(~unplaced).withColumn("part", F.floor(F.col("at") / width))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["at", "is_call"], ascending=[True, False], kind="stable")
-        return pd.DataFrame([(*key, *row) for row in _range(ordered, pending)], columns=["session_id", "part", "kind", "call_id", "at", "is_call", "peak", "state", "output_index"])
-
-    def all_(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *row) for row in _compose(pdf, pending)], columns=["session_id", "call_id", "call_index", "state", "output_index"])
+    placed = rows.where(~unplaced).select("session_id", F.floor(F.col("at") / width).alias("part"), "call_id", "at", "is_call", (~F.col("is_call")).alias("_late"))
 
-    parts = placed.groupBy("session_id", "part").applyInPandas(one, _PART.format(**kinds))
+    # what is made of the ranges is read four times, but made once
+    ranges = _through(placed, ["session_id", "part"], ["at", "_late", "call_id"], _Ranges, pending, typed(_PART))
+    parts = Steps(records.sparkSession, "ranges").append(ranges)
     waiting = parts.where("kind = 'WAITING'")
     touched = parts.where("kind = 'FIRST'").join(waiting.select("session_id", "call_id").distinct(), ["session_id", "call_id"], "left_semi").select(parts.columns)
-    rest = waiting.union(touched).union(parts.where("kind = 'END'")).groupBy("session_id").applyInPandas(all_, STATE.format(**kinds))
+    summary = waiting.union(touched).union(parts.where("kind = 'END'")).select("session_id", "kind", "call_id", "at", "is_call", "peak", "part", F.when(F.col("kind") == "FIRST", 0).when(F.col("kind") == "END", 1).otherwise(2).alias("_step"))
+    rest = _through(summary, ["session_id"], ["part", "_step", "at"], _Sessions, pending, typed(_STATE))
     settled = parts.where("kind = 'SETTLED'").select("session_id", "call_id", F.col("at").alias("call_index"), "state", "output_index")
     return settled.union(rest).union(lost)
