@@ -53,3 +53,10 @@ def test_recovery(spark):
     assert [r["outcome"] for r in foundations.recover(own, given, store.withColumn("content", F.overlay(F.col("content"), F.lit(b"X"), F.lit(1)))).collect()] == ["INTEGRITY"]
     assert [r["outcome"] for r in foundations.recover(own, given, store.where("false")).collect()] == ["MISSING"]
     assert foundations.recover(refs.where("false"), given, store).collect() == [] and canonical(spark, []).collect() == []
+
+
+def test_texts_are_screened_once(spark):
+    c = canonical(spark, [("s", 1, TEXT, FACTS, OK)])
+    for df in (c, foundations.receipts(c), foundations.contents(c)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "RLIKE" not in plan and "ArrowEvalPython" not in plan and "ExistingRDD" not in plan

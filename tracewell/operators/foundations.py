@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import contains_sensitive, occurrences
+from tracewell.sources.scratch import Steps
 
 # Names that a session may have.
 SESSION = r"\A[A-Za-z0-9][A-Za-z0-9_.-]{0,127}\z"
@@ -48,15 +49,17 @@ def canonicalize(rows: DataFrame, order: str) -> DataFrame:
     )
     d = rows.withColumn("reason", eligible).withColumn("sha", F.when(F.col("reason").isNull(), F.sha2("foundation", 256)))
     d = d.withColumn("_contract", F.when(F.col("reason").isNull(), F.sha2(F.to_json(F.transform(facts, lambda f: F.array(f["id"], f["value"]))), 256)))
+    # screening is dear: rows are written once with what it says, and all that follows reads them back
+    d = Steps(rows.sparkSession, "foundations").append(d.withColumn("_n", F.octet_length("foundation").cast("long")))
     # only digests go through the aggregate, and a text that a session is given over and over is one row when it is joined back
     first = d.where("reason is null").groupBy("session_id", "sha").agg(F.min_by("_contract", order).alias("_first"))
     d = d.join(first, ["session_id", "sha"], "left")
     reason = F.coalesce("reason", F.when(F.col("_contract") != F.col("_first"), "CONTRACT_CHANGED").otherwise(CANONICAL))
     d = d.withColumn("reason", reason)
     ok = lambda c: F.when(F.col("reason") == CANONICAL, c)
-    n = F.octet_length("foundation").cast("long")
+    n = F.col("_n")
     required = F.transform(facts, lambda f: F.struct(f["id"].alias("id"), F.sha2(f["value"], 256).alias("sha"), occurrences(text, f["value"]).alias("times")))
-    return d.withColumns({"sha": ok(F.col("sha")), "n_bytes": ok(n), "reference": ok(F.format_string(REFERENCE, "session_id", "sha", n)), "required": ok(required)}).drop("_contract", "_first")
+    return d.withColumns({"sha": ok(F.col("sha")), "n_bytes": ok(n), "reference": ok(F.format_string(REFERENCE, "session_id", "sha", n)), "required": ok(required)}).drop("_contract", "_first", "_n")
 
 
 def receipts(canonical: DataFrame) -> DataFrame:
