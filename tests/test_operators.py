@@ -141,3 +141,17 @@ def test_pipeline_keeps_raw_in_doubt(spark):
     for r in pipeline.process(spark.createDataFrame(rows, schema)).collect():
         assert r["reason"] == r["want"]
         assert (r["visible"] != r["content"]) == (r["want"] == "VALIDATED") == (r["disposition"] == "TRANSFORM")
+
+
+def test_bm25_spreads_texts_once_and_without_their_tokens(spark, monkeypatch):
+    from tracewell.sources import scratch
+
+    plans, append = [], scratch.Steps.append
+    monkeypatch.setattr(scratch.Steps, "append", lambda self, df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), append(self, df))[1])
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, "beta gamma"), (3, None), (4, "delta")], "doc_id long, text string").repartition(2)
+    items = spark.createDataFrame([(7, "alpha gamma"), (8, None)], "item_id long, text string")
+    words = F.split("text", " ")
+    got = discovery.bm25(docs, "doc_id", words, items, "item_id", words)
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    assert all("Generate explode(own" in p for p in plans[:1]) and len(plans) == 2
+    assert [(r["item_id"], r["doc_id"], r["rank"]) for r in got.orderBy("item_id", "rank").collect()] == [(7, 1, 1), (7, 2, 2)]
