@@ -50,3 +50,17 @@ def test_idle_sessions_end_however_the_stream_is_cut(spark, tmp_path, files):
     assert sum(r[3] for r in got) > 20
     held = spark.read.format("statestore").option("stateVarName", "newest").load(f"{tmp_path}/state")
     assert [r["session_id"] for r in held.select(F.col("key.session_id")).collect()] == ["last"]
+
+
+def test_an_entry_is_asked_for_once():
+    class Held:
+        asked = 0
+
+        def getValue(self, key):
+            self.asked += 1
+            return {("a",): (1, 2)}.get(key)
+
+    held, step = Held(), stateful._First()
+    step.cache = {}
+    assert [step.look(held, (k,)) for k in ("a", "b", "a", "b")] == [(1, 2), None, (1, 2), None]
+    assert held.asked == 2

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -53,15 +53,15 @@ class _Ordered(StatefulProcessor):
     def decide(self, row, receipts: int) -> tuple[tuple | None, int]:
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         last, receipts = self.last.get() or (-1, 0)
         before = newest = (self.newest.get() or (None,))[0] if self.newest else None
         out = []
         self.cache: dict = {}
-        for row in pd.concat(list(rows)).sort_values(self.order, kind="stable").itertuples(index=False):
-            at = int(getattr(row, self.order))
+        for row in sorted(rows, key=itemgetter(self.order)):
+            at = int(row[self.order])
             if at > last:
-                if self.newest and not pd.isna(row.event_ms):
+                if self.newest and row.event_ms is not None:
                     if newest is not None and row.event_ms - newest > self.idle:
                         self.forget()
                         receipts = 0
@@ -77,13 +77,16 @@ class _Ordered(StatefulProcessor):
                 self.handle.deleteTimer(before + self.idle)
             self.handle.registerTimer(newest + self.idle)
             self.newest.update((newest,))
-        yield pd.DataFrame(out, columns=self.columns)
+        yield from map(self.made, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.forget()
         self.last.clear()
         self.newest.clear()
-        yield pd.DataFrame([], columns=self.columns)
+        yield from ()
+
+    def made(self, values: tuple) -> Row:
+        return Row(**dict(zip(self.columns, values)))
 
     def forget(self) -> None:
         """The session's entries go, those not yet written as well."""
@@ -93,7 +96,7 @@ class _Ordered(StatefulProcessor):
     def look(self, state, key: tuple):
         """An entry of map state, read once a batch and written back by ``flush``."""
         if key not in self.cache:
-            self.cache[key] = [state.getValue(key) if state.containsKey(key) else None, False]
+            self.cache[key] = [state.getValue(key), False]
         return self.cache[key][0]
 
     def put(self, key: tuple, value: tuple) -> None:
@@ -111,9 +114,9 @@ class _Ordered(StatefulProcessor):
 def _by_session(rows: DataFrame, kind: type[_Ordered], schema: str, bounds: Bounds | None) -> DataFrame:
     use_map_state(rows.sparkSession)
     if bounds is None:
-        return rows.groupBy("session_id").transformWithStateInPandas(kind(), schema, "Append", "None")
+        return rows.groupBy("session_id").transformWithState(kind(), schema, "Append", "None")
     timed = rows.withWatermark(bounds.time, bounds.late).withColumn("event_ms", F.unix_millis(F.col(bounds.time).cast("timestamp")))
-    return timed.groupBy("session_id").transformWithStateInPandas(kind(bounds.idle), schema, "Append", "EventTime")
+    return timed.groupBy("session_id").transformWithState(kind(bounds.idle), schema, "Append", "EventTime")
 
 
 class _First(_Ordered):
