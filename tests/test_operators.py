@@ -155,3 +155,17 @@ def test_bm25_spreads_texts_once_and_without_their_tokens(spark, monkeypatch):
     assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
     assert all("Generate explode(own" in p for p in plans[:1]) and len(plans) == 2
     assert [(r["item_id"], r["doc_id"], r["rank"]) for r in got.orderBy("item_id", "rank").collect()] == [(7, 1, 1), (7, 2, 2)]
+
+
+def test_section_selection_takes_documents_in_small_batches(spark):
+    from tracewell.functions import sections
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        for k in held:
+            spark.conf.set(k, str(1 << 30))
+        sections.select_udf()
+        assert [int(spark.conf.get(k)) for k in held] == [sections.BATCH_ROWS, sections.BATCH_BYTES]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
