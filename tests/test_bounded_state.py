@@ -1,9 +1,11 @@
 """Sessions of a stream that end when idle."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tracewell.streaming import stateful
@@ -64,3 +66,91 @@ def test_an_entry_is_asked_for_once():
     step.cache = {}
     assert [step.look(held, (k,)) for k in ("a", "b", "a", "b")] == [(1, 2), None, (1, 2), None]
     assert held.asked == 2
+
+
+class Store:
+    """Value and map states of one session in a plain folder of names, with the requests made."""
+
+    def __init__(self):
+        self.held, self.asked = {}, []
+
+    def getValueState(self, name, _):
+        return Variable(self, name)
+
+    def getMapState(self, name, *_):
+        return Variable(self, name)
+
+
+class Variable:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def get(self):
+        return self.getValue(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def getValue(self, key):
+        self.store.asked.append((self.name, key))
+        return self.store.held.get((self.name, key))
+
+    def updateValue(self, key, value):
+        self.store.asked.append((self.name, key))
+        self.store.held[self.name, key] = value
+
+    def clear(self):
+        self.store.asked.append((self.name, "clear"))
+        self.store.held = {k: v for k, v in self.store.held.items() if k[0] != self.name}
+
+
+def in_batches(rows, size, step, store):
+    out = []
+    for k in range(0, len(rows), size):
+        step.init(store)
+        out += [tuple(r) for r in step.handleInputRows(("s",), iter(rows[k : k + size]), None)]
+    return out
+
+
+def test_a_batch_of_a_small_session_is_one_request_each_way():
+    store, seen = Store(), Row("call_index", "event_id", "sha")
+    rows = [seen(k, k, f"c{k % 40}") for k in range(100)]
+    got = in_batches(rows, 50, stateful._First(), store)
+    assert [(r[1], r[3], r[4], r[5]) for r in got] == [(k, k < 40, k % 40 + 1, k % 40) for k in range(100)]
+    assert len(store.asked) == 4
+
+
+@pytest.mark.parametrize(("width", "size"), [(1, 7), (3, 64), (8, 1000)])
+def test_pages_part_as_a_session_grows(monkeypatch, width, size):
+    monkeypatch.setattr(stateful._Pages, "WIDTH", width)
+    rng, store, record = random.Random(width), Store(), Row("record_index", "event_id", "is_call", "call_id")
+    rows = [record(k, k, rng.random() < 0.6, f"é{rng.randrange(300)}") for k in range(900)]
+    waiting, want = {}, []
+    for r in rows:
+        held = waiting.get(r.call_id)
+        if held != "done" and r.is_call:
+            waiting[r.call_id] = r.event_id
+        elif held not in (None, "done"):
+            want.append(("s", r.call_id, held, r.event_id))
+            waiting[r.call_id] = "done"
+    assert in_batches(rows, size, stateful._Pairs(), store) == want
+    pages = [json.loads(v[0]) for (name, _), v in store.held.items() if name == "pending"]
+    assert sum(map(len, pages)) == len(waiting) <= width * len(pages)
+
+
+def test_pages_of_an_ended_session_go():
+    store = Store()
+    pages = stateful._Pages(store.getMapState("seen"))
+    for n in range(600):
+        pages.updateValue((f"k{n}",), (n, n))
+    held = pages.close()
+    assert held == (4, 600, None) and len(store.held) == 4
+    pages.open(*held)
+    assert pages.getValue(("k5",)) == (5, 5)
+    pages.clear()
+    assert pages.getValue(("k5",)) is None
+    pages.updateValue(("new",), (1, 1))
+    held = pages.close()
+    assert held[:2] == (1, 1) and not store.held
+    pages.open(*held)
+    assert pages.getValue(("new",)) == (1, 1)

@@ -1,12 +1,15 @@
 """Decisions made record by record as sessions arrive, with keyed state that outlives restarts.
 
-State is kept by session in map state, one entry for each content, view or call id, so a batch reads
-and writes only the entries that its records name. Records must arrive in order within a session, as
-a log gives them; rows of one batch are put in order here, and a record that is replayed is dropped.
+State is kept by session, one entry for each content, view or call id. Entries lie in pages of bounded size, as each
+request to the state store costs far more than what it carries: a small session is read and written in one, and of a
+long one only the pages that a batch names. Records must arrive in order within a session, as a log gives them; rows
+of one batch are put in order here, and a record that is replayed is dropped.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import itemgetter
@@ -35,6 +38,74 @@ class Bounds:
     late: str = "0 seconds"
 
 
+class _Pages:
+    """Entries of one session, dealt over pages by a hash of their keys.
+
+    While there is one page it lies beside the session's counters (``single``); more are in map state. Where pages would hold
+    more than WIDTH entries on average, all are dealt anew over four times as many, so that an entry is moved a bounded number of times.
+    """
+
+    WIDTH = 256
+
+    def __init__(self, stored) -> None:
+        self.stored = stored
+        self.open()
+
+    def open(self, pages: int = 1, entries: int = 0, single: str | None = None) -> None:
+        """The session as its last batch left it."""
+        self.pages, self.entries, self.stale, self.changed = pages, entries, False, set()
+        self.read: dict[int, dict] = {0: self._parse(single)} if pages == 1 else {}
+
+    @staticmethod
+    def _parse(text: str | None) -> dict[tuple, tuple]:
+        return {tuple(k): tuple(v) for k, v in json.loads(text)} if text else {}
+
+    def _number(self, key: tuple) -> int:
+        return zlib.crc32(json.dumps(key).encode()) % self.pages
+
+    def _page(self, number: int) -> dict[tuple, tuple]:
+        if number not in self.read:
+            # what was cleared in this batch is not read again
+            held = None if self.stale else self.stored.getValue((number,))
+            self.read[number] = self._parse(held[0] if held else None)
+        return self.read[number]
+
+    def getValue(self, key: tuple) -> tuple | None:
+        return self._page(self._number(key)).get(key)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        number = self._number(key)
+        page = self._page(number)
+        self.entries += key not in page
+        page[key] = value
+        self.changed.add(number)
+
+    def clear(self) -> None:
+        """No entries any more; what is stored goes when the batch is done."""
+        stale = self.stale or self.pages > 1
+        self.open()
+        self.stale = stale
+
+    def close(self) -> tuple[int, int, str | None]:
+        """Write what has changed; what ``open`` takes next time."""
+        if self.stale:
+            self.stored.clear()
+        if self.entries > self.WIDTH * self.pages:
+            every = [e for n in range(self.pages) for e in self._page(n).items()]
+            while self.entries > self.WIDTH * self.pages:
+                self.pages *= 4
+            self.read = {n: {} for n in range(self.pages)}
+            for key, value in every:
+                self.read[self._number(key)][key] = value
+            self.changed = set(self.read)
+        text = lambda n: json.dumps(list(self.read[n].items()), separators=(",", ":"))
+        if self.pages == 1:
+            return 1, self.entries, text(0)
+        for n in self.changed:
+            self.stored.updateValue((n,), (text(n),))
+        return self.pages, self.entries, None
+
+
 class _Ordered(StatefulProcessor):
     """Rows of a batch in order, without those decided before."""
 
@@ -43,19 +114,17 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "last long, receipts long")
+        self.last = handle.getValueState("last", "last long, receipts long, newest long, pages long, entries long, single string")
         self.newest = handle.getValueState("newest", "at long") if self.idle is not None else None
-        self.declare(handle)
-
-    def declare(self, handle: StatefulProcessorHandle) -> None:
-        raise NotImplementedError
+        self.state = _Pages(handle.getMapState(self.name, "page long", "entries string"))
 
     def decide(self, row, receipts: int) -> tuple[tuple | None, int]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last, receipts = self.last.get() or (-1, 0)
-        before = newest = (self.newest.get() or (None,))[0] if self.newest else None
+        last, receipts, newest, *held = self.last.get() or (-1, 0, None)
+        before = newest
+        self.state.open(*held)
         out = []
         self.cache: dict = {}
         for row in sorted(rows, key=itemgetter(self.order)):
@@ -71,7 +140,7 @@ class _Ordered(StatefulProcessor):
                 if made is not None:
                     out.append((key[0], *made))
         self.flush()
-        self.last.update((last, receipts))
+        self.last.update((last, receipts, newest, *self.state.close()))
         if newest != before:
             if before is not None:
                 self.handle.deleteTimer(before + self.idle)
@@ -80,7 +149,7 @@ class _Ordered(StatefulProcessor):
         yield from map(self.made, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.forget()
+        self.state.stored.clear()
         self.last.clear()
         self.newest.clear()
         yield from ()
@@ -94,7 +163,7 @@ class _Ordered(StatefulProcessor):
         self.state.clear()
 
     def look(self, state, key: tuple):
-        """An entry of map state, read once a batch and written back by ``flush``."""
+        """An entry, looked for once a batch and put back by ``flush``."""
         if key not in self.cache:
             self.cache[key] = [state.getValue(key), False]
         return self.cache[key][0]
@@ -120,10 +189,8 @@ def _by_session(rows: DataFrame, kind: type[_Ordered], schema: str, bounds: Boun
 
 
 class _First(_Ordered):
-    order, columns = "call_index", ["session_id", "call_index", "event_id", "is_first", "receipt_no", "first_index"]
-
-    def declare(self, handle):
-        self.state = handle.getMapState("seen", "sha string", "receipt long, at long")
+    # an entry: sha -> receipt, place
+    name, order, columns = "seen", "call_index", ["session_id", "call_index", "event_id", "is_first", "receipt_no", "first_index"]
 
     def decide(self, row, receipts):
         held = self.look(self.state, (row.sha,))
@@ -144,10 +211,8 @@ def first_deliveries(calls: DataFrame, bounds: Bounds | None = None) -> DataFram
 
 
 class _Reads(_Ordered):
-    order, columns = "call_index", ["session_id", "call_index", "event_id", "decision", "receipt_no", "distance"]
-
-    def declare(self, handle):
-        self.state = handle.getMapState("receipts", "source string, view string", "receipt long, sha string, at long")
+    # an entry: source, view -> receipt, sha, place
+    name, order, columns = "receipts", "call_index", ["session_id", "call_index", "event_id", "decision", "receipt_no", "distance"]
 
     def decide(self, row, receipts):
         at = int(row.call_index)
@@ -177,11 +242,8 @@ def read_receipts(reads: DataFrame, bounds: Bounds | None = None) -> DataFrame:
 
 
 class _Pairs(_Ordered):
-    order, columns = "record_index", ["session_id", "call_id", "call_event", "output_event"]
-
-    def declare(self, handle):
-        # event -1: the id is done
-        self.state = handle.getMapState("pending", "call_id string", "event long")
+    # an entry: call id -> event; -1: the id is done
+    name, order, columns = "pending", "record_index", ["session_id", "call_id", "call_event", "output_event"]
 
     def decide(self, row, receipts):
         key = (row.call_id,)
