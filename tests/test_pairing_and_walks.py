@@ -144,3 +144,26 @@ def test_ranks_without_seeds_are_uniform_starts(spark):
     got = {r["node"]: r["rank"] for r in discovery.pagerank(nodes, edges, none).collect()}
     want = power(["a", "b", "c"], [("a", "b"), ("b", "c")], {})
     assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_distances_over_edges_laid_out_by_node(spark):
+    rng = random.Random(4)
+    edges = [(f"n{rng.randrange(120)}", f"n{rng.randrange(120)}") for _ in range(130)] + [("n0", f"x{k}") for k in range(300)] + [(f"c{k}", f"c{k + 1}") for k in range(12)] + [("c12", "n0"), ("n1", None), (None, "n2")]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    laid = discovery.laid_out(e)
+    around = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            around.setdefault(a, set()).add(b)
+            around.setdefault(b, set()).add(a)
+    assert sorted(map(tuple, laid.collect())) == sorted((a, b) for a, bs in around.items() for b in bs)
+    spans = sorted(map(tuple, laid.groupBy(F.input_file_name()).agg(F.min(F.struct("src", "dst")).alias("low"), F.max(F.struct("src", "dst")).alias("high")).select("low", "high").collect()))
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    want, wave, d = {}, {"c0", "n7"}, 0
+    while wave:
+        want |= dict.fromkeys(wave, d)
+        wave, d = {y for x in wave for y in around.get(x, ()) if y not in want}, d + 1
+    seeds = spark.createDataFrame([("c0",), ("n7",), (None,)], "node string")
+    nodes = spark.createDataFrame([(x,) for x in [*around, "alone"]], "node string")
+    got = {r["node"]: r["distance"] for r in discovery.distances(nodes, e, seeds).collect()}
+    assert got == {x: want.get(x) for x in [*around, "alone"]}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracewell.operators.discovery import frontiers, neighbours
+from tracewell.operators.discovery import frontiers, laid_out
 from tracewell.operators.grams import holding
 from tracewell.operators.walks import personal_walks
 from tracewell.sources.scratch import cut
@@ -114,7 +114,7 @@ def seed_weights(signals: DataFrame) -> DataFrame:
 
 def nearest_seed(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(query, node, distance) of every node that a seed of the query reaches."""
-    return frontiers(cut(neighbours(edges)), seeds, ["query", "node"])
+    return frontiers(laid_out(edges), seeds, ["query", "node"])
 
 
 def structural_rank(queries: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, mode: str, k: int = 10) -> DataFrame:
