@@ -111,3 +111,10 @@ def test_what_is_spoilt_is_not_restored(spark):
     assert outcome(put(text + marker + b"x"), held) == "LENGTH_MISMATCH"
     assert outcome(put(b"x" + text[1:] + marker), held) == "DIGEST_MISMATCH"
     assert mission.restore(c.limit(0), held).collect() == [] and mission.assemble(missions.limit(0), held).collect() == []
+
+
+def test_candidates_are_assembled_once(spark):
+    from tracewell.plans import corpora
+
+    plan = corpora.mission_candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bearer" not in plan

@@ -8,6 +8,7 @@ from tracewell.operators import mission, replay
 from tracewell.plans import documents
 from tracewell.plans.sessions import _READS, _reads
 from tracewell.sources import sinks
+from tracewell.sources.scratch import Steps
 from tracewell.sources.tables import table
 
 
@@ -96,7 +97,8 @@ def mission_candidates(spark, sf_dir):
     """Candidates by their digest, and what comes of restoring them; some lose their artifact, some a byte."""
     missions, artifacts = _missions(spark, sf_dir)
     i = F.col("mission")
-    c = mission.assemble(missions, artifacts)
+    # written, so that missions are screened and assembled once for both uses
+    c = Steps(spark, "candidates").append(mission.assemble(missions, artifacts))
     given = c.withColumn("candidate", F.when(i % 19 == 0, F.substring("candidate", F.lit(1), (F.octet_length("candidate") - 1).cast("int"))).otherwise(F.col("candidate")))
     r = mission.restore(given, artifacts.where(~F.col("path").endswith("4"))).withColumnRenamed("mission", "_m")
     return c.join(r, F.col("_m") == i).select("mission", F.sha2("candidate", 256).alias("candidate_sha"), F.size("recipe").cast("long").alias("left_out"), "outcome", F.sha2("restored", 256).alias("restored_sha"))
