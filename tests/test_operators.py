@@ -169,3 +169,16 @@ def test_section_selection_takes_documents_in_small_batches(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    from tracewell.operators import discovery
+
+    monkeypatch.setattr(discovery, "PAIRS", 40)
+    docs = spark.createDataFrame([(k, ["a", f"b{k % 7}"]) for k in range(100)], "doc long, stems array<string>")
+    queries = spark.createDataFrame([(q, ["a", f"b{q}"]) for q in range(4)], "q long, stems array<string>")
+    kept, asked = docs.select("doc", F.explode("stems").alias("stem")), queries.select("q", F.explode("stems").alias("stem"))
+    pairs = kept.join(asked, "stem").count()
+    assert discovery._dealt(kept, asked, "doc", "stem").rdd.getNumPartitions() == -(-pairs // 40) > 4
+    got = {(r["q"], r["doc"]): (r["score"], r["rank"]) for r in discovery.stem_overlap(docs, "doc", F.col("stems"), queries, "q", F.col("stems"), 3).collect()}
+    assert got == {(q, q + 7 * n): (2, n + 1) for q in range(4) for n in range(3)}
